@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitelore import fixed
+from sitelore.functions.binding import let
 from sitelore.functions.text import blank_if_null, contains_any, has_any, strip
 
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
@@ -96,42 +97,58 @@ def query_pairs(query: Column) -> Column:
 
 def clean_query(query: Column) -> Column:
     """Tracking keys dropped, pairs sorted, re-encoded."""
-    kept = F.filter(
-        query_pairs(query),
-        lambda p: ~(
-            F.lower(p.k).startswith(fixed.TRACKING_QUERY_PREFIX)
-            | F.lower(p.k).isin(fixed.TRACKING_QUERY_KEYS)
-        ),
-    )
-    encoded = F.transform(
-        F.array_sort(kept),
-        lambda p: F.concat(encode_form(p.k), F.lit("="), encode_form(p.v)),
-    )
-    return F.when(query == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
+
+    def cleaned(q: Column) -> Column:
+        kept = F.filter(
+            query_pairs(q),
+            lambda p: ~(
+                F.lower(p.k).startswith(fixed.TRACKING_QUERY_PREFIX)
+                | F.lower(p.k).isin(fixed.TRACKING_QUERY_KEYS)
+            ),
+        )
+        encoded = F.transform(
+            F.array_sort(kept),
+            lambda p: F.concat(encode_form(p.k), F.lit("="), encode_form(p.v)),
+        )
+        return F.when(q == "", F.lit("")).otherwise(F.array_join(encoded, "&"))
+
+    return let(query, cleaned)
 
 
 # --- normal forms -----------------------------------------------------------
 def _normalize(url: Column, force_https: bool) -> Column:
-    raw = strip(url)
-    full = F.when(raw.rlike(SCHEME), raw).otherwise(F.concat(F.lit("https://"), raw))
-    scheme = scheme_of(full)
-    if force_https:
-        scheme = F.when(scheme == "http", F.lit("https")).otherwise(scheme)
-    netloc = strip_default_port(netloc_of(full))
-    path = F.regexp_replace(path_of(full), "/+$", "")
-    query = clean_query(query_of(full))
-    rooted = F.when((path != "") & ~path.startswith("/"), F.concat(F.lit("/"), path)).otherwise(path)
-    location = (
-        F.when(netloc != "", F.concat(F.lit("//"), netloc, rooted))
-        .when(
-            scheme.isin("http", "https", "ftp", "file")
-            & ((path == "") | path.startswith("/")),
-            F.concat(F.lit("//"), path),
+    def parts(full: Column) -> Column:
+        scheme = scheme_of(full)
+        if force_https:
+            scheme = F.when(scheme == "http", F.lit("https")).otherwise(scheme)
+        return F.struct(
+            scheme.alias("scheme"),
+            strip_default_port(netloc_of(full)).alias("netloc"),
+            F.regexp_replace(path_of(full), "/+$", "").alias("path"),
+            clean_query(query_of(full)).alias("query"),
         )
-        .otherwise(path)
-    )
-    with_query = F.when(query != "", F.concat(location, F.lit("?"), query)).otherwise(location)
-    return F.when(raw == "", F.lit("")).otherwise(F.concat(scheme, F.lit(":"), with_query))
+
+    def joined(p: Column) -> Column:
+        scheme, netloc, path, query = p["scheme"], p["netloc"], p["path"], p["query"]
+        rootless = (path != "") & ~path.startswith("/")
+        location = (
+            F.when(
+                netloc != "",
+                F.concat(
+                    F.lit("//"), netloc, F.when(rootless, F.lit("/")).otherwise(F.lit("")), path
+                ),
+            )
+            .when(scheme.isin("http", "https", "ftp", "file") & ~rootless, F.concat(F.lit("//"), path))
+            .otherwise(path)
+        )
+        tail = F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
+        return F.concat(scheme, F.lit(":"), location, tail)
+
+    def normal(raw: Column) -> Column:
+        full = F.when(raw.rlike(SCHEME), raw).otherwise(F.concat(F.lit("https://"), raw))
+        return F.when(raw == "", F.lit("")).otherwise(let(let(full, parts), joined))
+
+    return let(strip(url), normal)
 
 
 def crawl_url(url: Column) -> Column:
