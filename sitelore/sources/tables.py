@@ -8,10 +8,35 @@ from pyspark.sql import functions as F
 from sitelore.functions import urls
 
 
+KEYS = {
+    "documents": ["doc_id"],
+    "pages": ["page_id"],
+    "embeddings": ["vec_id"],
+    "conversations": ["conv_id", "turn"],
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give every core a share of a table whose files split into too few tasks.
+
+    Hash partitioning on the row's key keeps retries deterministic. A table that
+    already splits into enough tasks (any large one) is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to process (whole texts, HTML, vectors)."""
+    return spread(table(spark, folder, name), *KEYS[name])
+
+
 def source_site(source: Column) -> Column:
     """Site URL of a document source."""
     return F.concat(F.lit("https://"), source, F.lit(".example"))
