@@ -200,4 +200,9 @@ def _parse_batch(pages: pd.Series) -> pd.DataFrame:
 
 
 def dom(html: Column) -> Column:
-    return F.pandas_udf(_parse_batch, DOM)(html)
+    """Node table of a page.
+
+    Marked non-deterministic so that the optimizer keeps it in one place: it would
+    otherwise copy the call into every filter it derives from the extracted columns.
+    """
+    return F.pandas_udf(_parse_batch, DOM).asNondeterministic()(html)

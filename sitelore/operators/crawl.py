@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelore import fixed
 from sitelore.functions import urls
+from sitelore.functions.binding import let
 from sitelore.functions.text import strip
 from sitelore.operators.skew import top_per_key
 
@@ -197,5 +198,5 @@ def allowed_by_robots(pages: DataFrame, rules: DataFrame, url: str, key: str) ->
     """
     path = F.lower(urls.path_of(F.col(url)))
     joined = pages.join(rules.select(key, "disallowed"), key, "left")
-    blocked = F.exists(F.col("disallowed"), lambda p: F.startswith(path, p))
+    blocked = let(path, lambda own: F.exists(F.col("disallowed"), lambda p: F.startswith(own, p)))
     return joined.where(~F.coalesce(blocked, F.lit(False))).drop("disallowed")

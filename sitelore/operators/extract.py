@@ -22,6 +22,16 @@ from sitelore.schemas import FAQS, HEADINGS, IMAGES, LINKS, LISTS, SECTIONS, TAB
 STRINGS = "array<string>"
 
 
+def _over(build) -> Column:
+    """`build(nodes, texts, page_url)` with the page's arrays bound once.
+
+    Lambdas below refer to these arrays. Were they plain columns, the optimizer could
+    move their definitions into the lambdas and compute them once per element.
+    """
+    bound = F.struct("nodes", "texts", "page_url")
+    return let(bound, lambda d: build(d["nodes"], d["texts"], d["page_url"]))
+
+
 # --- node arithmetic --------------------------------------------------------
 def _attr(node: Column, name: str) -> Column:
     return F.coalesce(F.element_at(node["attrs"], name), F.lit(""))
@@ -55,9 +65,11 @@ def _tags(nodes: Column, *tags: str) -> Column:
 
 def _first_distinct(items: Column, key) -> Column:
     """Items whose key did not occur earlier in the array."""
-    return F.filter(
+    return let(
         items,
-        lambda x, i: ~F.exists(F.slice(items, F.lit(1), i), lambda y: key(y) == key(x)),
+        lambda all_: F.filter(
+            all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: key(y) == key(x))
+        ),
     )
 
 
@@ -84,14 +96,8 @@ def _page_metadata(df: DataFrame) -> DataFrame:
             ),
         )
         # a repeated key keeps its last value
-        last = F.filter(
-            entries,
-            lambda x, i: ~F.exists(
-                F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))),
-                lambda y: y["key"] == x["key"],
-            ),
-        )
-        return F.map_from_entries(last)
+        backwards = _first_distinct(F.reverse(entries), lambda e: e["key"])
+        return F.map_from_entries(F.reverse(backwards))
 
     description = _first(
         F.filter(nodes, lambda n: (n["tag"] == "meta") & (F.lower(_attr(n, "name")) == "description"))
@@ -252,9 +258,8 @@ def _nearby_text(img: Column, ancestors: Column, nodes: Column, texts: Column) -
     return F.substring(F.array_join(distinct, " "), 1, fixed.MAX_NEARBY_CHARS)
 
 
-def _image_records(df: DataFrame) -> DataFrame:
+def _images(nodes: Column, texts: Column, page_url: Column) -> Column:
     """Useful images, best described record per URL, in order of first appearance."""
-    nodes, texts, page_url = F.col("nodes"), F.col("texts"), F.col("page_url")
 
     def record(img: Column) -> Column:
         def build(ancestors: Column) -> Column:
@@ -304,19 +309,23 @@ def _image_records(df: DataFrame) -> DataFrame:
             image_type(r).alias("image_type"),
         ),
     )
-    df = df.withColumn("_raw_images", typed)
-    df = df.withColumn("_useful", F.filter("_raw_images", is_useful_image))
-    useful = F.col("_useful")
-
-    def best_of(url: Column) -> Column:
-        same = F.filter(useful, lambda r: r["absolute_url"] == url)
-        top = F.array_max(F.transform(same, _described))
-        return _first(F.filter(same, lambda r: _described(r) == top))
-
-    distinct = F.array_distinct(F.transform(useful, lambda r: r["absolute_url"]))
-    return df.withColumn("images", F.transform(distinct, best_of).cast(IMAGES)).drop(
-        "_raw_images", "_useful"
-    )
+
+    def best(useful: Column) -> Column:
+        def best_of(url: Column) -> Column:
+            def top(same: Column) -> Column:
+                return _first(
+                    F.filter(same, lambda r: _described(r) == F.array_max(F.transform(same, _described)))
+                )
+
+            return let(F.filter(useful, lambda r: r["absolute_url"] == url), top)
+
+        return F.transform(F.array_distinct(F.transform(useful, lambda r: r["absolute_url"])), best_of)
+
+    return let(F.filter(typed, is_useful_image), best).cast(IMAGES)
+
+
+def _image_records(df: DataFrame) -> DataFrame:
+    return df.withColumn("images", _over(_images))
 
 
 # --- noise removal ----------------------------------------------------------
@@ -331,44 +340,40 @@ def _drop_noise(df: DataFrame) -> DataFrame:
         names = F.lower(F.concat_ws(" ", _attr(n, "class"), _attr(n, "id")))
         return n["tag"].isin(fixed.NOISE_TAGS) | contains_any(names, fixed.NOISE_PATTERNS)
 
-    df = df.withColumn("_noise", F.filter("nodes", noisy))
-    noise = F.col("_noise")
-    df = df.withColumns(
-        {
-            "_kept": F.filter(
-                "nodes",
-                lambda n: ~F.exists(noise, lambda r: (n["i"] >= r["i"]) & (n["i"] < r["last"])),
-            ),
-            "texts": F.transform(
-                "texts",
-                lambda t, j: F.when(
-                    ~F.exists(noise, lambda r: (j >= r["t0"]) & (j < r["t1"])), t
-                ),
-            ),
-        }
-    )
-    # positions of what keeps an element alive, in document order
-    df = df.withColumns(
-        {
-            "_full": F.filter(
-                F.transform(
-                    "texts",
-                    lambda t, j: F.when(t.rlike(f"[^{SPACE_CLASS}]"), j),
-                ),
+    def live(nodes: Column, texts: Column, noise: Column) -> Column:
+        kept = F.filter(
+            nodes, lambda n: ~F.exists(noise, lambda r: (n["i"] >= r["i"]) & (n["i"] < r["last"]))
+        )
+        left = F.transform(
+            texts,
+            lambda t, j: F.when(~F.exists(noise, lambda r: (j >= r["t0"]) & (j < r["t1"])), t),
+        )
+
+        def with_positions(d: Column) -> Column:
+            """Where texts and media that keep an element alive are, in document order."""
+            full = F.filter(
+                F.transform(d["texts"], lambda t, j: F.when(t.rlike(f"[^{SPACE_CLASS}]"), j)),
                 lambda j: j.isNotNull(),
-            ),
-            "_media": F.transform(_tags(F.col("_kept"), "img", "table"), lambda n: n["i"]),
-        }
-    )
+            )
+            media = F.transform(_tags(d["kept"], "img", "table"), lambda n: n["i"])
+            return let(F.struct(full.alias("full"), media.alias("media")), lambda p: keep(d, p))
+
+        def keep(d: Column, p: Column) -> Column:
+            alive = F.filter(
+                d["kept"],
+                lambda n: n["tag"].isin(fixed.KEEP_WHEN_EMPTY_TAGS)
+                | F.exists(p["full"], lambda j: (j >= n["t0"]) & (j < n["t1"]))
+                | F.exists(p["media"], lambda i: (i > n["i"]) & (i < n["last"])),
+            )
+            return F.struct(alive.alias("nodes"), d["texts"].alias("texts"))
 
-    def alive(n: Column) -> Column:
-        return (
-            n["tag"].isin(fixed.KEEP_WHEN_EMPTY_TAGS)
-            | F.exists("_full", lambda j: (j >= n["t0"]) & (j < n["t1"]))
-            | F.exists("_media", lambda i: (i > n["i"]) & (i < n["last"]))
-        )
+        return let(F.struct(kept.alias("kept"), left.alias("texts")), with_positions)
 
-    return df.withColumn("nodes", F.filter("_kept", alive)).drop("_noise", "_kept", "_full", "_media")
+    def cleaned(nodes: Column, texts: Column, page_url: Column) -> Column:
+        return let(F.filter(nodes, noisy), lambda noise: live(nodes, texts, noise))
+
+    df = df.withColumn("_live", _over(cleaned))
+    return df.withColumns({"nodes": F.col("_live.nodes"), "texts": F.col("_live.texts")}).drop("_live")
 
 
 # --- after noise removal ----------------------------------------------------
@@ -392,23 +397,26 @@ def _following(heading: Column, nodes: Column, texts: Column, stop_tags: list[st
     )
 
 
-def _blocks(df: DataFrame) -> DataFrame:
-    nodes, texts = F.col("nodes"), F.col("texts")
-
-    def level(n: Column) -> Column:
-        return F.substring(n["tag"], 2, 1).cast("int")
-
-    headings = F.filter(
+def _headings(nodes: Column, texts: Column, _: Column) -> Column:
+    return F.filter(
         F.transform(
             _tags(nodes, "h1", "h2", "h3", "h4", "h5", "h6"),
-            lambda n: F.struct(level(n).alias("level"), _text(n, texts).alias("text")),
+            lambda n: F.struct(
+                F.substring(n["tag"], 2, 1).cast("int").alias("level"), _text(n, texts).alias("text")
+            ),
         ),
         lambda h: h["text"] != "",
-    )
-    paragraphs = F.array_distinct(
+    ).cast(HEADINGS)
+
+
+def _paragraphs(nodes: Column, texts: Column, _: Column) -> Column:
+    return F.array_distinct(
         F.filter(F.transform(_tags(nodes, "p"), lambda n: _text(n, texts)), lambda t: t != "")
     )
-    lists = F.filter(
+
+
+def _lists(nodes: Column, texts: Column, _: Column) -> Column:
+    return F.filter(
         F.transform(
             _tags(nodes, "ul", "ol"),
             lambda l: F.struct(
@@ -423,8 +431,10 @@ def _blocks(df: DataFrame) -> DataFrame:
             ),
         ),
         lambda l: F.size(l["items"]) > 0,
-    )
+    ).cast(LISTS)
 
+
+def _tables(nodes: Column, texts: Column, _: Column) -> Column:
     def table(t: Column) -> Column:
         def row(tr: Column) -> Column:
             cells = F.filter(nodes, lambda n: n["tag"].isin("th", "td") & _inside(n, tr))
@@ -459,23 +469,25 @@ def _blocks(df: DataFrame) -> DataFrame:
 
         return let(rows, split)
 
-    tables = F.filter(
+    return F.filter(
         F.transform(_tags(nodes, "table"), table),
         lambda t: (F.size(t["headers"]) > 0) | (F.size(t["rows"]) > 0),
-    )
+    ).cast(TABLES)
+
+
+def _blocks(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "headings": headings.cast(HEADINGS),
-            "paragraphs": paragraphs,
-            "lists": lists.cast(LISTS),
-            "tables": tables.cast(TABLES),
+            "headings": _over(_headings),
+            "paragraphs": _over(_paragraphs),
+            "lists": _over(_lists),
+            "tables": _over(_tables),
         }
     )
 
 
-def _links(df: DataFrame) -> DataFrame:
+def _page_links(nodes: Column, texts: Column, page_url: Column) -> Column:
     """Labelled http(s) links, first per (text, URL)."""
-    nodes, texts, page_url = F.col("nodes"), F.col("texts"), F.col("page_url")
     skipped = "^(" + "|".join(fixed.SKIP_LINK_SCHEMES) + ")"
 
     def link(a: Column) -> Column:
@@ -498,23 +510,27 @@ def _links(df: DataFrame) -> DataFrame:
         F.transform(anchors, link),
         lambda l: (l["text"] != "") & urls.scheme_of(l["url"]).isin("http", "https"),
     )
-    df = df.withColumn("_found", F.array_distinct(found))
     host = F.lower(urls.netloc_of(page_url))
-    return df.withColumn(
-        "links",
-        F.transform(
-            "_found",
+
+    def internal(host_: Column) -> Column:
+        return F.transform(
+            F.array_distinct(found),
             lambda l: F.struct(
                 l["text"].alias("text"),
                 l["url"].alias("url"),
-                (F.lower(urls.netloc_of(l["url"])) == host).alias("is_internal"),
+                (F.lower(urls.netloc_of(l["url"])) == host_).alias("is_internal"),
             ),
-        ).cast(LINKS),
-    ).drop("_found")
+        )
 
+    return let(host, internal).cast(LINKS)
 
-def _faqs_and_sections(df: DataFrame) -> DataFrame:
-    nodes, texts = F.col("nodes"), F.col("texts")
+
+def _links(df: DataFrame) -> DataFrame:
+    return df.withColumn("links", _over(_page_links))
+
+
+def _faqs(nodes: Column, texts: Column, _: Column) -> Column:
+    """Question and answer pairs: `details` elements, then question-like headings."""
 
     def from_details(d: Column) -> Column:
         summary = _first(F.filter(nodes, lambda n: (n["tag"] == "summary") & _inside(n, d)))
@@ -551,10 +567,11 @@ def _faqs_and_sections(df: DataFrame) -> DataFrame:
     candidates = F.concat(
         F.transform(_tags(nodes, "details"), from_details), F.transform(asked, from_heading)
     )
-    df = df.withColumn(
-        "_faqs", F.filter(candidates, lambda q: (q["question"] != "") & (q["answer"] != ""))
-    )
+    complete = F.filter(candidates, lambda q: (q["question"] != "") & (q["answer"] != ""))
+    return _first_distinct(complete, lambda q: q["question"]).cast(FAQS)
+
 
+def _sections(nodes: Column, texts: Column, _: Column) -> Column:
     def section(h: Column) -> Column:
         content = _following(h, nodes, texts, ["h1", "h2", "h3"], fixed.SECTION_STOP_CHARS)
         return F.struct(
@@ -563,16 +580,15 @@ def _faqs_and_sections(df: DataFrame) -> DataFrame:
             F.substring(content, 1, fixed.SECTION_STOP_CHARS).alias("content"),
         )
 
-    sections = F.filter(
+    found = F.filter(
         F.transform(_tags(nodes, "h1", "h2", "h3"), section),
         lambda s: (s["heading"] != "") & (s["content"] != ""),
     )
-    return df.withColumns(
-        {
-            "faqs": _first_distinct(F.col("_faqs"), lambda q: q["question"]).cast(FAQS),
-            "sections": F.slice(sections, 1, fixed.MAX_SECTIONS).cast(SECTIONS),
-        }
-    ).drop("_faqs")
+    return F.slice(found, 1, fixed.MAX_SECTIONS).cast(SECTIONS)
+
+
+def _faqs_and_sections(df: DataFrame) -> DataFrame:
+    return df.withColumns({"faqs": _over(_faqs), "sections": _over(_sections)})
 
 
 def _content(df: DataFrame) -> DataFrame:
@@ -625,7 +641,7 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     render_time_ms and final_url are carried into the record.
     """
     keep = [c for c in pages.columns if c != html]
-    df = pages.withColumn("_dom", dom(F.col(html)))
+    df = pages.withColumn("_dom", dom(F.col(html)))  # declared non-deterministic: runs once
     df = df.select(*keep, F.col("_dom.nodes").alias("nodes"), F.col("_dom.texts").alias("texts"))
     # what the render decision needs to know about the page as delivered
     nodes = F.col("nodes")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 HEADINGS = "array<struct<level:int,text:string>>"
 SECTIONS = "array<struct<heading:string,level:int,content:string>>"
@@ -61,14 +60,14 @@ SITE_METADATA = (
     "struct<website_id:string,url:string,normalized_url:string,name:string,created_at:string,"
     "scraping_version:string,pages_scraped:int,has_web_search_supplement:boolean>"
 )
-KNOWLEDGE = T.StructType.fromDDL(
+KNOWLEDGE = (
     f"metadata {SITE_METADATA}, "
     f"primary_content struct<source:string,reliability:string,pages:array<{LEGACY_PAGE}>>, "
     f"pages array<{PAGE}>, "
     f"secondary_content struct<source:string,reliability:string,searches:{SEARCHES}>, "
     "source_url string"
 )
-QUESTION = T.StructType.fromDDL(
+QUESTION = (
     "id string, category string, intent string, question string, expected_behavior string, "
     "answer_format string, requires_source boolean, hallucination_sensitive boolean, "
     "manual_review_required boolean, expected_entities array<string>"
