@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelore import fixed
 from sitelore.functions import urls
-from sitelore.functions.binding import let
+from sitelore.functions.binding import built_once, let
 from sitelore.functions.html import dom
 from sitelore.functions.numbers import round_exact
 from sitelore.functions.text import SPACE_CLASS, clean_text, contains_any, strip
@@ -28,8 +28,12 @@ def _over(build) -> Column:
     Lambdas below refer to these arrays. Were they plain columns, the optimizer could
     move their definitions into the lambdas and compute them once per element.
     """
-    bound = F.struct("nodes", "texts", "page_url")
-    return let(bound, lambda d: build(d["nodes"], d["texts"], d["page_url"]))
+
+    def column() -> Column:
+        bound = F.struct("nodes", "texts", "page_url")
+        return let(bound, lambda d: build(d["nodes"], d["texts"], d["page_url"]))
+
+    return built_once(f"extract.{build.__name__}", column)
 
 
 # --- node arithmetic --------------------------------------------------------
@@ -329,8 +333,8 @@ def _image_records(df: DataFrame) -> DataFrame:
 
 
 # --- noise removal ----------------------------------------------------------
-def _drop_noise(df: DataFrame) -> DataFrame:
-    """`nodes` -> live nodes, `texts` -> texts with removed pieces null.
+def _without_noise(nodes: Column, texts: Column, _: Column) -> Column:
+    """struct<nodes, texts>: live nodes, and texts with removed pieces null.
 
     Removed are scripts and similar, anything whose class or id contains a noise
     word, and then elements left without text, images or tables.
@@ -340,7 +344,7 @@ def _drop_noise(df: DataFrame) -> DataFrame:
         names = F.lower(F.concat_ws(" ", _attr(n, "class"), _attr(n, "id")))
         return n["tag"].isin(fixed.NOISE_TAGS) | contains_any(names, fixed.NOISE_PATTERNS)
 
-    def live(nodes: Column, texts: Column, noise: Column) -> Column:
+    def live(noise: Column) -> Column:
         kept = F.filter(
             nodes, lambda n: ~F.exists(noise, lambda r: (n["i"] >= r["i"]) & (n["i"] < r["last"]))
         )
@@ -369,10 +373,11 @@ def _drop_noise(df: DataFrame) -> DataFrame:
 
         return let(F.struct(kept.alias("kept"), left.alias("texts")), with_positions)
 
-    def cleaned(nodes: Column, texts: Column, page_url: Column) -> Column:
-        return let(F.filter(nodes, noisy), lambda noise: live(nodes, texts, noise))
+    return let(F.filter(nodes, noisy), live)
 
-    df = df.withColumn("_live", _over(cleaned))
+
+def _drop_noise(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_live", _over(_without_noise))
     return df.withColumns({"nodes": F.col("_live.nodes"), "texts": F.col("_live.texts")}).drop("_live")
 
 

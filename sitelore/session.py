@@ -18,6 +18,8 @@ def build_session(app: str = "sitelore", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # call-site capture makes building large column expressions twice as slow
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # page rows carry whole HTML documents: keep Arrow batches small in rows
         "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     }
