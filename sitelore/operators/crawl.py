@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelore import fixed
 from sitelore.functions import urls
-from sitelore.functions.binding import let
+from sitelore.functions.binding import built_once, let
 from sitelore.functions.text import strip
 from sitelore.operators.skew import top_per_key
 
@@ -58,40 +58,55 @@ def judge_candidates(candidates: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("copies"),
         F.min_by("anchor_text", "pos").alias("anchor_text"),
     )
-    parts = with_url_parts(with_url_parts(distinct, "base", "b_"), "candidate", "c_")
-    parts = parts.withColumns(
-        {
-            "intent": urls.crawl_intent(F.col("b_path")),
-            "kind": urls.page_type(F.col("c_path"), F.col("c_query")),
-            "crawlable": urls.is_crawlable(
-                F.col("c_scheme"), F.col("c_netloc"), F.col("c_path"), F.col("c_query"),
-                F.col("b_netloc"),
-            ),
-        }
-    )
-    specific = F.col("intent") == fixed.CRAWL_SPECIFIC
-    utility = specific & urls.is_utility_page(F.col("c_path"), F.col("c_query"), F.col("b_path"))
-    verdict = (
-        F.when(F.col("candidate") == "", F.lit("rejected"))
-        .when(F.col("candidate") == F.col("base"), F.lit("base"))
-        .when(~F.col("crawlable"), F.lit("rejected"))
-        .when(utility, F.lit("utility"))
-        .otherwise(F.lit("kept"))
-    )
-    score = F.when(
-        specific,
-        urls.specific_score(
-            F.col("c_path"), F.col("c_query"), F.col("b_path"), F.col("anchor_text")
-        ),
-    ).otherwise(urls.priority_score(F.col("c_path"), F.col("c_query"), F.col("kind")))
-    return parts.select(
-        "base", "candidate", "copies", "intent",
-        verdict.alias("verdict"),
-        score.cast("bigint").alias("score"),
-        urls.path_depth(F.col("c_path")).cast("bigint").alias("depth"),
+    return distinct.withColumn("_j", built_once("crawl.judgement", _judgement)).select(
+        "base", "candidate", "copies", "_j.*"
     )
 
 
+def _judgement() -> Column:
+    """struct<intent, verdict, score, depth> of columns base, candidate, anchor_text.
+
+    One bound expression: later filters on the verdict copy a reference, not the rules.
+    """
+    candidate, base = F.col("candidate"), F.col("base")
+    parts = F.struct(
+        candidate.alias("url"),
+        base.alias("base"),
+        F.col("anchor_text").alias("anchor_text"),
+        urls.scheme_of(candidate).alias("scheme"),
+        urls.netloc_of(candidate).alias("netloc"),
+        urls.path_of(candidate).alias("path"),
+        urls.query_of(candidate).alias("query"),
+        urls.netloc_of(base).alias("base_netloc"),
+        urls.path_of(base).alias("base_path"),
+    )
+
+    def judge(u: Column) -> Column:
+        path, query, base_path = u["path"], u["query"], u["base_path"]
+        intent = urls.crawl_intent(base_path)
+        specific = intent == fixed.CRAWL_SPECIFIC
+        crawlable = urls.is_crawlable(u["scheme"], u["netloc"], path, query, u["base_netloc"])
+        verdict = (
+            F.when(u["url"] == "", F.lit("rejected"))
+            .when(u["url"] == u["base"], F.lit("base"))
+            .when(~crawlable, F.lit("rejected"))
+            .when(specific & urls.is_utility_page(path, query, base_path), F.lit("utility"))
+            .otherwise(F.lit("kept"))
+        )
+        own = let(urls.page_type(path, query), lambda kind: urls.priority_score(path, query, kind))
+        score = F.when(
+            specific, urls.specific_score(path, query, base_path, u["anchor_text"])
+        ).otherwise(own)
+        return F.struct(
+            intent.alias("intent"),
+            verdict.alias("verdict"),
+            score.cast("bigint").alias("score"),
+            urls.path_depth(path).cast("bigint").alias("depth"),
+        )
+
+    return let(parts, judge)
+
+
 def _base_rows(sites: DataFrame, include_homepage: bool) -> DataFrame:
     """The base page itself takes part when asked for or in a specific-page crawl."""
     base = sites.select(urls.crawl_url(F.col("base_url")).alias("base")).where("base != ''").distinct()

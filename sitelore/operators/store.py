@@ -58,10 +58,16 @@ class ChunkStore:
         self.spark = spark
         self.path = path
 
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def exists(self) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
+        """Is there at least one stored bucket?"""
+        path, fs = self._files()
+        if not fs.exists(path):
+            return False
+        return any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(path))
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.path)
@@ -96,8 +102,12 @@ class ChunkStore:
         touched = [r.bucket for r in buckets.select("bucket").distinct().collect()]
         return self.read().where(F.col("bucket").isin(touched))
 
-    def upsert(self, chunks: DataFrame) -> int:
-        """Insert chunks, replacing stored ones with the same id; later rows win inside a batch."""
+    def upsert(self, chunks: DataFrame, replace_sites: bool = False) -> dict[str, int]:
+        """Insert chunks, replacing stored ones with the same id; later rows win inside a batch.
+
+        With `replace_sites` every stored chunk of the incoming sites goes, in the same write,
+        so readers never see a site without chunks.
+        """
         order = [F.col("chunk_index").desc()] if "chunk_index" in chunks.columns else [F.col("text")]
         w = Window.partitionBy("chunk_id").orderBy(*order)
         incoming = materialize(
@@ -106,15 +116,19 @@ class ChunkStore:
             .withColumn("bucket", _bucket()),
             "incoming",
         )
-        n = incoming.count()
-        if n == 0:
-            return 0
+        done = {"upserted": incoming.count(), "deleted": 0}
+        if not done["upserted"]:
+            return done
         current = self._current(incoming)
         rows = incoming
         if current is not None:
-            rows = current.join(incoming.select("chunk_id"), "chunk_id", "left_anti").unionByName(incoming)
+            key = "website_id" if replace_sites else "chunk_id"
+            replaced = incoming.select(key).distinct()
+            if replace_sites:
+                done["deleted"] = current.join(replaced, key, "left_semi").count()
+            rows = current.join(replaced, key, "left_anti").unionByName(incoming)
         self._overwrite_buckets(rows)
-        return n
+        return done
 
     def delete_sites(self, sites: DataFrame) -> int:
         """Drop all chunks of the given website_ids; returns how many there were."""
@@ -135,10 +149,8 @@ class ChunkStore:
         return deleted
 
     def _clear_bucket(self, bucket: int) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={int(bucket)}")
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(target, True)
+        path, fs = self._files()
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"bucket={int(bucket)}"), True)
 
     def site(self, website_id: str, filters: dict | None = None) -> DataFrame:
         """Chunks of one site; bucket, site and filters all reach the scan."""

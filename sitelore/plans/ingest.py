@@ -11,6 +11,7 @@ from sitelore.operators import crawl, rank
 from sitelore.operators.embed import Embedder, embed
 from sitelore.operators.extract import extract_pages
 from sitelore.operators.store import ChunkStore
+from sitelore.session import materialize
 
 
 def crawl_pages(fetched: DataFrame) -> DataFrame:
@@ -50,14 +51,13 @@ def index_pages(pages: DataFrame, store: ChunkStore, embedder: Embedder, reindex
     """
     summary = {"chunks_built": 0, "chunks_indexed": 0, "chunks_deleted": 0, "by_type": {}, "errors": []}
     try:
-        rows = searchable_chunks(pages, embedder, indexed=True)
+        rows = materialize(searchable_chunks(pages, embedder, indexed=True), "indexing")
         by_type = {r.chunk_type: r.n for r in rows.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n")).collect()}
         summary["by_type"] = dict(sorted(by_type.items()))
         summary["chunks_built"] = sum(by_type.values())
         if summary["chunks_built"]:
-            if reindex:
-                summary["chunks_deleted"] = store.delete_sites(rows.select("website_id"))
-            summary["chunks_indexed"] = store.upsert(rows)
+            done = store.upsert(rows, replace_sites=reindex)
+            summary["chunks_deleted"], summary["chunks_indexed"] = done["deleted"], done["upserted"]
     except Exception as exc:  # reported to the caller
         summary["errors"].append(str(exc))
     return summary
