@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOTS: dict[str, str] = {}
+
+
 def build_session(app: str = "sitelore", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the jobs expect. Cluster settings win when given."""
     builder = SparkSession.builder.appName(app)
@@ -39,8 +42,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="sitelore-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="sitelore-checkpoint-")
+        root = _LOCAL_ROOTS[app]
     return root
 
 
