@@ -51,7 +51,9 @@ def index_pages(pages: DataFrame, store: ChunkStore, embedder: Embedder, reindex
     """
     summary = {"chunks_built": 0, "chunks_indexed": 0, "chunks_deleted": 0, "by_type": {}, "errors": []}
     try:
-        rows = materialize(searchable_chunks(pages, embedder, indexed=True), "indexing")
+        # chunking reads the pages several times: extract them once
+        extracted = materialize(pages, "pages")
+        rows = materialize(searchable_chunks(extracted, embedder, indexed=True), "indexing")
         by_type = {r.chunk_type: r.n for r in rows.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n")).collect()}
         summary["by_type"] = dict(sorted(by_type.items()))
         summary["chunks_built"] = sum(by_type.values())
