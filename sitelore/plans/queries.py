@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from sitelore import fixed
 from sitelore.functions import scoring, urls
-from sitelore.functions.numbers import round_exact
 from sitelore.functions.text import clean_text, dedupe_key, match_text, query_terms, word_count
 from sitelore.operators import chunks as chunking
 from sitelore.operators import crawl, evaluate, knowledge, prompt, quality, rank, retrieve
@@ -21,7 +20,7 @@ from sitelore.operators.embed import embed, hash_embedder
 from sitelore.operators.extract import needs_browser
 from sitelore.operators.skew import first_per_key
 from sitelore.plans.ask import retrieve_chunks
-from sitelore.plans.ingest import crawl_pages, page_table, searchable_chunks
+from sitelore.plans.ingest import page_table, searchable_chunks
 from sitelore.session import materialize
 from sitelore.sources.tables import documents_as_pages, source_site, table, text_table
 
