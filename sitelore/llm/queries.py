@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sitelore.llm import packing, token_files
+from sitelore.llm import chat, mixing, packing, sharding, token_files, warc
 
 REGISTRY, ORACLES = {}, {}
 
@@ -41,3 +42,60 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_digest(
         table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2
     )
+
+
+@query("op6_flow_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, folder, "documents"), F.array("source"))
+    return mixed.select(
+        "doc_id", "size", F.col("source_sizes")[0].alias("source_size"), F.col("targets")[0].alias("target"),
+        (F.col("size") * F.col("repeats")).alias("taken"),
+    )
+
+
+@query("op7_warc_boundary_chain")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, folder, "pages"))
+
+
+@query(
+    "op8_perspective_rotation",
+    """
+    WITH placed AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+        FROM conversations
+    ), speakers AS (
+        SELECT DISTINCT conv_id, role AS perspective FROM placed WHERE role <> 'system'
+    ), said AS (
+        SELECT p.conv_id, s.perspective, p.pos, p.role = s.perspective AS mine,
+               replace(replace(p.text, '<|im_start|>', '<|im start|>'), '<|im_end|>', '<|im end|>') || '<|im_end|>' AS body,
+               '<|im_start|>' || CASE WHEN p.role = s.perspective THEN 'assistant' WHEN p.role = 'system' THEN 'system'
+                   ELSE 'user name=' || replace(replace(p.role, '<|im_start|>', '<|im start|>'), '<|im_end|>', '<|im end|>') END || chr(10) AS lead
+        FROM placed p JOIN speakers s ON p.conv_id IS NOT DISTINCT FROM s.conv_id
+    ), walked AS (
+        SELECT *, CAST(floor(pos / 64) AS INTEGER) AS part,
+               coalesce(sum(length(lead) + length(body) + 1) OVER (
+                   PARTITION BY conv_id, perspective, CAST(floor(pos / 64) AS INTEGER) ORDER BY pos
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+        FROM said
+    )
+    SELECT conv_id, perspective, part, CAST(min(pos) AS BIGINT) AS first_turn, CAST(count(*) AS INTEGER) AS n_turns,
+           string_agg(lead || body || chr(10), '' ORDER BY pos) AS text,
+           coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(at + length(lead) AS BIGINT) AS VARCHAR) || '-' ||
+               CAST(CAST(at + length(lead) + length(body) AS BIGINT) AS VARCHAR) END, ' ' ORDER BY pos), '') AS masks
+    FROM walked GROUP BY conv_id, perspective, part
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    parts = chat.perspectives(table(spark, folder, "conversations"))
+    spans = F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"]))
+    return parts.withColumn("masks", F.array_join(spans, " "))
+
+
+@query("op9_hilbert_sharding")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.hilbert_shards(table(spark, folder, "documents"), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source", "lang", "hilbert",
+    )
