@@ -55,11 +55,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) ->
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for doc, copy, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = memoryview(encode(text) + end)
+            doc_ids, copies, texts = (batch.column(i).to_pylist() for i in range(3))
+            for doc, copy, encoded in zip(doc_ids, copies, encode(texts)):
+                ids = memoryview(encoded + end)
                 for piece, at in enumerate(range(0, len(ids) // 4, longest)):
                     part = ids[4 * at : 4 * (at + longest)]
                     row = (doc, copy, piece, at, len(part) // 4, zlib.crc32(part))

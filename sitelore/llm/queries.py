@@ -77,13 +77,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         SELECT *, CAST(floor(pos / 64) AS INTEGER) AS part,
                coalesce(sum(length(lead) + length(body) + 1) OVER (
                    PARTITION BY conv_id, perspective, CAST(floor(pos / 64) AS INTEGER) ORDER BY pos
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
         FROM said
     )
     SELECT conv_id, perspective, part, CAST(min(pos) AS BIGINT) AS first_turn, CAST(count(*) AS INTEGER) AS n_turns,
            string_agg(lead || body || chr(10), '' ORDER BY pos) AS text,
-           coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(at + length(lead) AS BIGINT) AS VARCHAR) || '-' ||
-               CAST(CAST(at + length(lead) + length(body) AS BIGINT) AS VARCHAR) END, ' ' ORDER BY pos), '') AS masks
+           coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(begins + length(lead) AS BIGINT) AS VARCHAR) || '-' ||
+               CAST(CAST(begins + length(lead) + length(body) AS BIGINT) AS VARCHAR) END, ' ' ORDER BY pos), '') AS masks
     FROM walked GROUP BY conv_id, perspective, part
     """,
 )

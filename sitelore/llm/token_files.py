@@ -44,7 +44,8 @@ def _levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         more = rest >> BITS
         marks = more > 0
         packed = np.packbits(marks, bitorder="little")
-        ends = np.add.reduceat(marks, np.arange(0, len(marks), BLOCK), dtype="int64") if len(marks) else []
+        blocks = np.arange(0, len(marks), BLOCK)
+        ends = np.add.reduceat(marks, blocks, dtype="<u4") if len(marks) else np.empty(0, "<u4")
         ranks = np.concatenate([[0], np.cumsum(ends)]).astype("<u4")
         levels.append(((rest & ((1 << BITS) - 1)).astype("u1"), packed, ranks))
         if not marks.any():
@@ -108,11 +109,15 @@ class TokenFile:
 
     def all_tokens(self) -> np.ndarray:
         """All ids, level by level."""
-        value, where = np.zeros(self.tokens, dtype="<u4"), slice(None)
+        value, where = np.zeros(self.tokens, dtype="<u4"), None
         for k, (chunks, bitmap, _) in enumerate(self.levels):
-            value[where] |= chunks.astype("<u4") << np.uint32(self.bits * k)
-            marks = np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)
-            where = np.flatnonzero(marks) if k == 0 else where[marks]
+            if k == 0:
+                value[:] = chunks
+            else:
+                value[where] |= chunks.astype("<u4") << np.uint32(self.bits * k)
+            if k + 1 < len(self.levels):
+                marks = np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)
+                where = np.flatnonzero(marks) if k == 0 else where[marks]
         return value
 
 
@@ -122,7 +127,7 @@ def write_token_files(
     tokenizer: str,
     end_id: int = 2,
     shard_bytes: int = 64 << 20,
-    file_tokens: int = 16_000_000,
+    file_tokens: int = 8_000_000,
 ) -> DataFrame:
     """Write the ids of all documents in ascending `doc_id` order; one `MANIFEST` row per file.
 
@@ -146,12 +151,12 @@ def write_token_files(
     narrow = "<u2"
 
     def encode(batches):
-        run = encoder(tokenizer).encode
+        run = encoder(tokenizer).encode_many
         for batch in batches:
             ids_of, wide = [], []
             doc_ids = batch.column(0).to_pylist()
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(run(text) + end, "<u4")
+            for encoded in run(batch.column(1).to_pylist()):
+                ids = np.frombuffer(encoded + end, "<u4")
                 wide.append(bool(ids.max() > 0xFFFF))  # two bytes an id for small vocabularies
                 ids_of.append((ids if wide[-1] else ids.astype(narrow)).tobytes())
             keys = np.array([-np.inf if d is None else d for d in doc_ids], dtype="float64")
@@ -179,7 +184,7 @@ def write_token_files(
                 if shard != now:
                     now, part = shard, 0
                 names.append(doc)
-                arrays.append(np.frombuffer(ids, "<u4" if wide else narrow).astype("<u4"))
+                arrays.append(np.frombuffer(ids, "<u4" if wide else narrow))
                 held += len(arrays[-1])
         if names:
             made.append(flush(now, part, names, arrays))
@@ -201,7 +206,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for shard, part, name in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 file = TokenFile(read_range(folder, name))
-                data = memoryview(file.all_tokens().tobytes())
+                data = memoryview(file.all_tokens()).cast("B")
                 starts = file.starts.tolist()
                 crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts, starts[1:])]
                 docs = len(crcs)

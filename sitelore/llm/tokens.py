@@ -1,41 +1,26 @@
 """Token ids of whole texts with a public tokenizer file, one cached look-up per word.
 
 Both kinds of tokenizer cut a text into pieces that never join a character before a
-plain space with one after it. So the ids of a text are the ids of its words one
-after the other, and a word that came before costs one dictionary look-up. Texts
-whose white space is unusual go through the tokenizer whole. `tests/llm/test_tokens.py`
-holds the results against the tokenizer itself.
+plain space with one after it. So the ids of a text are the ids of its words one after
+the other, and a word that came before costs one dictionary look-up. New words of many
+texts go through the tokenizer together. Texts whose white space is unusual go through
+it whole. `tests/llm/test_tokens.py` holds the results against the tokenizer itself.
 """
 
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
-CACHE_WORDS = 600_000  # bounds the memory of a worker; no effect on results
+CACHE_WORDS = 1_000_000  # bounds the memory of a worker; no effect on results
+SLICE_TEXTS = 1024  # texts whose new words are encoded together
+JOINED_WORDS = 4000
 
 _LOADED: dict[str, object] = {}
 
 
-class _Words(dict):
-    """Word to its ids as little-endian uint32 bytes. Frequent words come early, so the
-    first ones stay when it is full and the others are encoded each time."""
-
-    def __init__(self, encode, prefix: str):
-        super().__init__()
-        self.encode = encode
-        self.prefix = prefix
-
-    def __missing__(self, word: str) -> bytes:
-        if not word or word != word.strip():
-            raise KeyError(word)  # unusual white space: the caller encodes the text whole
-        ids = self.encode(self.prefix + word)
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
-        return ids
-
-
 class TextEncoder:
     """Ids of texts as little-endian uint32 bytes."""
 
@@ -46,32 +31,79 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the strings of special tokens inside a text are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.spaces_matter = len(self._whole("a b")) != len(self._whole("a  b")) or self._whole(
-            "a b"
-        ) != self._whole("a\nb")
-        self.plain = _Words(self._whole, "")
-        self.spaced = _Words(self._whole, " ")
+        self.spaces_matter = self._whole("a b") != self._whole("a\nb")
+        self.plain: dict[str, bytes] = {}  # words at the start of a line
+        self.spaced: dict[str, bytes] = {}  # words after a space
+        # a separator between words that is one id, and no part of any of them
+        self.mark, self.joint = ("\n", "\n") if self.spaces_matter else ("7", " 7 ")
         self.newline = self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        try:
+        return array("I", ids).tobytes()
+
+    def _learn(self, words: set[str], known: dict[str, bytes], prefix: str) -> list[str]:
+        """Add the ids of new words to `known`; words with white space at an end stay out."""
+        new = [w for w in words if w not in known and w and w == w.strip()]
+        for w in [w for w in new if self.mark in w]:
+            known[w] = self._whole(prefix + w)
+        clean = [w for w in new if w not in known]
+        (mark,) = np.frombuffer(self._whole(self.mark), "u4")
+        for i in range(0, len(clean), JOINED_WORDS):
+            part = clean[i : i + JOINED_WORDS]
+            ids = np.frombuffer(self._whole(self.joint.join([prefix + w for w in part])), "u4")
+            cuts = np.flatnonzero(ids == mark).tolist()
+            if len(cuts) != len(part) - 1:  # never with the public files
+                known.update((w, self._whole(prefix + w)) for w in part)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, cut in zip(part, cuts + [len(ids)]):
+                known[w] = data[4 * at : 4 * cut]
+                at = cut + 1
+        return new
+
+    def _slice(self, texts: list[str]) -> list[bytes]:
+        starts, others = set(), set()
+        rows: list[list[list[str]]] = []
+        for text in texts:
             if self.spaces_matter:
-                return self.newline.join(map(self._line, text.split("\n")))
-            if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                return b"".join(map(self.plain.__getitem__, text.split()))
-        except KeyError:
-            pass
-        return self._whole(text)
+                lines = [line.split(" ") for line in text.split("\n")]
+            else:  # these four count as white space in Python alone
+                odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
+                lines = [[""]] if odd else [text.split()]
+            rows.append(lines)
+            for words in lines:
+                if self.spaces_matter:
+                    starts.add(words[0])
+                    others.update(words[1:])
+                else:
+                    starts.update(words)
+        new_starts = self._learn(starts, self.plain, "")
+        new_others = self._learn(others, self.spaced, " ")
+        plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
+        out = []
+        for text, lines in zip(texts, rows):
+            try:
+                if self.spaces_matter:
+                    out.append(
+                        self.newline.join([plain(w[0]) + b"".join(map(spaced, w[1:])) for w in lines])
+                    )
+                else:
+                    out.append(b"".join(map(plain, lines[0])))
+            except KeyError:
+                out.append(self._whole(text))
+        # frequent words come early, so the first ones stay
+        for known, new in ((self.plain, new_starts), (self.spaced, new_others)):
+            for w in new[: max(0, len(known) - CACHE_WORDS)]:
+                del known[w]
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; null and empty texts have none."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), SLICE_TEXTS):
+            out += self._slice([t or "" for t in texts[i : i + SLICE_TEXTS]])
+        return out
 
 
 def encoder(path: str) -> TextEncoder:
