@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelore.llm import chat, mixing, packing, sharding, token_files, warc
+from sitelore.llm import chat, lattice, mixing, packing, routing, sharding, token_files, toxicity, warc
 
 REGISTRY, ORACLES = {}, {}
 
@@ -99,3 +99,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "source", "lang", "hilbert",
     )
+
+
+@query("op5_learned_partitions")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return routing.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
+
+
+@query("op10_lattice_hashing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@query("op3_nonnegative_pu")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore.llm.files import new_folder, read_range, write_file
-from sitelore.llm.tokens import encoder
+from sitelore.llm.tokens import encoder, small_batches
 from sitelore.session import materialize
 
 MAGIC = b"DACTOK01"
@@ -152,7 +152,7 @@ def write_token_files(
 
     def encode(batches):
         run = encoder(tokenizer).encode_many
-        for batch in batches:
+        for batch in small_batches(batches):
             ids_of, wide = [], []
             doc_ids = batch.column(0).to_pylist()
             for encoded in run(batch.column(1).to_pylist()):

@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000  # bounds the memory of a worker; no effect on results
-SLICE_TEXTS = 1024  # texts whose new words are encoded together
+CACHE_WORDS = 300_000  # bounds the memory of a worker; no effect on results
+SLICE_TEXTS = 512  # texts whose new words are encoded together
 JOINED_WORDS = 4000
 
 _LOADED: dict[str, object] = {}
@@ -106,6 +106,13 @@ class TextEncoder:
         return out
 
 
+def small_batches(batches):
+    """Arrow batches of at most `SLICE_TEXTS` rows, so that few whole texts exist as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_TEXTS):
+            yield batch.slice(at, SLICE_TEXTS)
+
+
 def encoder(path: str) -> TextEncoder:
     """The encoder of a tokenizer file, loaded once per worker."""
     if path not in _LOADED:
