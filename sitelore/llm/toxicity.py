@@ -37,9 +37,9 @@ class Fit:
     least_share: float = 0.002  # of the positives that must hold a feature
     least_lift: float = 3.0
     least_deviations: float = 5.0  # of a feature's positives above what unlabelled text makes likely
-    steps: int = 400
+    steps: int = 600
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 3e-5
     step_back: float = 1.0
     seed: int = 3
 
