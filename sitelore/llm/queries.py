@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelore.llm import chat, lattice, mixing, packing, routing, sharding, token_files, toxicity, warc
+from sitelore.llm import chat, lattice, mixing, near_dedup, packing, routing, sharding, token_files, toxicity, warc
 
 REGISTRY, ORACLES = {}, {}
 
@@ -114,3 +114,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_nonnegative_pu")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op1_dart_minhash")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(table(spark, folder, "documents"), threshold=0.8).select(
+        "doc_id", "class_id", "kept"
+    )

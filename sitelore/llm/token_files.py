@@ -33,7 +33,7 @@ BLOCK = 512
 NO_DOC = -(2**63)  # stands for a null doc_id in a file
 
 MANIFEST = "shard long, part long, file string, documents long, tokens long"
-DECODED = "shard long, part long, doc_id long, offset long, n_tokens long, ids_crc32 long"
+DECODED = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _levels(ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -204,33 +204,26 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for shard, part, name in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for name, first in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 file = TokenFile(read_range(folder, name))
                 data = memoryview(file.all_tokens()).cast("B")
                 starts = file.starts.tolist()
                 crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(starts, starts[1:])]
-                docs = len(crcs)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(docs, shard)), pa.array(np.full(docs, part)),
                         pa.array(file.doc_ids, mask=file.doc_ids == NO_DOC),
-                        pa.array(file.starts[:-1]), pa.array(np.diff(file.starts)),
+                        pa.array(file.starts[:-1] + first), pa.array(np.diff(file.starts)),
                         pa.array(crcs, pa.int64()),
                     ],
-                    ["shard", "part", "doc_id", "offset", "n_tokens", "ids_crc32"],
+                    ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select(  # one row per file
         "shard", "part", "file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first")
     )
-    spread = starts.repartition(max(1, starts.count()), "shard", "part")
-    files = spread.select("shard", "part", "file")
-    return (
-        files.mapInArrow(read, DECODED)
-        .join(starts.select("shard", "part", "first"), ["shard", "part"])
-        .select("doc_id", (F.col("first") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    spread = starts.repartition(max(1, manifest.count()), "shard", "part")
+    return spread.mapInArrow(read, DECODED)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
