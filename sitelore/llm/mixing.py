@@ -139,7 +139,7 @@ def mix_sources(
     seed: int = 11,
     tolerance: float = 0.002,
 ) -> DataFrame:
-    """doc_id, uid, size, sources, source_sizes, targets, repeats, pieces per row of `docs`
+    """doc_id, uid, text_hash, size, sources, source_sizes, targets, repeats, pieces per row of `docs`
     (`doc_id`, `text`); sizes and targets belong to the sources in their order.
 
     `sources`: array of the sources a document belongs to; a null or empty array counts as
@@ -154,19 +154,39 @@ def mix_sources(
     Texts without words have size 0, fit nothing and are never taken. Null `doc_id`s and
     repeated rows are documents like any other. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    sets = F.sort_array(F.array_distinct(F.coalesce(sources.cast("array<string>"), F.array().cast("array<string>"))))
-    sets = F.when(F.size(sets) == 0, F.array(F.lit(None).cast("string"))).otherwise(sets)
+    rows = _rows(docs, sources, seed)
+    state, plans = _choose(rows, weights, most, tolerance)
+    repeats = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("int")).otherwise(0)
+    return state.join(plans, "pattern").select(
+        "doc_id", "uid", "text_hash", "size", "sources", "source_sizes", "targets",
+        repeats.cast("int").alias("repeats"), "pieces",
+    )
+
+
+def _source_set(sources: Column) -> Column:
+    """Sorted distinct sources; the null source alone where there are none."""
+    names = F.coalesce(sources.cast("array<string>"), F.array().cast("array<string>"))
+    distinct = F.sort_array(F.array_distinct(names))
+    return F.when(F.size(distinct) == 0, F.array(F.lit(None).cast("string"))).otherwise(distinct)
+
+
+def _rows(docs: DataFrame, sources: Column, seed: int) -> DataFrame:
+    """The narrow table of documents that the choice is made on."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         word_count(F.col("text").cast("string")).alias("size"),
-        F.to_json(sets).alias("pattern"),
+        F.to_json(_source_set(sources)).alias("pattern"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
         F.monotonically_increasing_id().alias("uid"),
     )
-    draw = F.xxhash64(F.lit(seed), "doc_id", "pattern")
+    draw = F.xxhash64(F.lit(seed), "doc_id", "text_hash", "pattern")
     rows = rows.withColumn("draw", draw).withColumn("bucket", F.pmod("draw", F.lit(HASH_BUCKETS)).cast("int"))
-    rows = materialize(rows, "mix-rows")
+    return materialize(rows, "mix-rows")
 
+
+def _choose(rows: DataFrame, weights, most: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with `extra` (taken in the last, partial pass) and one plan per pattern."""
+    spark = rows.sparkSession
     # one row per pattern; documents stay where they are
     supply = {r["pattern"]: r["words"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("words")).collect()}
     members = {p: json.loads(p) for p in supply}
@@ -210,7 +230,32 @@ def mix_sources(
         state = state.drop("_now")
         # a pattern to which nothing was added holds nothing that fits
         gaps = {r["pattern"]: gaps[r["pattern"]] - r["words"] for r in added}
-    repeats = F.when(F.col("size") > 0, F.col("passes") + F.col("extra").cast("int")).otherwise(0)
-    return state.join(plans, "pattern").select(
-        "doc_id", "uid", "size", "sources", "source_sizes", "targets", repeats.cast("int").alias("repeats"), "pieces"
+    return state, plans
+
+
+def repeat_documents(docs: DataFrame, sources: Column, **options) -> DataFrame:
+    """Rows of `docs`, all columns, each as often as `mix_sources` takes it.
+
+    Rows that agree in doc_id, text and sources are interchangeable: together they come as
+    often as the mix takes them all.
+    """
+    takes = mix_sources(docs, sources, **options)
+    keys = ["_id", "_hash", "_pattern"]
+    marks = takes.groupBy(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
+        F.col("text_hash").alias("_hash"), F.to_json("sources").alias("_pattern"),
+    ).agg(F.sum("repeats").alias("_takes"), F.count(F.lit(1)).alias("_rows"))
+    rows = (
+        docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
+        .withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+        .withColumn("_pattern", F.to_json(_source_set(sources)))
     )
+    chosen = rows.join(marks.where("_takes > 0"), keys)
+    same = Window.partitionBy(*keys).orderBy(F.lit(0))
+    # equal rows share their takes: as even as whole numbers allow
+    single = chosen.where("_rows = 1").withColumn("_mine", F.col("_takes"))
+    several = chosen.where("_rows > 1").withColumn("_at", F.row_number().over(same) - 1).withColumn(
+        "_mine", F.floor(F.col("_takes") / F.col("_rows")) + (F.col("_at") < F.col("_takes") % F.col("_rows")).cast("int")
+    ).drop("_at")
+    counted = single.unionByName(several).where("_mine > 0")
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mine").cast("long")))).select(*docs.columns)
