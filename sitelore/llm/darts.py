@@ -32,7 +32,7 @@ def _strips(elements: np.ndarray, weights: np.ndarray):
     """(hash, low end, width, weight) of every strip that an element's weight reaches."""
     low, width, level = 0.0, 1.0, 0
     while len(elements):
-        yield mix(elements + np.uint64(level + 1) * _A), low, width, weights
+        yield mix(elements + np.uint64((level + 1) * int(_A) % 2**64)), low, width, weights
         low, width, level = low + width, (1.0 if level == 0 else 2 * width), level + 1
         more = weights > low
         if not more.any():

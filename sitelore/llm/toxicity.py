@@ -23,7 +23,7 @@ from sitelore.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 PARTS = (4, 5, 6)  # lengths of word beginnings
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     Only rows outside the held-out third are used. A document is positive if any of its
     labels is 1. Positives and unlabelled documents are seeded samples of at most
     `fit.positives` and `fit.unlabelled` rows (equal texts once). The prior is the share of
-    toxic documents among the labelled ones. Without a positive every score is 0.
+    toxic documents among the labelled ones. Without a positive document every score is 0.
     """
     open_labels = (
         labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
@@ -124,7 +124,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     positives = ids.join(open_labels.where("toxic = 1"), "doc_id", "left_semi")
     positives = positives.orderBy(draw).limit(fit.positives).withColumn("positive", F.lit(True))
     unlabelled = ids.orderBy(draw).limit(fit.unlabelled).withColumn("positive", F.lit(False))
-    sample = texts.join(positives.unionByName(unlabelled), "doc_id").dropDuplicates(["positive", "text"])
+    drawn = positives.unionByName(unlabelled)  # at most `fit.positives + fit.unlabelled` ids
+    sample = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["positive", "text"])
 
     def extract(batches):
         for batch in batches:
@@ -143,6 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
         "toxic-sample",
     )
     n_pos, n_unl = held.agg(F.sum(F.col("positive").cast("int")), F.sum((~F.col("positive")).cast("int"))).first()
+    if not n_pos:
+        return Model({}, -50.0)
     rows = held.select("doc_id", "positive", F.explode("features").alias("feature"))
     least = max(min(fit.least_documents, n_pos), int(fit.least_share * n_pos))
     share_pos = (F.col("pos") + 0.5) / (n_pos + 1)
