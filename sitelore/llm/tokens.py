@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 300_000  # bounds the memory of a worker; no effect on results
+CACHE_WORDS = 450_000  # bounds the memory of a worker; no effect on results
 SLICE_TEXTS = 512  # texts whose new words are encoded together
 JOINED_WORDS = 4000
 
