@@ -145,7 +145,7 @@ def write_token_files(
     shards = max(1, -(-size // shard_bytes))
     # one bound per shard, the same amount that a file listing has
     cuts = [i / shards for i in range(1, shards)]
-    bounds = sorted(set(rows.stat.approxQuantile("doc_id", cuts, 0.1 / shards))) if cuts else []
+    bounds = sorted(set(docs.stat.approxQuantile("doc_id", cuts, 0.1 / shards))) if cuts else []
     bounds = np.asarray(bounds, dtype="float64")
     end = np.array([end_id], dtype="<u4").tobytes()
     narrow = "<u2"
@@ -153,17 +153,21 @@ def write_token_files(
     def encode(batches):
         run = encoder(tokenizer).encode_many
         for batch in small_batches(batches):
-            ids_of, wide = [], []
             doc_ids = batch.column(0).to_pylist()
-            for encoded in run(batch.column(1).to_pylist()):
-                ids = np.frombuffer(encoded + end, "<u4")
-                wide.append(bool(ids.max() > 0xFFFF))  # two bytes an id for small vocabularies
-                ids_of.append((ids if wide[-1] else ids.astype(narrow)).tobytes())
+            encoded = [ids + end for ids in run(batch.column(1).to_pylist())]
+            ids = np.frombuffer(b"".join(encoded), "<u4")
+            wide = bool(len(ids) and ids.max() > 0xFFFF)  # two bytes an id for small vocabularies
+            size = 4 if wide else 2
+            ends = np.cumsum([0, *map(len, encoded)]) // 4 * size
+            packed = ids if wide else ids.astype(narrow)
+            column = pa.Array.from_buffers(
+                pa.binary(), len(encoded), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(packed)]
+            )
             keys = np.array([-np.inf if d is None else d for d in doc_ids], dtype="float64")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.searchsorted(bounds, keys, side="right").astype("int64")),
-                    pa.array(doc_ids, pa.int64()), pa.array(wide, pa.bool_()), pa.array(ids_of, pa.binary()),
+                    pa.array(doc_ids, pa.int64()), pa.array(np.full(len(encoded), wide)), column,
                 ],
                 ["shard", "doc_id", "wide", "ids"],
             )

@@ -15,8 +15,8 @@ from array import array
 import numpy as np
 
 CACHE_WORDS = 450_000  # bounds the memory of a worker; no effect on results
-SLICE_TEXTS = 512  # texts whose new words are encoded together
-JOINED_WORDS = 4000
+SLICE_TEXTS = 1024  # texts whose new words are encoded together
+JOINED_WORDS = 8000
 
 _LOADED: dict[str, object] = {}
 
