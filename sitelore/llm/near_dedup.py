@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from sitelore.llm.components import connected_components
 from sitelore.llm.darts import mix, signature
 from sitelore.llm.files import parallelism
-from sitelore.llm.runs import runs
+from sitelore.llm.runs import runs, small_batches
 from sitelore.session import materialize
 
 WORDS = 5
@@ -69,34 +69,32 @@ def sign_documents(docs: DataFrame, weighted: bool) -> DataFrame:
     k = BANDS * ROWS
 
     def sign(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                cols: list[list] = [[] for _ in range(4)]
-                for text in part.column(3).to_pylist():
-                    words = words_of(text)
-                    if not words:
-                        for col in cols:
-                            col.append(None)
-                        continue
-                    data = (" ".join(words) + " ").encode("utf-8", "surrogatepass")
-                    elements, counts = shingles(data)
-                    names = signature(elements, counts if weighted else None, k)
-                    bands = names.astype("uint64").reshape(BANDS, ROWS)
-                    key = np.arange(BANDS, dtype="uint64")
-                    for r in range(ROWS):
-                        key = mix(key * np.uint64(0x100000001B3) + bands[:, r] + np.uint64(1))
-                    # 32 bits a shingle are enough for one pair; the wide hash made the signature
-                    small = np.unique(elements.astype("uint32"))
-                    cols[0].append(xxhash.xxh3_128_digest(data))
-                    cols[1].append(key.view("int64").tolist())
-                    cols[2].append(names.tobytes())
-                    cols[3].append(small.tobytes())
-                types = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], *(pa.array(c, t) for c, t in zip(cols, types))],
-                    ["uid", "doc_id", "text_hash", "key", "bands", "signature", "shingles"],
-                )
+        for part in small_batches(batches, 512):
+            cols: list[list] = [[] for _ in range(4)]
+            for text in part.column(3).to_pylist():
+                words = words_of(text)
+                if not words:
+                    for col in cols:
+                        col.append(None)
+                    continue
+                data = (" ".join(words) + " ").encode("utf-8", "surrogatepass")
+                elements, counts = shingles(data)
+                names = signature(elements, counts if weighted else None, k)
+                bands = names.astype("uint64").reshape(BANDS, ROWS)
+                key = np.arange(BANDS, dtype="uint64")
+                for r in range(ROWS):
+                    key = mix(key * np.uint64(0x100000001B3) + bands[:, r] + np.uint64(1))
+                # 32 bits a shingle are enough for one pair; the wide hash made the signature
+                small = np.unique(elements.astype("uint32"))
+                cols[0].append(xxhash.xxh3_128_digest(data))
+                cols[1].append(key.view("int64").tolist())
+                cols[2].append(names.tobytes())
+                cols[3].append(small.tobytes())
+            types = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], *(pa.array(c, t) for c, t in zip(cols, types))],
+                ["uid", "doc_id", "text_hash", "key", "bands", "signature", "shingles"],
+            )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelore.llm.tokens import encoder, small_batches
+from sitelore.llm.runs import small_batches
+from sitelore.llm.tokens import SLICE_TEXTS, encoder
 from sitelore.session import materialize
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +57,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) ->
 
     def cut(batches):
         encode = encoder(tokenizer).encode_many
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, SLICE_TEXTS):
             cols: list[list] = [[] for _ in range(6)]
             doc_ids, copies, texts = (batch.column(i).to_pylist() for i in range(3))
             for doc, copy, encoded in zip(doc_ids, copies, encode(texts)):

@@ -1,4 +1,4 @@
-"""Groups of rows that lie next to each other in a sorted partition."""
+"""Arrow batches inside tasks: short slices, and groups of neighbouring rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that few of them exist as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key values, rows) of each run of equal keys; holds one run at a time.
 

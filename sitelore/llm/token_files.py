@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore.llm.files import new_folder, read_range, write_file
-from sitelore.llm.tokens import encoder, small_batches
+from sitelore.llm.runs import small_batches
+from sitelore.llm.tokens import SLICE_TEXTS, encoder
 from sitelore.session import materialize
 
 MAGIC = b"DACTOK01"
@@ -152,7 +153,7 @@ def write_token_files(
 
     def encode(batches):
         run = encoder(tokenizer).encode_many
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, SLICE_TEXTS):
             doc_ids = batch.column(0).to_pylist()
             encoded = [ids + end for ids in run(batch.column(1).to_pylist())]
             ids = np.frombuffer(b"".join(encoded), "<u4")

@@ -106,13 +106,6 @@ class TextEncoder:
         return out
 
 
-def small_batches(batches):
-    """Arrow batches of at most `SLICE_TEXTS` rows, so that few whole texts exist as Python objects."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_TEXTS):
-            yield batch.slice(at, SLICE_TEXTS)
-
-
 def encoder(path: str) -> TextEncoder:
     """The encoder of a tokenizer file, loaded once per worker."""
     if path not in _LOADED:

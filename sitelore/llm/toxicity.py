@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelore.llm.runs import small_batches
 from sitelore.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -128,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     sample = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["positive", "text"])
 
     def extract(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 128):
             found = [
                 sorted({f for w in words_of(t) for f in features_of(w)}) for t in batch.column(1).to_pylist()
             ]
@@ -219,7 +220,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def add(batches):
         if not held:
             held.append(Scorer(model))
-        for batch in batches:
+        for batch in small_batches(batches, 1024):
             at = batch.schema.get_field_index("text")
             scores = [held[0].score(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
