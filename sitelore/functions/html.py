@@ -16,11 +16,17 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitelore import fixed
+
+# kids: child elements; place: position among the parent's kids; stop3, stop4: place of the
+# next live heading up to h3, h4 after a heading; up: ancestors of an image, outermost first;
+# solid: characters under the node that are not white space; alive: kept by noise removal
 NODE = (
     "struct<i:int,parent:int,last:int,t0:int,t1:int,tag:string,"
-    "attrs:map<string,string>,json:string>"
+    "attrs:map<string,string>,json:string,kids:array<int>,place:int,stop3:int,stop4:int,"
+    "up:array<int>,solid:int,alive:boolean>"
 )
-DOM = f"nodes array<{NODE}>, texts array<string>"
+DOM = f"nodes array<{NODE}>, texts array<string>, live array<boolean>"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|"
@@ -149,6 +155,59 @@ class _Builder:
         self.texts.append(value)
 
 
+def _noisy(node: dict) -> bool:
+    names = f"{node['attrs'].get('class', '')} {node['attrs'].get('id', '')}".lower()
+    return node["tag"] in fixed.NOISE_TAGS or any(p in names for p in fixed.NOISE_PATTERNS)
+
+
+def _relations(nodes: list[dict], texts: list[str]) -> list[bool]:
+    """Add what relates nodes to each other, in one pass; returns which texts are live.
+
+    Dead are scripts and similar, anything whose class or id contains a noise word, and
+    then elements left without text, images or tables.
+    """
+    live, until = [True] * len(texts), 0
+    for n in nodes:
+        n["alive"] = n["i"] >= until
+        if n["alive"] and _noisy(n):
+            n["alive"], until = False, n["last"]
+            live[n["t0"] : n["t1"]] = [False] * (n["t1"] - n["t0"])
+        n.update(kids=[], place=0, stop3=None, stop4=None, up=None)
+        if n["parent"] >= 0:
+            siblings = nodes[n["parent"]]["kids"]
+            n["place"] = len(siblings)
+            siblings.append(n["i"])
+    solid, full, media = [0], [0], [0]
+    for t, kept in zip(texts, live):
+        size = sum(map(len, t.split()))
+        solid.append(solid[-1] + size)
+        full.append(full[-1] + (kept and size > 0))
+    for n in nodes:
+        media.append(media[-1] + (n["alive"] and n["tag"] in ("img", "table")))
+    for n in nodes:
+        n["solid"] = solid[n["t1"]] - solid[n["t0"]]
+        n["alive"] = n["alive"] and (
+            n["tag"] in fixed.KEEP_WHEN_EMPTY_TAGS
+            or full[n["t1"]] > full[n["t0"]]
+            or media[n["last"]] > media[n["i"] + 1]
+        )
+        if n["tag"] == "img":
+            n["up"], above = [], n["parent"]
+            while above >= 0:
+                n["up"].insert(0, above)
+                above = nodes[above]["parent"]
+    for n in nodes:
+        stop3 = stop4 = len(n["kids"])
+        for k in reversed(n["kids"]):
+            kid = nodes[k]
+            if kid["tag"] in ("h1", "h2", "h3", "h4"):
+                kid["stop3"], kid["stop4"] = stop3, stop4
+                if kid["alive"]:
+                    stop4 = kid["place"]
+                    stop3 = stop3 if kid["tag"] == "h4" else stop4
+    return live
+
+
 def _attributes(raw: str) -> dict:
     found: dict = {}
     for name, value in _ATTR.findall(raw):
@@ -192,11 +251,11 @@ def parse_html(source: str | None) -> dict:
             b.end(tag)
     while b.open:
         b.pop()
-    return {"nodes": b.nodes, "texts": b.texts}
+    return {"nodes": b.nodes, "texts": b.texts, "live": _relations(b.nodes, b.texts)}
 
 
 def _parse_batch(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_html(p) for p in pages], columns=["nodes", "texts"])
+    return pd.DataFrame([parse_html(p) for p in pages], columns=["nodes", "texts", "live"])
 
 
 def dom(html: Column) -> Column:

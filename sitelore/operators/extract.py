@@ -6,6 +6,7 @@ shuffles and pages of any host spread evenly.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from sitelore import fixed
 from sitelore.functions import urls
 from sitelore.functions.binding import built_once, let
-from sitelore.functions.html import dom
+from sitelore.functions.html import NODE, dom
 from sitelore.functions.numbers import round_exact
 from sitelore.functions.text import SPACE_CLASS, clean_text, contains_any, strip
 from sitelore.schemas import FAQS, HEADINGS, IMAGES, LINKS, LISTS, SECTIONS, TABLES
@@ -22,8 +23,27 @@ from sitelore.schemas import FAQS, HEADINGS, IMAGES, LINKS, LISTS, SECTIONS, TAB
 STRINGS = "array<string>"
 
 
-def _over(build) -> Column:
-    """`build(nodes, texts, page_url)` with the page's arrays bound once.
+@dataclass(frozen=True)
+class Limits:
+    """Cuts of what is extracted, in characters or items; None keeps everything."""
+
+    content: int | None = None
+    section: int | None = None
+    sections: int | None = None
+    faq_answer: int | None = None
+    faq_stop: int | None = None
+    nearby: int | None = None
+
+
+WHOLE = Limits()
+
+
+def _cut(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _over(build, *options) -> Column:
+    """`build(nodes, texts, page_url, *options)` with the page's arrays bound once.
 
     Lambdas below refer to these arrays. Were they plain columns, the optimizer could
     move their definitions into the lambdas and compute them once per element.
@@ -31,9 +51,9 @@ def _over(build) -> Column:
 
     def column() -> Column:
         bound = F.struct("nodes", "texts", "page_url")
-        return let(bound, lambda d: build(d["nodes"], d["texts"], d["page_url"]))
+        return let(bound, lambda d: build(d["nodes"], d["texts"], d["page_url"], *options))
 
-    return built_once(f"extract.{build.__name__}", column)
+    return built_once(f"extract.{build.__name__}{options}", column)
 
 
 # --- node arithmetic --------------------------------------------------------
@@ -55,10 +75,14 @@ def _text(node: Column, texts: Column) -> Column:
 
 
 def _subtree(node: Column, nodes: Column) -> Column:
-    """Descendants. Only valid on the full node array, where position equals `i`."""
+    """Descendants of a node; null without a node."""
     return F.slice(nodes, node["i"] + 2, node["last"] - node["i"] - 1)
 
 
+def _picked(ids: Column, nodes: Column) -> Column:
+    return F.transform(ids, lambda i: F.get(nodes, i))
+
+
 def _first(nodes: Column) -> Column:
     return F.get(nodes, F.lit(0))
 
@@ -67,14 +91,30 @@ def _tags(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
 
 
-def _first_distinct(items: Column, key) -> Column:
-    """Items whose key did not occur earlier in the array."""
-    return let(
+def _live_tags(nodes: Column, *tags: str) -> Column:
+    return F.filter(nodes, lambda n: n["alive"] & n["tag"].isin(*tags))
+
+
+def _first_per_key(items: Column, *keys) -> Column:
+    """Structs (at, item): of items with equal first key the one that sorts first by the
+    other keys and then by place, in the order of the first key. Sorting instead of
+    searching keeps long arrays cheap; keys and items must be comparable."""
+    rows = F.transform(
         items,
-        lambda all_: F.filter(
-            all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: key(y) == key(x))
+        lambda x, i: F.struct(
+            *(k(x).alias(f"k{n}") for n, k in enumerate(keys)), i.alias("at"), x.alias("item")
         ),
     )
+    return let(
+        F.array_sort(rows),
+        lambda s: F.filter(s, lambda r, i: (i == 0) | (F.get(s, i - 1)["k0"] != r["k0"])),
+    )
+
+
+def _first_distinct(items: Column, key) -> Column:
+    """Items whose key did not occur earlier in the array."""
+    found = F.transform(_first_per_key(items, key), lambda r: F.struct(r["at"].alias("at"), r["item"].alias("item")))
+    return F.transform(F.array_sort(found), lambda r: r["item"])
 
 
 # --- before noise removal ---------------------------------------------------
@@ -95,7 +135,7 @@ def _page_metadata(df: DataFrame) -> DataFrame:
         entries = F.transform(
             tagged,
             lambda n: F.struct(
-                F.substring(_attr(n, attr), len(prefix) + 1, 1 << 20).alias("key"),
+                F.regexp_replace(_attr(n, attr), f"^.{{{len(prefix)}}}", "").alias("key"),
                 clean_text(_attr(n, "content")).alias("value"),
             ),
         )
@@ -221,24 +261,23 @@ def _dimension(img: Column, name: str) -> Column:
     return F.coalesce(own, styled.try_cast("int"))
 
 
-def _nearby_text(img: Column, ancestors: Column, nodes: Column, texts: Column) -> Column:
+def _nearby_text(img: Column, ancestors: Column, nodes: Column, texts: Column, limit: int | None) -> Column:
     """Label, texts of up to two siblings on each side of the image, its parent and its
     figure, and the nearest ancestor with a short text; each text once."""
     parent = F.get(nodes, img["parent"])
     figure = F.try_element_at(_tags(ancestors, "figure"), F.lit(-1))
+    none = F.array().cast(STRINGS)
 
     def around(node: Column) -> Column:
-        siblings = F.filter(nodes, lambda n: (n["parent"] == node["parent"]) & (n["i"] != node["i"]))
-        before = F.filter(siblings, lambda n: n["i"] < node["i"])
-        after = F.filter(siblings, lambda n: n["i"] > node["i"])
-        near_before = F.reverse(
-            F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.lit(2))
+        kids = F.when(node["parent"] >= 0, F.get(nodes, node["parent"])["kids"]).otherwise(
+            F.array().cast("array<int>")
         )
-        picked = F.concat(near_before, F.slice(after, F.lit(1), F.lit(2)))
+        at = node["place"]
+        before = F.reverse(F.slice(kids, F.greatest(at - 1, F.lit(1)), F.least(at, F.lit(2))))
+        picked = _picked(F.concat(before, F.slice(kids, at + 2, F.lit(2))), nodes)
         shown = F.filter(picked, lambda n: ~n["tag"].isin("script", "style", "noscript", "svg"))
         return F.transform(shown, lambda n: _text(n, texts))
 
-    none = F.array().cast(STRINGS)
     # siblings exist only below the document root
     parent_part = F.when(img["parent"] >= 0, around(parent)).otherwise(none)
     figure_part = F.when(
@@ -247,8 +286,10 @@ def _nearby_text(img: Column, ancestors: Column, nodes: Column, texts: Column) -
     stop = F.coalesce(
         F.array_max(F.transform(_tags(ancestors, "body", "html", "main"), lambda n: n["i"])), F.lit(-1)
     )
+    # only texts of up to 500 characters are looked at, however much an ancestor holds
     climb = F.transform(
-        F.reverse(F.filter(ancestors, lambda n: n["i"] > stop)), lambda n: _text(n, texts)
+        F.reverse(F.filter(ancestors, lambda n: (n["i"] > stop) & (n["solid"] <= 500))),
+        lambda n: _text(n, texts),
     )
     short = F.slice(
         F.filter(climb, lambda t: (F.length(t) >= 10) & (F.length(t) <= 500)), F.lit(1), F.lit(1)
@@ -259,21 +300,22 @@ def _nearby_text(img: Column, ancestors: Column, nodes: Column, texts: Column) -
     distinct = let(
         F.filter(parts, lambda t: t != ""), lambda ps: _first_distinct(ps, F.lower)
     )
-    return F.substring(F.array_join(distinct, " "), 1, fixed.MAX_NEARBY_CHARS)
+    return _cut(F.array_join(distinct, " "), limit)
 
 
-def _images(nodes: Column, texts: Column, page_url: Column) -> Column:
+def _images(nodes: Column, texts: Column, page_url: Column, limits: Limits) -> Column:
     """Useful images, best described record per URL, in order of first appearance."""
 
     def record(img: Column) -> Column:
         def build(ancestors: Column) -> Column:
+            none = F.array().cast(f"array<{NODE}>")
             picture = F.try_element_at(_tags(ancestors, "picture"), F.lit(-1))
             offered = F.transform(
-                F.filter(nodes, lambda n: (n["tag"] == "source") & _inside(n, picture)),
+                _tags(F.coalesce(_subtree(picture, nodes), none), "source"),
                 lambda n: _usable_source(n, fixed.PICTURE_SOURCE_ATTRS),
             )
             figure = F.try_element_at(_tags(ancestors, "figure"), F.lit(-1))
-            caption = _first(F.filter(nodes, lambda n: (n["tag"] == "figcaption") & _inside(n, figure)))
+            caption = _first(_tags(F.coalesce(_subtree(figure, nodes), none), "figcaption"))
             src = F.coalesce(
                 _usable_source(img, fixed.IMAGE_SOURCE_ATTRS),
                 _first(F.filter(offered, lambda s: s.isNotNull())),
@@ -282,12 +324,11 @@ def _images(nodes: Column, texts: Column, page_url: Column) -> Column:
             return F.struct(
                 strip(src).alias("src"),
                 F.coalesce(_text(caption, texts), F.lit("")).alias("figcaption"),
-                _nearby_text(img, ancestors, nodes, texts).alias("nearby_text"),
+                _nearby_text(img, ancestors, nodes, texts, limits.nearby).alias("nearby_text"),
             )
 
-        above = F.filter(nodes, lambda n: (n["i"] < img["i"]) & (n["last"] > img["i"]))
         return let(
-            let(above, build),
+            let(_picked(img["up"], nodes), build),
             lambda d: F.struct(
                 d["src"].alias("src"),
                 image_url(d["src"], page_url).alias("absolute_url"),
@@ -315,86 +356,38 @@ def _images(nodes: Column, texts: Column, page_url: Column) -> Column:
     )
 
     def best(useful: Column) -> Column:
-        def best_of(url: Column) -> Column:
-            def top(same: Column) -> Column:
-                return _first(
-                    F.filter(same, lambda r: _described(r) == F.array_max(F.transform(same, _described)))
-                )
+        def url(r: Column) -> Column:
+            return r["absolute_url"]
 
-            return let(F.filter(useful, lambda r: r["absolute_url"] == url), top)
-
-        return F.transform(F.array_distinct(F.transform(useful, lambda r: r["absolute_url"])), best_of)
+        seen = _first_per_key(useful, url)
+        top = _first_per_key(useful, url, lambda r: -_described(r))  # both in the order of URLs
+        placed = F.zip_with(seen, top, lambda a, b: F.struct(a["at"].alias("at"), b["item"].alias("item")))
+        return F.transform(F.array_sort(placed), lambda r: r["item"])
 
     return let(F.filter(typed, is_useful_image), best).cast(IMAGES)
 
 
-def _image_records(df: DataFrame) -> DataFrame:
-    return df.withColumn("images", _over(_images))
-
-
-# --- noise removal ----------------------------------------------------------
-def _without_noise(nodes: Column, texts: Column, _: Column) -> Column:
-    """struct<nodes, texts>: live nodes, and texts with removed pieces null.
-
-    Removed are scripts and similar, anything whose class or id contains a noise
-    word, and then elements left without text, images or tables.
-    """
-
-    def noisy(n: Column) -> Column:
-        names = F.lower(F.concat_ws(" ", _attr(n, "class"), _attr(n, "id")))
-        return n["tag"].isin(fixed.NOISE_TAGS) | contains_any(names, fixed.NOISE_PATTERNS)
-
-    def live(noise: Column) -> Column:
-        kept = F.filter(
-            nodes, lambda n: ~F.exists(noise, lambda r: (n["i"] >= r["i"]) & (n["i"] < r["last"]))
-        )
-        left = F.transform(
-            texts,
-            lambda t, j: F.when(~F.exists(noise, lambda r: (j >= r["t0"]) & (j < r["t1"])), t),
-        )
-
-        def with_positions(d: Column) -> Column:
-            """Where texts and media that keep an element alive are, in document order."""
-            full = F.filter(
-                F.transform(d["texts"], lambda t, j: F.when(t.rlike(f"[^{SPACE_CLASS}]"), j)),
-                lambda j: j.isNotNull(),
-            )
-            media = F.transform(_tags(d["kept"], "img", "table"), lambda n: n["i"])
-            return let(F.struct(full.alias("full"), media.alias("media")), lambda p: keep(d, p))
-
-        def keep(d: Column, p: Column) -> Column:
-            alive = F.filter(
-                d["kept"],
-                lambda n: n["tag"].isin(fixed.KEEP_WHEN_EMPTY_TAGS)
-                | F.exists(p["full"], lambda j: (j >= n["t0"]) & (j < n["t1"]))
-                | F.exists(p["media"], lambda i: (i > n["i"]) & (i < n["last"])),
-            )
-            return F.struct(alive.alias("nodes"), d["texts"].alias("texts"))
-
-        return let(F.struct(kept.alias("kept"), left.alias("texts")), with_positions)
-
-    return let(F.filter(nodes, noisy), live)
-
-
-def _drop_noise(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_live", _over(_without_noise))
-    return df.withColumns({"nodes": F.col("_live.nodes"), "texts": F.col("_live.texts")}).drop("_live")
+def _image_records(df: DataFrame, limits: Limits) -> DataFrame:
+    return df.withColumn("images", _over(_images, limits))
 
 
 # --- after noise removal ----------------------------------------------------
-def _following(heading: Column, nodes: Column, texts: Column, stop_tags: list[str], stop_chars: int) -> Column:
-    """Joined texts of the siblings after a heading, up to the next heading or until the
-    text has grown beyond `stop_chars`."""
-    siblings = F.filter(nodes, lambda n: (n["parent"] == heading["parent"]) & (n["i"] > heading["i"]))
-
-    def until_heading(sibs: Column) -> Column:
-        stop = F.coalesce(
-            F.array_min(F.transform(_tags(sibs, *stop_tags), lambda n: n["i"])), F.lit(2**31 - 1)
-        )
-        return let(stop, lambda s: F.filter(sibs, lambda n: n["i"] < s))
-
+def _drop_noise(df: DataFrame) -> DataFrame:
+    """Removed texts become null; nodes know whether they are alive."""
+    live = F.transform("texts", lambda t, j: F.when(F.get("live", j), t))
+    return df.withColumn("texts", live)
+
+
+def _following(heading: Column, nodes: Column, texts: Column, stop: str, stop_chars: int | None) -> Column:
+    """Joined texts of the siblings after a heading, up to the next heading (`stop` names
+    its place) or, with `stop_chars`, until the text has grown beyond that."""
+    kids = F.get(nodes, heading["parent"])["kids"]
+    between = F.slice(kids, heading["place"] + 2, heading[stop] - heading["place"] - 1)
+    siblings = F.filter(_picked(between, nodes), lambda n: n["alive"])
+    if stop_chars is None:
+        return F.array_join(F.filter(F.transform(siblings, lambda n: _text(n, texts)), lambda t: t != ""), " ")
     return F.aggregate(
-        let(siblings, until_heading),
+        siblings,
         F.lit(""),
         lambda acc, n: F.when(F.length(acc) > stop_chars, acc).otherwise(
             F.trim(F.concat_ws(" ", acc, _text(n, texts)))
@@ -405,7 +398,7 @@ def _following(heading: Column, nodes: Column, texts: Column, stop_tags: list[st
 def _headings(nodes: Column, texts: Column, _: Column) -> Column:
     return F.filter(
         F.transform(
-            _tags(nodes, "h1", "h2", "h3", "h4", "h5", "h6"),
+            _live_tags(nodes, "h1", "h2", "h3", "h4", "h5", "h6"),
             lambda n: F.struct(
                 F.substring(n["tag"], 2, 1).cast("int").alias("level"), _text(n, texts).alias("text")
             ),
@@ -416,19 +409,19 @@ def _headings(nodes: Column, texts: Column, _: Column) -> Column:
 
 def _paragraphs(nodes: Column, texts: Column, _: Column) -> Column:
     return F.array_distinct(
-        F.filter(F.transform(_tags(nodes, "p"), lambda n: _text(n, texts)), lambda t: t != "")
+        F.filter(F.transform(_live_tags(nodes, "p"), lambda n: _text(n, texts)), lambda t: t != "")
     )
 
 
 def _lists(nodes: Column, texts: Column, _: Column) -> Column:
     return F.filter(
         F.transform(
-            _tags(nodes, "ul", "ol"),
+            _live_tags(nodes, "ul", "ol"),
             lambda l: F.struct(
                 l["tag"].alias("type"),
                 F.filter(
                     F.transform(
-                        F.filter(nodes, lambda n: (n["tag"] == "li") & (n["parent"] == l["i"])),
+                        _live_tags(_picked(l["kids"], nodes), "li"),
                         lambda n: _text(n, texts),
                     ),
                     lambda t: t != "",
@@ -442,14 +435,14 @@ def _lists(nodes: Column, texts: Column, _: Column) -> Column:
 def _tables(nodes: Column, texts: Column, _: Column) -> Column:
     def table(t: Column) -> Column:
         def row(tr: Column) -> Column:
-            cells = F.filter(nodes, lambda n: n["tag"].isin("th", "td") & _inside(n, tr))
+            cells = _live_tags(_subtree(tr, nodes), "th", "td")
             return F.struct(
                 F.exists(cells, lambda n: n["tag"] == "th").alias("head"),
                 F.filter(F.transform(cells, lambda n: _text(n, texts)), lambda v: v != "").alias("cells"),
             )
 
         rows = F.filter(
-            F.transform(F.filter(nodes, lambda n: (n["tag"] == "tr") & _inside(n, t)), row),
+            F.transform(_live_tags(_subtree(t, nodes), "tr"), row),
             lambda r: F.size(r["cells"]) > 0,
         )
 
@@ -475,7 +468,7 @@ def _tables(nodes: Column, texts: Column, _: Column) -> Column:
         return let(rows, split)
 
     return F.filter(
-        F.transform(_tags(nodes, "table"), table),
+        F.transform(_live_tags(nodes, "table"), table),
         lambda t: (F.size(t["headers"]) > 0) | (F.size(t["rows"]) > 0),
     ).cast(TABLES)
 
@@ -507,7 +500,8 @@ def _page_links(nodes: Column, texts: Column, page_url: Column) -> Column:
 
     anchors = F.filter(
         nodes,
-        lambda n: (n["tag"] == "a")
+        lambda n: n["alive"]
+        & (n["tag"] == "a")
         & (strip(_attr(n, "href")) != "")
         & ~strip(_attr(n, "href")).rlike(skipped),
     )
@@ -534,11 +528,11 @@ def _links(df: DataFrame) -> DataFrame:
     return df.withColumn("links", _over(_page_links))
 
 
-def _faqs(nodes: Column, texts: Column, _: Column) -> Column:
+def _faqs(nodes: Column, texts: Column, _: Column, limits: Limits) -> Column:
     """Question and answer pairs: `details` elements, then question-like headings."""
 
     def from_details(d: Column) -> Column:
-        summary = _first(F.filter(nodes, lambda n: (n["tag"] == "summary") & _inside(n, d)))
+        summary = _first(_live_tags(_subtree(d, nodes), "summary"))
 
         def build(s: Column) -> Column:
             direct = F.coalesce(s["parent"] == d["i"], F.lit(False))
@@ -559,54 +553,52 @@ def _faqs(nodes: Column, texts: Column, _: Column) -> Column:
         return let(summary, build)
 
     def from_heading(h: Column) -> Column:
-        answer = _following(h, nodes, texts, ["h1", "h2", "h3", "h4"], fixed.FAQ_STOP_CHARS)
+        answer = _following(h, nodes, texts, "stop4", limits.faq_stop)
         return F.struct(
             _text(h, texts).alias("question"),
-            F.substring(answer, 1, fixed.MAX_FAQ_ANSWER_CHARS).alias("answer"),
+            _cut(answer, limits.faq_answer).alias("answer"),
         )
 
     asked = F.filter(
-        _tags(nodes, "h2", "h3", "h4"),
+        _live_tags(nodes, "h2", "h3", "h4"),
         lambda h: _text(h, texts).rlike(fixed.FAQ_QUESTION_PATTERN),
     )
     candidates = F.concat(
-        F.transform(_tags(nodes, "details"), from_details), F.transform(asked, from_heading)
+        F.transform(_live_tags(nodes, "details"), from_details), F.transform(asked, from_heading)
     )
     complete = F.filter(candidates, lambda q: (q["question"] != "") & (q["answer"] != ""))
     return _first_distinct(complete, lambda q: q["question"]).cast(FAQS)
 
 
-def _sections(nodes: Column, texts: Column, _: Column) -> Column:
+def _sections(nodes: Column, texts: Column, _: Column, limits: Limits) -> Column:
     def section(h: Column) -> Column:
-        content = _following(h, nodes, texts, ["h1", "h2", "h3"], fixed.SECTION_STOP_CHARS)
+        content = _following(h, nodes, texts, "stop3", limits.section)
         return F.struct(
             _text(h, texts).alias("heading"),
             F.substring(h["tag"], 2, 1).cast("int").alias("level"),
-            F.substring(content, 1, fixed.SECTION_STOP_CHARS).alias("content"),
+            _cut(content, limits.section).alias("content"),
         )
 
     found = F.filter(
-        F.transform(_tags(nodes, "h1", "h2", "h3"), section),
+        F.transform(_live_tags(nodes, "h1", "h2", "h3"), section),
         lambda s: (s["heading"] != "") & (s["content"] != ""),
     )
-    return F.slice(found, 1, fixed.MAX_SECTIONS).cast(SECTIONS)
+    return (found if limits.sections is None else F.slice(found, 1, limits.sections)).cast(SECTIONS)
 
 
-def _faqs_and_sections(df: DataFrame) -> DataFrame:
-    return df.withColumns({"faqs": _over(_faqs), "sections": _over(_sections)})
+def _faqs_and_sections(df: DataFrame, limits: Limits) -> DataFrame:
+    return df.withColumns({"faqs": _over(_faqs, limits), "sections": _over(_sections, limits)})
 
 
-def _content(df: DataFrame) -> DataFrame:
+def _content(df: DataFrame, limits: Limits) -> DataFrame:
     nodes, texts = F.col("nodes"), F.col("texts")
-    roots = [_first(_tags(nodes, tag)) for tag in ("main", "article", "body")]
+    roots = [_first(_live_tags(nodes, tag)) for tag in ("main", "article", "body")]
     df = df.withColumn("_root", F.coalesce(*roots))
     whole = F.array_join(texts, " ")
     text = F.when(F.col("_root").isNull(), whole).otherwise(
         F.array_join(_texts(F.col("_root"), texts), " ")
     )
-    return df.withColumn(
-        "content", F.substring(clean_text(text), 1, fixed.MAX_CONTENT_CHARS)
-    ).drop("_root")
+    return df.withColumn("content", _cut(clean_text(text), limits.content)).drop("_root")
 
 
 def useful_text_score(chars: Column, paragraphs: Column, headings: Column) -> Column:
@@ -639,15 +631,21 @@ def _quality(df: DataFrame) -> DataFrame:
     )
 
 
-def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, html: str = "html", limits: Limits = WHOLE) -> DataFrame:
     """Page table from fetched HTML. Input: page_url, the HTML column, and any key columns.
+    Every step takes time in proportion to the page. Nothing is cut unless `limits` says so.
 
     Optional inputs page_type, extraction_method, status_code, errors, scraped_at,
     render_time_ms and final_url are carried into the record.
     """
     keep = [c for c in pages.columns if c != html]
     df = pages.withColumn("_dom", dom(F.col(html)))  # declared non-deterministic: runs once
-    df = df.select(*keep, F.col("_dom.nodes").alias("nodes"), F.col("_dom.texts").alias("texts"))
+    facts = {"html_empty": F.coalesce(F.col(html), F.lit("")) == "",
+             "has_hydration": F.coalesce(contains_any(F.col(html), fixed.HYDRATION_MARKERS), F.lit(False))}
+    df = df.select(
+        *keep, *(v.alias(k) for k, v in facts.items()),
+        F.col("_dom.nodes").alias("nodes"), F.col("_dom.texts").alias("texts"), F.col("_dom.live").alias("live"),
+    )
     # what the render decision needs to know about the page as delivered
     nodes = F.col("nodes")
     df = df.withColumns(
@@ -663,12 +661,9 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
             ),
         }
     )
-    for step in (
-        _page_metadata, _image_records, _drop_noise, _blocks, _links, _faqs_and_sections,
-        _content, _quality,
-    ):
-        df = step(df)
-    df = df.drop("nodes", "texts")
+    df = _drop_noise(_image_records(_page_metadata(df), limits))
+    df = _faqs_and_sections(_links(_blocks(df)), limits)
+    df = _quality(_content(df, limits)).drop("nodes", "texts", "live")
     extra = {"normalized_page_url": urls.cache_url(F.col("page_url"))}
     if "page_type" not in keep:
         extra["page_type"] = F.lit("other")
@@ -678,13 +673,13 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def needs_browser(
-    html: Column, content_length: Column, paragraph_count: Column, title: Column,
-    has_spa_root: Column, script_count: Column, body_chars: Column,
+    html_empty: Column, has_hydration: Column, content_length: Column, paragraph_count: Column,
+    title: Column, has_spa_root: Column, script_count: Column, body_chars: Column,
 ) -> Column:
-    """Does static HTML look too thin to be the real page?"""
-    app = has_spa_root | contains_any(html, fixed.HYDRATION_MARKERS)
+    """Does static HTML look too thin to be the real page? Inputs are columns of the page table."""
+    app = has_spa_root | has_hydration
     return (
-        F.when(F.coalesce(html, F.lit("")) == "", True)
+        F.when(html_empty, True)
         .when((content_length >= 800) & (paragraph_count >= 2), False)
         .when(content_length < 500, True)
         .when((paragraph_count == 0) & (title != "") & (content_length < 1200), True)

@@ -1,12 +1,12 @@
 """Site knowledge: document shape, legacy pages, and text contexts built from pages.
 
-Pages stay rows. A site's pages are only gathered where a limit bounds them: the
-crawl keeps at most `MAX_PAGES_PER_SITE` pages per site, contexts fewer.
+Pages stay rows (`knowledge_tables`). A site's pages are only gathered into one document or
+text where the caller names a limit that bounds them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelore import fixed
@@ -142,13 +142,33 @@ def knowledge_pages(docs: DataFrame) -> DataFrame:
     )
 
 
+def knowledge_tables(sites: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Site knowledge of any size as two tables: metadata, one row per site, and pages, one row
+    per (website_id, page_ord) with the current and the legacy form of the page.
+
+    `sites`: website_id, url, name. Nothing is gathered: a site may hold any number of pages.
+    """
+    full = with_page_defaults(pages)
+    rows = full.select("website_id", "page_ord", F.struct(*PAGE_COLUMNS).cast(PAGE).alias("page"))
+    counts = rows.groupBy("website_id").agg(F.count(F.lit(1)).alias("pages_scraped"))
+    normalized = urls.cache_url(F.col("url"))
+    meta = sites.join(counts, "website_id", "left").select(
+        _or(F.col("website_id"), urls.website_id(normalized)).alias("website_id"),
+        _text(F.col("url")).alias("url"), normalized.alias("normalized_url"), _text(F.col("name")).alias("name"),
+        F.lit("v2").alias("scraping_version"), F.coalesce("pages_scraped", F.lit(0)).alias("pages_scraped"),
+    )
+    return meta, rows.withColumn("legacy", to_legacy(F.col("page")))
+
+
 def build_knowledge(
-    sites: DataFrame, pages: DataFrame, searches: DataFrame | None = None,
-    max_pages: int = fixed.MAX_PAGES_PER_SITE,
+    sites: DataFrame, pages: DataFrame, searches: DataFrame | None = None, *,
+    max_pages: int, max_searches: int | None = None, search_chars: int | None = None,
 ) -> DataFrame:
-    """One knowledge document per site row (website_id, url, name).
+    """One knowledge document per site row (website_id, url, name), for writing as JSON.
 
-    Pages carry website_id and page_ord; the crawl limit `max_pages` bounds a document.
+    Pages carry website_id and page_ord. `max_pages` bounds a document, which one task
+    holds; `knowledge_tables` has no bound. All searches and their whole texts are kept
+    unless the caller says otherwise.
     """
     full = with_page_defaults(pages)
     first = top_per_key(
@@ -168,13 +188,18 @@ def build_knowledge(
         found = F.array().cast(SEARCHES)
         docs = docs.withColumn("searches", found)
     else:
-        kept = top_per_key(searches, ["website_id"], [F.col("index")], fixed.MAX_SEARCHES, rank="n")
+        kept = searches.withColumn(
+            "n", F.row_number().over(Window.partitionBy("website_id").orderBy("index"))
+        )
+        if max_searches is not None:
+            kept = kept.where(F.col("n") <= max_searches)
+        result = F.col("result") if search_chars is None else F.substring("result", 1, search_chars)
         listed = kept.groupBy("website_id").agg(
             F.sort_array(
                 F.collect_list(
                     F.struct(
                         F.col("n").alias("index"),
-                        F.substring("result", 1, fixed.SEARCH_RESULT_CHARS).alias("result"),
+                        result.alias("result"),
                     )
                 )
             ).alias("searches")
@@ -243,8 +268,8 @@ def _joined(rows: DataFrame, key: str, order: str, block: Column) -> DataFrame:
     return packed.select(key, F.array_join(F.transform("bs", lambda x: x["b"]), "\n").alias("text"))
 
 
-def scraped_context(pages: DataFrame, sites: DataFrame, max_pages: int = fixed.MAX_PAGES_PER_SITE) -> DataFrame:
-    """website_id, context: the scraped pages of a site as text."""
+def scraped_context(pages: DataFrame, sites: DataFrame, *, max_pages: int) -> DataFrame:
+    """website_id, context: the first `max_pages` scraped pages of a site as text."""
     first = top_per_key(
         with_page_defaults(pages), ["website_id"], [F.col("page_ord")], max_pages, rank="n"
     )
@@ -278,9 +303,12 @@ def page_bucket(page_type: Column, url: Column) -> Column:
     )
 
 
-def chatbot_context(pages: DataFrame, sites: DataFrame, searches: DataFrame | None = None) -> DataFrame:
-    """website_id, context: homepage in full, then five key pages, three blog pages and
-    up to five search results. Of several homepages the last one counts."""
+def chatbot_context(
+    pages: DataFrame, sites: DataFrame, searches: DataFrame | None = None, *,
+    key_pages: int, blog_pages: int, max_searches: int = 0,
+) -> DataFrame:
+    """website_id, context: homepage in full, then the first key pages, blog pages and search
+    results. Of several homepages the last one counts."""
     p = with_page_defaults(pages).withColumn("_bucket", page_bucket(F.col("page_type"), F.col("page_url")))
 
     def first(bucket: str, order: Column, limit: int) -> DataFrame:
@@ -301,11 +329,11 @@ def chatbot_context(pages: DataFrame, sites: DataFrame, searches: DataFrame | No
     parts = {
         "home": _joined(home, "website_id", "n", F.array_join(home_lines, "\n")),
         "key": _joined(
-            first("key", F.col("page_ord"), 5), "website_id", "n",
+            first("key", F.col("page_ord"), key_pages), "website_id", "n",
             F.array_join(_page_lines(key_head, 4, 400, 600), "\n"),
         ),
         # pages without title and description leave no line
-        "blog": first("blog", F.col("page_ord"), 3)
+        "blog": first("blog", F.col("page_ord"), blog_pages)
         .groupBy("website_id")
         .agg(F.array_sort(F.collect_list(F.struct("n", blog_lines.alias("b")))).alias("bs"))
         .select(
@@ -321,7 +349,7 @@ def chatbot_context(pages: DataFrame, sites: DataFrame, searches: DataFrame | No
         ),
     }
     if searches is not None:
-        kept = top_per_key(searches, ["website_id"], [F.col("index")], 5, rank="n")
+        kept = top_per_key(searches, ["website_id"], [F.col("index")], max_searches, rank="n")
         block = F.concat(
             F.lit("Search result "), F.col("index").cast("string"), F.lit(":\n"),
             F.substring("result", 1, 500), F.lit("\n"),

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitelore import fixed
 from sitelore.operators.retrieve import where_filter
 from sitelore.operators.skew import top_per_key
 from sitelore.session import materialize
@@ -105,8 +104,8 @@ class ChunkStore:
     def upsert(self, chunks: DataFrame, replace_sites: bool = False) -> dict[str, int]:
         """Insert chunks, replacing stored ones with the same id; later rows win inside a batch.
 
-        With `replace_sites` every stored chunk of the incoming sites goes, in the same write,
-        so readers never see a site without chunks.
+        With `replace_sites` every stored chunk of the incoming sites goes, in the same write.
+        Plain files have no transactions: a reader during the write may see part of it.
         """
         order = [F.col("chunk_index").desc()] if "chunk_index" in chunks.columns else [F.col("text")]
         w = Window.partitionBy("chunk_id").orderBy(*order)
@@ -160,11 +159,13 @@ class ChunkStore:
         return where_filter(self.read().where(F.col("bucket") == bucket), website_id, filters)
 
     def site_chunks(
-        self, website_id: str, limit: int = fixed.LEXICAL_LIMIT, chunk_types: list[str] | None = None
+        self, website_id: str, limit: int | None = None, chunk_types: list[str] | None = None
     ) -> DataFrame:
-        """First chunks of a site in storage order."""
+        """Chunks of a site, with `limit` the first ones in storage order."""
         types = [t for t in chunk_types or [] if t]
         rows = self.site(website_id, {"chunk_type": types})
+        if limit is None:
+            return rows
         order = [c for c in ("chunk_index", "page_ord", "type_ord", "item", "piece") if c in rows.columns]
         return top_per_key(rows, ["website_id"], [F.col(c) for c in [*order, "chunk_id"]], max(1, limit))
 

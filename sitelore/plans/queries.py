@@ -601,17 +601,12 @@ def html_content_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def render_decision(spark: SparkSession, d: str) -> DataFrame:
-    src = text_table(spark, d, "pages")
-    p = page_table(src).select(
-        F.col("page_ord").alias("page_id"), "title", "script_count", "has_spa_root", "body_chars",
-        F.col("quality.content_length").alias("content_length"), F.size("paragraphs").alias("n_paragraphs"),
-    )
-    joined = p.join(src.select("page_id", "html"), "page_id")
+    p = page_table(text_table(spark, d, "pages"))
     weak = needs_browser(
-        F.col("html"), F.col("content_length"), F.col("n_paragraphs"), F.col("title"),
-        F.col("has_spa_root"), F.col("script_count"), F.col("body_chars"),
+        F.col("html_empty"), F.col("has_hydration"), F.col("quality.content_length"), F.size("paragraphs"),
+        F.col("title"), F.col("has_spa_root"), F.col("script_count"), F.col("body_chars"),
     )
-    return joined.select("page_id", weak.alias("needs_browser"))
+    return p.select(F.col("page_ord").alias("page_id"), weak.alias("needs_browser"))
 
 
 @query
@@ -643,21 +638,21 @@ def site_contexts(spark: SparkSession, d: str) -> DataFrame:
     """Text context of every site for a whole-site prompt."""
     pages = materialize(page_table(text_table(spark, d, "pages")), "pages")
     sites = pages.select("website_id", F.col("website_url").alias("url"), F.col("website_url").alias("name")).distinct()
-    c = knowledge.chatbot_context(pages, sites)
+    # the size of a prompt: one homepage, five key pages, three blog pages
+    c = knowledge.chatbot_context(pages, sites, key_pages=5, blog_pages=3)
     return c.select("website_id", big(F.length("context")).alias("chars"), F.md5("context").alias("context_md5"))
 
 
 @query
 def knowledge_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Knowledge documents of every site, summarised by their own metadata."""
+    """Knowledge of every site, whole: each page with its site's metadata."""
     pages = materialize(page_table(text_table(spark, d, "pages")), "pages")
     sites = pages.select("website_id", F.col("website_url").alias("url"), F.lit("").alias("name")).distinct()
-    docs = knowledge.build_knowledge(sites, pages)
-    return docs.select(
-        "metadata.website_id", "metadata.url", "metadata.normalized_url",
-        big(F.col("metadata.pages_scraped")).alias("pages_scraped"),
-        F.md5(F.array_join(F.transform("primary_content.pages", lambda p: p["url"]), "\n")).alias("pages_md5"),
-        F.md5(F.array_join(F.transform("primary_content.pages", lambda p: p["title"]), "\n")).alias("titles_md5"),
+    meta, rows = knowledge.knowledge_tables(sites, pages)
+    return rows.join(meta, "website_id").select(
+        "website_id", "url", "normalized_url", big(F.col("pages_scraped")).alias("pages_scraped"),
+        F.col("page_ord").alias("page_id"), F.col("legacy.url").alias("page_url"),
+        F.col("legacy.title").alias("title"), F.md5("legacy.content").alias("content_md5"),
     )
 
 

@@ -106,7 +106,7 @@ def test_render_decision_and_choice(spark):
         ("<p>", 1000, 1, "", False, 8, 900, False),
     ]
     df = spark.createDataFrame(rows, "h string, n int, p int, t string, spa boolean, s int, b int, want boolean")
-    got = df.withColumn("got", needs_browser(*[F.col(c) for c in ("h", "n", "p", "t", "spa", "s", "b")]))
+    got = df.withColumn("got", needs_browser(F.col("h") == "", F.contains("h", F.lit("ng-version")), *[F.col(c) for c in ("n", "p", "t", "spa", "s", "b")]))
     assert all(r.got == r.want for r in got.collect())
     modes = [
         ("static", "s", "r", True, "static", "s"), ("auto", "s", "r", False, "static", "s"),

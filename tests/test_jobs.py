@@ -13,7 +13,7 @@ from sitelore.plans.ask import answer_questions, batch_chat, retrieve_chunks
 from sitelore.plans.ingest import index_pages, page_table, searchable_chunks
 from sitelore.sources import files
 from sitelore.sources.sitemaps import walk_sitemaps
-from sitelore.streaming.micro_batches import index_arriving_pages
+from sitelore.streaming.micro_batches import index_arriving_pages, index_batch, log_batch
 
 
 def candidates(spark, base, links):
@@ -159,11 +159,11 @@ def test_site_context_buckets(spark):
     pages = spark.createDataFrame(rows, "page_ord bigint, page_url string, page_type string, title string, description string, content string").withColumn("website_id", F.lit("s"))
     sites = spark.createDataFrame([("s", "https://e.com", "Shop")], "website_id string, url string, name string")
     found = spark.createDataFrame([("s", 1, "found it")], "website_id string, index int, result string")
-    text = knowledge.chatbot_context(pages, sites, found).collect()[0].context
+    text = knowledge.chatbot_context(pages, sites, found, key_pages=5, blog_pages=3, max_searches=5).collect()[0].context
     assert "Title: Home" in text and "Old" not in text and "Main content: Main text" in text
     assert [f"## A{i}" in text for i in range(2, 9)] == [True] * 5 + [False] * 2 and "c" * 600 in text and "c" * 601 not in text
     assert "- Post\n  " + "d" * 200 + "\n" in text and "Search result 1:\nfound it" in text
-    assert "Pages scraped: 10" in knowledge.scraped_context(pages, sites).collect()[0].context
+    assert "Pages scraped: 10" in knowledge.scraped_context(pages, sites, max_pages=10).collect()[0].context
     docs = knowledge.build_knowledge(sites, pages, found, max_pages=4).collect()[0]
     assert [p.title for p in docs.pages] == ["Old", "Home", "A2", "A3"] and docs.metadata.has_web_search_supplement
 
@@ -235,18 +235,49 @@ def test_logs_and_cache_lookup(spark, tmp_path):
     assert got[wanted[0].url] == wanted[0].legacy_name and got[wanted[1].url] is None
 
 
+FETCHED_SCHEMA = "page_id bigint, url string, html string"
+
+
+def stored(store):
+    return sorted((r.chunk_id, r.chunk_index) for r in store.read().select("chunk_id", "chunk_index").collect())
+
+
 def test_pages_stream_into_store(spark, tmp_path):
+    """Pages of one site in two batches, texts repeated between them, equal one full run."""
+    shared = "<p>The same long paragraph stands on both pages of the site, word for word.</p>"
+    pages = [
+        (i, f"https://one.example/p{i}", f"<html><title>Page {i}</title><body><h1>Head {i}</h1><p>Own words of page number {i} here.</p>{shared}</body></html>")
+        for i in range(4)
+    ] + list(FETCHED)
+    pages = [(i, u, h) for i, (_, u, h) in enumerate(pages)]
     arriving = str(tmp_path / "in")
-    spark.createDataFrame(FETCHED[:1], "page_id bigint, url string, html string").write.parquet(arriving)
     store = ChunkStore(spark, str(tmp_path / "store"))
 
     def run():
-        index_arriving_pages(spark, arriving, store, hash_embedder(8), str(tmp_path / "cp")).awaitTermination(120)
+        index_arriving_pages(
+            spark, arriving, store, hash_embedder(8), str(tmp_path / "cp"), str(tmp_path / "pages")
+        ).awaitTermination(120)
 
+    spark.createDataFrame(pages[:2], FETCHED_SCHEMA).write.parquet(arriving)
     run()
     first = store.read().count()
-    spark.createDataFrame(FETCHED[1:], "page_id bigint, url string, html string").write.mode("append").parquet(arriving)
+    spark.createDataFrame(pages[2:], FETCHED_SCHEMA).write.mode("append").parquet(arriving)
     run()
-    whole = searchable_chunks(page_table(spark.createDataFrame(FETCHED, "page_id bigint, url string, html string")), hash_embedder(8))
+    whole = ChunkStore(spark, str(tmp_path / "whole"))
+    index_pages(page_table(spark.createDataFrame(pages, FETCHED_SCHEMA)), whole, hash_embedder(8))
     assert 0 < first < store.read().count()
-    assert {r.chunk_id for r in store.read().select("chunk_id").collect()} == {r.chunk_id for r in whole.select("chunk_id").collect()}
+    assert stored(store) == stored(whole)
+    # a repeated batch and a changed page
+    index_batch(spark.createDataFrame(pages[2:], FETCHED_SCHEMA), 1, str(tmp_path / "pages"), store, hash_embedder(8))
+    assert stored(store) == stored(whole)
+    changed = [(0, pages[0][1], pages[0][2].replace("Own words", "Other words"))]
+    index_batch(spark.createDataFrame(changed, FETCHED_SCHEMA), 2, str(tmp_path / "pages"), store, hash_embedder(8))
+    texts = [r.text for r in store.read().select("text").collect()]
+    assert any("Other words of page number 0" in t for t in texts) and not any("Own words of page number 0" in t for t in texts)
+
+
+def test_repeated_log_batch(spark, tmp_path):
+    chats = spark.createDataFrame([("q", "a", "rag")], "question string, answer string, provenance string")
+    for number in (0, 1, 1):
+        log_batch(files.chat_log(chats), number, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
