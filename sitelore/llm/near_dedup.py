@@ -4,9 +4,11 @@
 2. Equal word sequences become one class; one document stands for it from here on.
 3. Documents that agree in a whole band of the signature share a bucket. Each member is
    compared exactly with the bucket's first document, so a bucket of n makes n - 1 pairs.
-4. Buckets that still hold several components are compared by signature inside tasks, in
-   blocks of bounded size; every member proposes its likeliest partners in the other
-   components, and these are compared exactly too. Repeated until nothing merges.
+4. In buckets that still hold several components, every member outside the first document's
+   component is compared with all others by signature, inside tasks and in blocks of bounded
+   size. It proposes a few of its likeliest partners in other components, which are compared
+   exactly. Repeated, with the next likeliest partners where nothing merged, until no member
+   has a likely partner left.
 5. The links' connected components are the classes.
 """
 
@@ -29,9 +31,10 @@ from sitelore.session import materialize
 WORDS = 5
 BANDS, ROWS = 32, 4
 SALTED = 256  # members compared with one document in one run
-BLOCK = 256  # members of a bucket compared by signature in one block
-MARGIN = 0.15  # a signature estimate lower than the threshold by more than this (4 deviations) is no candidate
-PARTNERS = 3
+BLOCK = 512  # members outside the first document's component in one block
+COLUMNS = 2048  # members that they are compared with in one block
+MARGIN = 0.12  # an estimate lower than the threshold by more than this (3.4 deviations) is no candidate
+PARTNERS = 3  # proposals of a member at first; four times as many at each further step
 
 WORD = re.compile(r"\w+")
 _POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype="uint64"))
@@ -144,59 +147,62 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _unresolved(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """bucket, uid, part of the buckets of three or more that hold several components; of
-    buckets with the same members one is enough."""
+    """bucket, uid, part, minor, blocks, columns of the buckets of three or more that hold
+    several components; of buckets with the same members one is enough. `minor`: outside the
+    component of the bucket's first document."""
     part = F.coalesce("component", "uid").alias("part")
-    named = buckets.join(groups, F.col("uid") == F.col("id"), "left").select("bucket", "uid", part)
+    named = buckets.join(groups, F.col("uid") == F.col("id"), "left").select("bucket", "uid", "a", part)
     state = named.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"),
         F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"),
+        F.max(F.when(F.col("uid") == F.col("a"), F.col("part"))).alias("major"),
     )
     some = state.where("low <> high and n > 2").dropDuplicates(["n", "members"])
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    return named.join(some.select("bucket", blocks), "bucket")
-
-
-def likely_pairs(buckets: DataFrame, groups: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """a, b: for members of unresolved buckets, the likeliest partners in other components."""
-    mine = F.pmod(F.xxhash64("uid", F.lit(2)), F.col("blocks")).cast("int")
-    open_ = _unresolved(buckets, groups).withColumn("mine", mine)
-    dealt = (
-        open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "bucket", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
-            "mine", "uid", "part",
-        )
-        .join(signatures, "uid")
+    rows = named.join(some.select("bucket", "n", "major"), "bucket").withColumn("minor", F.col("part") != F.col("major"))
+    sizes = rows.where("minor").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    return rows.join(sizes, "bucket").select(
+        "bucket", "uid", "part", "minor", "blocks", F.ceil(F.col("n") / COLUMNS).cast("int").alias("columns")
     )
-    key = ["bucket", "low", "high"]
+
+
+def likely_pairs(
+    buckets: DataFrame, groups: DataFrame, signatures: DataFrame, threshold: float, ranks: tuple[int, int]
+) -> DataFrame:
+    """a, b: for minor members of unresolved buckets, partners in other components whose
+    estimate comes at places `ranks` (first, end) of the member's list in a block."""
+    first, end = ranks
+    open_ = _unresolved(buckets, groups)
+    block = F.pmod(F.xxhash64("uid", F.lit(2)), F.col("blocks")).cast("int")
+    column = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("columns")).cast("int")
+    fields = ["bucket", "block", "column", "uid", "part", "asks"]
+    asking = open_.where("minor").withColumn("block", block).withColumn(
+        "column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))
+    ).withColumn("asks", F.lit(True))
+    asked = open_.withColumn("column", column).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    ).withColumn("asks", F.lit(False))
+    dealt = asking.select(*fields).unionByName(asked.select(*fields)).join(signatures, "uid")
+    key = ["bucket", "block", "column"]
     met = dealt.repartition(parallelism(buckets.sparkSession), *key).sortWithinPartitions(*key)
 
     def propose(batches):
-        for (_, low, high), found in runs(batches, key):
-            uid, part, side = (found[c].to_numpy() for c in ("uid", "part", "mine"))
+        for _, found in runs(batches, key):
+            uid, part, asks = (found[c].to_numpy() for c in ("uid", "part", "asks"))
             names = np.stack([np.frombuffer(s, "uint32") for s in found["signature"].to_pylist()])
-            out_a, out_b = [], []
-            for i in range(len(uid)):
-                agree = (names[i] == names).mean(axis=1)
-                fits = (agree >= threshold - MARGIN) & (part != part[i])
-                if low != high:
-                    fits &= side != side[i]
-                rows = np.flatnonzero(fits)
-                if not len(rows):
-                    continue
-                rows = rows[np.lexsort((uid[rows], -agree[rows], part[rows]))]
-                place = np.arange(len(rows)) - np.searchsorted(part[rows], part[rows])
-                chosen = uid[rows[place < PARTNERS]]
+            other, out_a, out_b = ~asks, [], []
+            uid_o, part_o, names_o = uid[other], part[other], names[other]
+            for i in np.flatnonzero(asks):
+                agree = (names[i] == names_o).mean(axis=1)
+                rows = np.flatnonzero((agree >= threshold - MARGIN) & (part_o != part[i]))
+                chosen = uid_o[rows[np.lexsort((uid_o[rows], -agree[rows]))][first:end]]
                 out_a.append(np.minimum(uid[i], chosen))
                 out_b.append(np.maximum(uid[i], chosen))
-            if out_a:
+            if sum(map(len, out_a)):
                 yield pa.RecordBatch.from_pydict(
                     {"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))}
                 )
 
-    columns = ["bucket", "low", "high", "mine", "uid", "part", "signature"]
-    return met.select(*columns).mapInArrow(propose, "a long, b long").distinct()
+    return met.select(*fields, "signature").mapInArrow(propose, "a long, b long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
@@ -231,16 +237,18 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bo
     tested = materialize(pairs, "pairs")
     links = materialize(verify(tested, sets.select("uid", "shingles"), threshold), "links")
     groups = connected_components(links)
+    step = 0
     while True:
-        more = likely_pairs(buckets.select("bucket", "uid"), groups, sets.select("uid", "signature"), threshold)
-        fresh = materialize(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
+        ranks = (PARTNERS * (4**step - 1) // 3, PARTNERS * (4 ** (step + 1) - 1) // 3)
+        likely = materialize(likely_pairs(buckets, groups, sets.select("uid", "signature"), threshold, ranks), "likely")
+        if likely.isEmpty():
             break
+        fresh = materialize(likely.join(tested, ["a", "b"], "left_anti"), "pairs")
         added = materialize(verify(fresh, sets.select("uid", "shingles"), threshold), "links")
-        if added.isEmpty():
-            break
-        links, tested = links.unionByName(added), tested.unionByName(fresh)
-        groups = connected_components(links)
+        tested, step = tested.unionByName(fresh), step + 1
+        if not added.isEmpty():
+            links, step = links.unionByName(added), 0
+            groups = connected_components(links)
 
     named = reps.join(groups, F.col("uid") == F.col("id"), "left").select(
         "key", "least_id", "uid", F.coalesce("component", "uid").alias("component")

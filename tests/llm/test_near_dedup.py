@@ -83,9 +83,9 @@ def test_buckets_are_finished_by_signatures(spark):
     texts = {1: " ".join(words[:100]), 2: " ".join(words[100:]), 3: " ".join([*words[100:199], "new"])}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     signed = near_dedup.sign_documents(df, False).selectExpr("doc_id as uid", "signature", "shingles")
-    buckets = spark.createDataFrame([(0, i) for i in texts], "bucket long, uid long")
+    buckets = spark.createDataFrame([(0, i, 1) for i in texts], "bucket long, uid long, a long")
     groups = spark.createDataFrame([], "id long, component long")
-    pairs = near_dedup.likely_pairs(buckets, groups, signed.select("uid", "signature"), 0.8)
+    pairs = near_dedup.likely_pairs(buckets, groups, signed.select("uid", "signature"), 0.8, (0, 3))
     assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
     links = near_dedup.verify(pairs, signed.select("uid", "shingles"), 0.8)
     assert [tuple(r) for r in links.collect()] == [(2, 3)]
