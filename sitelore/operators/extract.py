@@ -513,7 +513,7 @@ def _page_links(nodes: Column, texts: Column, page_url: Column) -> Column:
 
     def internal(host_: Column) -> Column:
         return F.transform(
-            F.array_distinct(found),
+            _first_distinct(found, lambda l: l),  # array_distinct compares structs pair by pair
             lambda l: F.struct(
                 l["text"].alias("text"),
                 l["url"].alias("url"),
