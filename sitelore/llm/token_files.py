@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sitelore.llm.files import new_folder, read_range, write_file
 from sitelore.llm.runs import small_batches
-from sitelore.llm.tokens import SLICE_TEXTS, encoder
+from sitelore.llm.tokens import SLICE_TEXTS, encoder, id_bytes
 from sitelore.session import materialize
 
 MAGIC = b"DACTOK01"
@@ -115,7 +115,7 @@ class TokenFile:
             if k == 0:
                 value[:] = chunks
             else:
-                value[where] |= chunks.astype("<u4") << np.uint32(self.bits * k)
+                value[where] += chunks.astype("<u4") << np.uint32(self.bits * k)
             if k + 1 < len(self.levels):
                 marks = np.unpackbits(bitmap, count=len(chunks), bitorder="little").view(bool)
                 where = np.flatnonzero(marks) if k == 0 else where[marks]
@@ -142,35 +142,29 @@ def write_token_files(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_bytes))
+    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-volume // shard_bytes))
     # one bound per shard, the same amount that a file listing has
     cuts = [i / shards for i in range(1, shards)]
     bounds = sorted(set(docs.stat.approxQuantile("doc_id", cuts, 0.1 / shards))) if cuts else []
     bounds = np.asarray(bounds, dtype="float64")
-    end = np.array([end_id], dtype="<u4").tobytes()
-    narrow = "<u2"
+    size = id_bytes(tokenizer, end_id)  # small vocabularies travel in two bytes an id
+    kind = f"<u{size}"
+    end = np.array([end_id], dtype=kind).tobytes()
 
     def encode(batches):
-        run = encoder(tokenizer).encode_many
+        run = encoder(tokenizer, size).encode_many
         for batch in small_batches(batches, SLICE_TEXTS):
             doc_ids = batch.column(0).to_pylist()
             encoded = [ids + end for ids in run(batch.column(1).to_pylist())]
-            ids = np.frombuffer(b"".join(encoded), "<u4")
-            wide = bool(len(ids) and ids.max() > 0xFFFF)  # two bytes an id for small vocabularies
-            size = 4 if wide else 2
-            ends = np.cumsum([0, *map(len, encoded)]) // 4 * size
-            packed = ids if wide else ids.astype(narrow)
+            ends = np.cumsum([0, *map(len, encoded)]).astype("<i4")
             column = pa.Array.from_buffers(
-                pa.binary(), len(encoded), [None, pa.py_buffer(ends.astype("<i4")), pa.py_buffer(packed)]
+                pa.binary(), len(encoded), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(encoded))]
             )
             keys = np.array([-np.inf if d is None else d for d in doc_ids], dtype="float64")
+            shard = np.searchsorted(bounds, keys, side="right").astype("int64")
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.searchsorted(bounds, keys, side="right").astype("int64")),
-                    pa.array(doc_ids, pa.int64()), pa.array(np.full(len(encoded), wide)), column,
-                ],
-                ["shard", "doc_id", "wide", "ids"],
+                [pa.array(shard), pa.array(doc_ids, pa.int64()), column], ["shard", "doc_id", "ids"]
             )
 
     def write(batches):
@@ -182,14 +176,14 @@ def write_token_files(
 
         made, now, part, names, arrays, held = [], None, 0, [], [], 0
         for batch in batches:
-            for shard, doc, wide, ids in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for shard, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if names and (shard != now or held >= file_tokens):
                     made.append(flush(now, part, names, arrays))
                     part, names, arrays, held = part + 1, [], [], 0
                 if shard != now:
                     now, part = shard, 0
                 names.append(doc)
-                arrays.append(np.frombuffer(ids, "<u4" if wide else narrow))
+                arrays.append(np.frombuffer(ids, kind))
                 held += len(arrays[-1])
         if names:
             made.append(flush(now, part, names, arrays))
@@ -199,7 +193,7 @@ def write_token_files(
             [pa.array(c, t) for c, t in zip(cols, types)], ["shard", "part", "file", "documents", "tokens"]
         )
 
-    encoded = rows.mapInArrow(encode, "shard long, doc_id long, wide boolean, ids binary")
+    encoded = rows.mapInArrow(encode, "shard long, doc_id long, ids binary")
     ordered = encoded.repartition(int(shards), "shard").sortWithinPartitions("shard", "doc_id", "ids")
     return materialize(ordered.mapInArrow(write, MANIFEST), "token-files")
 

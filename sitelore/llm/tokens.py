@@ -15,22 +15,23 @@ from array import array
 import numpy as np
 
 CACHE_WORDS = 450_000  # bounds the memory of a worker; no effect on results
-SLICE_TEXTS = 1024  # texts whose new words are encoded together
-JOINED_WORDS = 8000
+SLICE_TEXTS = 256  # texts whose new words are encoded together
+JOINED_WORDS = 4000
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[tuple[str, int], object] = {}
 
 
 class TextEncoder:
-    """Ids of texts as little-endian uint32 bytes."""
+    """Ids of texts as little-endian bytes of `size` (2 or 4) each."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = 4):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # the strings of special tokens inside a text are ordinary text
         self.tokenizer.encode_special_tokens = True
+        self.size, self.code = size, {2: "H", 4: "I"}[size]
         self.spaces_matter = self._whole("a b") != self._whole("a\nb")
         self.plain: dict[str, bytes] = {}  # words at the start of a line
         self.spaced: dict[str, bytes] = {}  # words after a space
@@ -40,7 +41,7 @@ class TextEncoder:
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _learn(self, words: set[str], known: dict[str, bytes], prefix: str) -> list[str]:
         """Add the ids of new words to `known`; words with white space at an end stay out."""
@@ -48,17 +49,18 @@ class TextEncoder:
         for w in [w for w in new if self.mark in w]:
             known[w] = self._whole(prefix + w)
         clean = [w for w in new if w not in known]
-        (mark,) = np.frombuffer(self._whole(self.mark), "u4")
+        kind, size = np.dtype(f"<u{self.size}"), self.size
+        (mark,) = np.frombuffer(self._whole(self.mark), kind)
         for i in range(0, len(clean), JOINED_WORDS):
             part = clean[i : i + JOINED_WORDS]
-            ids = np.frombuffer(self._whole(self.joint.join([prefix + w for w in part])), "u4")
+            ids = np.frombuffer(self._whole(self.joint.join([prefix + w for w in part])), kind)
             cuts = np.flatnonzero(ids == mark).tolist()
             if len(cuts) != len(part) - 1:  # never with the public files
                 known.update((w, self._whole(prefix + w)) for w in part)
                 continue
             data, at = ids.tobytes(), 0
             for w, cut in zip(part, cuts + [len(ids)]):
-                known[w] = data[4 * at : 4 * cut]
+                known[w] = data[size * at : size * cut]
                 at = cut + 1
         return new
 
@@ -106,8 +108,16 @@ class TextEncoder:
         return out
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, size: int = 4) -> TextEncoder:
     """The encoder of a tokenizer file, loaded once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = TextEncoder(path)
-    return _LOADED[path]
+    if (path, size) not in _LOADED:
+        _LOADED[path, size] = TextEncoder(path, size)
+    return _LOADED[path, size]
+
+
+def id_bytes(path: str, *others: int) -> int:
+    """Bytes that hold every id of a tokenizer file and the ids given: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    most = max([Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) - 1, *others])
+    return 2 if most <= 0xFFFF else 4
