@@ -9,7 +9,7 @@ from sitelore import fixed
 from sitelore.functions import urls
 from sitelore.functions.binding import built_once, let
 from sitelore.functions.text import strip
-from sitelore.operators.skew import top_per_key
+from sitelore.operators.skew import sliced_join, top_per_key
 
 
 def with_url_parts(df: DataFrame, url: str, prefix: str) -> DataFrame:
@@ -208,10 +208,10 @@ def parse_robots(robots: DataFrame, text: str = "robots_text", agents: list[str]
 def allowed_by_robots(pages: DataFrame, rules: DataFrame, url: str, key: str) -> DataFrame:
     """Keep pages whose lower-case path starts with no disallowed prefix of their site.
 
-    `rules` has one row per `key` (one robots file per host), so this is a plain
-    equi-join and needs no path-by-prefix comparison across sites.
+    `rules` has one row per `key` (one robots file per host), so no path meets the prefixes
+    of another site. Hosts with very many pages are joined in slices.
     """
     path = F.lower(urls.path_of(F.col(url)))
-    joined = pages.join(rules.select(key, "disallowed"), key, "left")
+    joined = sliced_join(pages, rules.select(key, "disallowed"), [key], [url], how="left")
     blocked = let(path, lambda own: F.exists(F.col("disallowed"), lambda p: F.startswith(own, p)))
     return joined.where(~F.coalesce(blocked, F.lit(False))).drop("disallowed")

@@ -173,6 +173,20 @@ def _page_metadata(df: DataFrame) -> DataFrame:
     ).drop("_title", "_h1", "_canonical")
 
 
+def _anchors(nodes: Column, texts: Column, page_url: Column) -> Column:
+    """Every link of the page as delivered, labelled or not, first per normalised URL."""
+
+    def anchor(a: Column) -> Column:
+        return F.struct(
+            clean_text(F.array_join(_texts(a, texts), " ")).alias("text"),
+            urls.crawl_url(urls.resolve(page_url, strip(_attr(a, "href")))).alias("url"),
+        )
+
+    linked = F.filter(_tags(nodes, "a"), lambda n: strip(_attr(n, "href")) != "")
+    found = F.filter(F.transform(linked, anchor), lambda l: l["url"] != "")
+    return let(found, lambda f: _first_distinct(f, lambda l: l["url"]))
+
+
 # --- images -----------------------------------------------------------------
 def srcset_first(value: Column) -> Column:
     """First URL of a srcset: candidates split at commas, URL before the first space."""
@@ -661,6 +675,7 @@ def extract_pages(pages: DataFrame, html: str = "html", limits: Limits = WHOLE)
             ),
         }
     )
+    df = df.withColumn("anchors", _over(_anchors))
     df = _drop_noise(_image_records(_page_metadata(df), limits))
     df = _faqs_and_sections(_links(_blocks(df)), limits)
     df = _quality(_content(df, limits)).drop("nodes", "texts", "live")

@@ -29,8 +29,9 @@ def sliced_join(
     keys: list[str],
     identity: list[str],
     target: int = 200_000,
+    how: str = "inner",
 ) -> DataFrame:
-    """Equi-join where `many` may have hot keys and `few` has few rows per key.
+    """Equi-join (inner, or left to keep every row of `many`) where `many` may have hot keys and `few` has few rows per key.
 
     Rows of `many` under one key are spread over slices sized from counted rows;
     the matching rows of `few` are copied once per slice. A key that fits stays
@@ -39,15 +40,14 @@ def sliced_join(
     plan = fan_out(
         many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows", target, "_slices"
     )
-    left = many.join(plan, keys).withColumn(
-        "_slice", slice_of([F.col(c) for c in identity], F.col("_slices"))
-    ).drop("_slices")
+    own = slice_of([F.col(c) for c in identity], F.coalesce("_slices", F.lit(1)))  # null keys match nothing
+    left = many.join(plan, keys, how).withColumn("_slice", own).drop("_slices")
     right = (
         few.join(plan, keys)
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
         .drop("_slices")
     )
-    return left.join(right, keys + ["_slice"]).drop("_slice")
+    return left.join(right, keys + ["_slice"], how).drop("_slice")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -75,14 +75,18 @@ def running_index(
 ) -> DataFrame:
     """Dense 0-based position inside `group`, ordered by integer `major`, then `order`.
 
-    A plain window would send a whole group to one task. Here positions are
-    counted inside blocks of `block` consecutive `major` values; only one total per
-    block is then accumulated over the group. The numbered rows are written
-    once because both passes read them: pass narrow rows (keys, not texts).
+    A plain window would send a whole group to one task. Rows are range-partitioned and
+    sorted over the whole table instead, so every block is a counted run of neighbours,
+    however `major` is spaced; only one total per block and group is accumulated. The rows
+    are written once because both passes read them: pass narrow rows (keys, not texts).
     """
+    by = [group, major, *order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = materialize(
-        df.withColumn("_block", F.floor(F.col(major) / F.lit(block))), f"index-{out}"
-    )
+        df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+        .withColumn("_id", F.monotonically_increasing_id()),
+        f"index-{out}",
+    ).withColumn("_block", F.floor(F.col("_id") / F.lit(block)))
     totals = rows.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
@@ -90,10 +94,10 @@ def running_index(
     starts = totals.select(
         group, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
     )
-    inside = Window.partitionBy(group, "_block").orderBy(major, *order)
+    inside = Window.partitionBy(group, "_block").orderBy("_id")
     return (
         rows.withColumn("_pos", F.row_number().over(inside))
         .join(starts, [group, "_block"])
         .withColumn(out, F.col("_start") + F.col("_pos") - 1)
-        .drop("_block", "_pos", "_start")
+        .drop("_block", "_pos", "_start", "_id")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelore.operators.retrieve import where_filter
 from sitelore.operators.skew import top_per_key
-from sitelore.session import materialize
+from sitelore.session import materialize, scratch
 
 BUCKETS = 256
 ROWS_PER_FILE = 500_000
@@ -102,6 +102,11 @@ class ChunkStore:
         return self.read().where(F.col("bucket").isin(touched))
 
     def upsert(self, chunks: DataFrame, replace_sites: bool = False) -> dict[str, int]:
+        """See `_upsert`; its intermediate tables are gone when this returns."""
+        with scratch(self.spark):
+            return self._upsert(chunks, replace_sites)
+
+    def _upsert(self, chunks: DataFrame, replace_sites: bool) -> dict[str, int]:
         """Insert chunks, replacing stored ones with the same id; later rows win inside a batch.
 
         With `replace_sites` every stored chunk of the incoming sites goes, in the same write.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from sitelore.operators import crawl, rank
 from sitelore.operators.embed import Embedder, embed
 from sitelore.operators.extract import extract_pages
 from sitelore.operators.store import ChunkStore
-from sitelore.session import materialize
+from sitelore.session import materialize, scratch
 
 
 def crawl_pages(fetched: DataFrame) -> DataFrame:
@@ -47,8 +49,14 @@ def index_pages(pages: DataFrame, store: ChunkStore, embedder: Embedder, reindex
     """Build, embed and store the chunks of all sites in `pages`; returns a summary.
 
     With `reindex`, stored chunks of these sites are dropped first. Failures are
-    reported in the summary, not raised: indexing must not fail the crawl job.
+    reported in the summary and logged, not raised: indexing must not fail the crawl job.
+    The intermediate tables are gone when it returns.
     """
+    with scratch(pages.sparkSession):
+        return _index_pages(pages, store, embedder, reindex)
+
+
+def _index_pages(pages: DataFrame, store: ChunkStore, embedder: Embedder, reindex: bool) -> dict:
     summary = {"chunks_built": 0, "chunks_indexed": 0, "chunks_deleted": 0, "by_type": {}, "errors": []}
     try:
         # chunking reads the pages several times: extract them once
@@ -61,5 +69,6 @@ def index_pages(pages: DataFrame, store: ChunkStore, embedder: Embedder, reindex
             done = store.upsert(rows, replace_sites=reindex)
             summary["chunks_deleted"], summary["chunks_indexed"] = done["deleted"], done["upserted"]
     except Exception as exc:  # reported to the caller
+        logging.getLogger(__name__).exception("indexing failed")
         summary["errors"].append(str(exc))
     return summary

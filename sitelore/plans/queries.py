@@ -18,8 +18,9 @@ from sitelore.operators import chunks as chunking
 from sitelore.operators import crawl, evaluate, knowledge, prompt, quality, rank, retrieve
 from sitelore.operators.embed import embed, hash_embedder
 from sitelore.operators.extract import needs_browser
-from sitelore.operators.skew import first_per_key
+from sitelore.operators.skew import first_per_key, sliced_join
 from sitelore.plans.ask import retrieve_chunks
+from sitelore.plans.discover import discover, site_root
 from sitelore.plans.ingest import page_table, searchable_chunks
 from sitelore.session import materialize
 from sitelore.sources.tables import documents_as_pages, source_site, table, text_table
@@ -72,15 +73,11 @@ def page_type_priority(spark: SparkSession, d: str) -> DataFrame:
     return crawl.classify_pages(table(spark, d, "pages").select("page_id", "url")).drop("url")
 
 
-def _site_root(url: Column) -> Column:
-    return F.concat(F.lit("https://"), urls.canonical_domain(urls.netloc_of(url)))
-
-
 def _candidates(spark: SparkSession, d: str, base: Column | None = None) -> DataFrame:
     """Every page URL as a crawl candidate of its own site's root page."""
     p = table(spark, d, "pages")
     return p.select(
-        _site_root(F.col("url")).alias("base_url"), "url", F.col("page_id").alias("pos"),
+        site_root(F.col("url")).alias("base_url"), "url", F.col("page_id").alias("pos"),
         F.lit("").alias("anchor_text"),
     )
 
@@ -89,7 +86,7 @@ def _specific_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Every page URL as a candidate of the first page of its site."""
     c = _candidates(spark, d)
     first = c.groupBy("base_url").agg(F.min_by("url", "pos").alias("first_url"))
-    joined = c.join(first, "base_url")
+    joined = sliced_join(c, first, ["base_url"], ["pos"])
     return joined.select(F.col("first_url").alias("base_url"), "url", "pos", "anchor_text")
 
 
@@ -123,7 +120,7 @@ def _robots(spark: SparkSession, d: str) -> DataFrame:
     """A robots file per site, derived from its pages: the first page's top folder is closed
     to everyone, `/` to one other robot."""
     p = table(spark, d, "pages").select(
-        _site_root(F.col("url")).alias("base_url"), "page_id",
+        site_root(F.col("url")).alias("base_url"), "page_id",
         F.get(urls.path_segments(urls.path_of(F.col("url"))), F.lit(0)).alias("folder"),
     )
     first = p.groupBy("base_url").agg(F.min_by("folder", "page_id").alias("folder"))
@@ -145,7 +142,7 @@ def robots_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def robots_allowed_pages(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").select("page_id", "url", _site_root(F.col("url")).alias("base_url"))
+    p = table(spark, d, "pages").select("page_id", "url", site_root(F.col("url")).alias("base_url"))
     return crawl.allowed_by_robots(p, _robots(spark, d), "url", "base_url").select("page_id", "base_url")
 
 
@@ -622,6 +619,31 @@ def discovered_links(spark: SparkSession, d: str) -> DataFrame:
     return crawl.select_candidates(candidates, fixed.MAX_PAGES_PER_SITE - 1)
 
 
+def _anchor_rows(p: DataFrame) -> DataFrame:
+    site = F.struct("website_url", "page_ord").alias("site")
+    found = _unrolled(p.select(site, "anchors"), "site", "anchors", "l")
+    return found.select(
+        F.col("site.website_url").alias("base_url"), F.col("site.page_ord").alias("page_ord"), "pos",
+        F.col("l.url").alias("url"), F.col("l.text").alias("anchor_text"),
+    )
+
+
+@query
+def anchor_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Every link of every page as delivered, first per normalised URL."""
+    rows = _anchor_rows(page_table(text_table(spark, d, "pages")))
+    return rows.select(F.col("page_ord").alias("page_id"), big(F.col("pos")).alias("pos"), "url", F.col("anchor_text").alias("text"))
+
+
+@query
+def discovered_allowed(spark: SparkSession, d: str) -> DataFrame:
+    """Links of all pages of a site and the page URLs that its sitemap would list, to one
+    selection that its robots file allows."""
+    p = materialize(page_table(text_table(spark, d, "pages")).select("website_url", "page_ord", "page_url", "anchors"), "pages")
+    listed = p.select(F.col("website_url").alias("base_url"), F.col("page_url").alias("url"))
+    return discover(_anchor_rows(p), listed, _robots(spark, d), max_pages=9)
+
+
 @query
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Web pages to indexed chunks, all builders."""
