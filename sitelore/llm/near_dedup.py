@@ -5,10 +5,10 @@
 3. Documents that agree in a whole band of the signature share a bucket. Each member is
    compared exactly with the bucket's first document, so a bucket of n makes n - 1 pairs.
 4. In buckets that still hold several components, every member outside the first document's
-   component is compared with all others by signature, inside tasks and in blocks of bounded
-   size. It proposes a few of its likeliest partners in other components, which are compared
-   exactly. Repeated, with the next likeliest partners where nothing merged, until no member
-   has a likely partner left.
+   component is compared with all others inside tasks, in blocks of bounded size: by
+   signature first, exactly where that leaves a chance. A pair is looked at in the first
+   band it shares only, and not at all once its components have met, so what leaves a task
+   is a link per component, never the pairs.
 5. The links' connected components are the classes.
 """
 
@@ -32,9 +32,8 @@ WORDS = 5
 BANDS, ROWS = 32, 4
 SALTED = 256  # members compared with one document in one run
 BLOCK = 512  # members outside the first document's component in one block
-COLUMNS = 2048  # members that they are compared with in one block
+COLUMNS = 1024  # members that they are compared with in one block
 MARGIN = 0.12  # an estimate lower than the threshold by more than this (3.4 deviations) is no candidate
-PARTNERS = 3  # proposals of a member at first; four times as many at each further step
 
 WORD = re.compile(r"\w+")
 _POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype="uint64"))
@@ -66,6 +65,15 @@ def shingles(data: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(total, return_counts=True)
 
 
+def band_keys(names: np.ndarray) -> np.ndarray:
+    """Bucket names, one per band, of signatures in rows."""
+    bands = names.astype("uint64").reshape(len(names), BANDS, ROWS)
+    key = np.tile(np.arange(BANDS, dtype="uint64"), (len(names), 1))
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x100000001B3) + bands[:, :, r] + np.uint64(1))
+    return key.view("int64")
+
+
 def sign_documents(docs: DataFrame, weighted: bool) -> DataFrame:
     """uid, doc_id, text_hash, key, bands, signature, shingles per row; the last four null
     without words."""
@@ -83,14 +91,10 @@ def sign_documents(docs: DataFrame, weighted: bool) -> DataFrame:
                 data = (" ".join(words) + " ").encode("utf-8", "surrogatepass")
                 elements, counts = shingles(data)
                 names = signature(elements, counts if weighted else None, k)
-                bands = names.astype("uint64").reshape(BANDS, ROWS)
-                key = np.arange(BANDS, dtype="uint64")
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x100000001B3) + bands[:, r] + np.uint64(1))
                 # 32 bits a shingle are enough for one pair; the wide hash made the signature
                 small = np.unique(elements.astype("uint32"))
                 cols[0].append(xxhash.xxh3_128_digest(data))
-                cols[1].append(key.view("int64").tolist())
+                cols[1].append(band_keys(names[None, :])[0].tolist())
                 cols[2].append(names.tobytes())
                 cols[3].append(small.tobytes())
             types = (pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary())
@@ -147,62 +151,93 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _unresolved(buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """bucket, uid, part, minor, blocks, columns of the buckets of three or more that hold
-    several components; of buckets with the same members one is enough. `minor`: outside the
-    component of the bucket's first document."""
+    """bucket, band, a, uid, part, minor, blocks, columns of the buckets of three or more that
+    hold several components; of buckets with the same members the one of the lowest band.
+    `minor`: outside the component of the bucket's first document `a`."""
     part = F.coalesce("component", "uid").alias("part")
-    named = buckets.join(groups, F.col("uid") == F.col("id"), "left").select("bucket", "uid", "a", part)
-    state = named.groupBy("bucket").agg(
+    named = buckets.join(groups, F.col("uid") == F.col("id"), "left").select("bucket", "band", "uid", "a", part)
+    state = named.groupBy("bucket", "band").agg(
         F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"),
         F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"),
         F.max(F.when(F.col("uid") == F.col("a"), F.col("part"))).alias("major"),
     )
-    some = state.where("low <> high and n > 2").dropDuplicates(["n", "members"])
-    rows = named.join(some.select("bucket", "n", "major"), "bucket").withColumn("minor", F.col("part") != F.col("major"))
+    some = (
+        state.where("low <> high and n > 2").groupBy("n", "members", "major")
+        .agg(F.min(F.struct("band", "bucket")).alias("b"))
+        .select(F.col("b.bucket").alias("bucket"), "n", "major")
+    )
+    rows = named.join(some, "bucket").withColumn("minor", F.col("part") != F.col("major"))
     sizes = rows.where("minor").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     return rows.join(sizes, "bucket").select(
-        "bucket", "uid", "part", "minor", "blocks", F.ceil(F.col("n") / COLUMNS).cast("int").alias("columns")
+        "bucket", "band", "a", "uid", "part", "minor", "blocks",
+        F.ceil(F.col("n") / COLUMNS).cast("int").alias("columns"),
     )
 
 
-def likely_pairs(
-    buckets: DataFrame, groups: DataFrame, signatures: DataFrame, threshold: float, ranks: tuple[int, int]
-) -> DataFrame:
-    """a, b: for minor members of unresolved buckets, partners in other components whose
-    estimate comes at places `ranks` (first, end) of the member's list in a block."""
-    first, end = ranks
+def bucket_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: links between components of `groups` that buckets (bucket, band, uid, a) hold.
+
+    `sets`: uid, signature, shingles. A block meets up to about `BLOCK` minor members with
+    `COLUMNS` others; its links join each pair of components that it can join once.
+    """
     open_ = _unresolved(buckets, groups)
     block = F.pmod(F.xxhash64("uid", F.lit(2)), F.col("blocks")).cast("int")
     column = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("columns")).cast("int")
-    fields = ["bucket", "block", "column", "uid", "part", "asks"]
-    asking = open_.where("minor").withColumn("block", block).withColumn(
+    fields = ["bucket", "block", "column", "band", "a", "uid", "part", "asks"]
+    # a minor member of a single column and block comes once, on both sides
+    asking = open_.where("minor and (columns > 1 or blocks > 1)").withColumn("block", block).withColumn(
         "column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))
-    ).withColumn("asks", F.lit(True))
+    ).withColumn("asks", F.lit(1))
+    both = F.when(F.col("minor") & (F.col("columns") == 1) & (F.col("blocks") == 1), F.lit(2)).otherwise(F.lit(0))
     asked = open_.withColumn("column", column).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    ).withColumn("asks", F.lit(False))
-    dealt = asking.select(*fields).unionByName(asked.select(*fields)).join(signatures, "uid")
+    ).withColumn("asks", both)
+    dealt = asking.select(*fields).unionByName(asked.select(*fields)).join(sets, "uid")
     key = ["bucket", "block", "column"]
     met = dealt.repartition(parallelism(buckets.sparkSession), *key).sortWithinPartitions(*key)
 
-    def propose(batches):
+    def link(batches):
         for _, found in runs(batches, key):
-            uid, part, asks = (found[c].to_numpy() for c in ("uid", "part", "asks"))
-            names = np.stack([np.frombuffer(s, "uint32") for s in found["signature"].to_pylist()])
-            other, out_a, out_b = ~asks, [], []
-            uid_o, part_o, names_o = uid[other], part[other], names[other]
-            for i in np.flatnonzero(asks):
-                agree = (names[i] == names_o).mean(axis=1)
-                rows = np.flatnonzero((agree >= threshold - MARGIN) & (part_o != part[i]))
-                chosen = uid_o[rows[np.lexsort((uid_o[rows], -agree[rows]))][first:end]]
-                out_a.append(np.minimum(uid[i], chosen))
-                out_b.append(np.maximum(uid[i], chosen))
-            if sum(map(len, out_a)):
+            links = _links_of_block(found, threshold)
+            if links:
                 yield pa.RecordBatch.from_pydict(
-                    {"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))}
+                    {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())}
                 )
 
-    return met.select(*fields, "signature").mapInArrow(propose, "a long, b long").distinct()
+    return met.select(*fields, "signature", "shingles").mapInArrow(link, "a long, b long")
+
+
+def _links_of_block(found: pa.Table, threshold: float) -> list[tuple[int, int]]:
+    uid, part, asks = (found[c].to_numpy() for c in ("uid", "part", "asks"))
+    first, band = found["a"][0].as_py(), found["band"][0].as_py()
+    names = np.stack([np.frombuffer(s, "uint32") for s in found["signature"].to_pylist()])
+    earlier = band_keys(names)[:, :band]
+    sets = [np.frombuffer(s, "uint32") for s in found["shingles"].to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    above: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while p in above:
+            p = above[p]
+        return p
+
+    others = np.flatnonzero(asks != 1)
+    others = others[uid[others] != first]  # its pairs are known
+    links = []
+    for i in np.flatnonzero(asks):
+        # the larger set bounds the similarity
+        rows = others[
+            (part[others] != part[i])
+            & (np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i]))
+        ]
+        rows = rows[(names[rows] == names[i]).mean(axis=1) >= threshold - MARGIN]
+        rows = rows[~(earlier[rows] == earlier[i]).any(axis=1)]
+        for j in rows:
+            p, q = root(int(part[i])), root(int(part[j]))
+            if p != q and _jaccard(sets[i], sets[j]) >= threshold:
+                above[max(p, q)] = min(p, q)
+                links.append((int(uid[i]), int(uid[j])))
+    return links
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bool = False) -> DataFrame:
@@ -227,28 +262,16 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bo
         "representatives",
     )
     own = rows.join(reps.select("uid"), "uid", "left_semi")
-    banded = own.select("uid", F.explode("bands").alias("bucket"))
+    banded = own.select("uid", F.posexplode("bands").alias("band", "bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(banded.join(leaders, "bucket").select("bucket", "uid", "a"), "buckets")
+    buckets = materialize(banded.join(leaders, "bucket").select("bucket", "band", "uid", "a"), "buckets")
     busy = buckets.select("uid").distinct()
     sets = materialize(own.join(busy, "uid", "left_semi").select("uid", "shingles", "signature"), "sets")
 
     pairs = buckets.where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
-    tested = materialize(pairs, "pairs")
-    links = materialize(verify(tested, sets.select("uid", "shingles"), threshold), "links")
-    groups = connected_components(links)
-    step = 0
-    while True:
-        ranks = (PARTNERS * (4**step - 1) // 3, PARTNERS * (4 ** (step + 1) - 1) // 3)
-        likely = materialize(likely_pairs(buckets, groups, sets.select("uid", "signature"), threshold, ranks), "likely")
-        if likely.isEmpty():
-            break
-        fresh = materialize(likely.join(tested, ["a", "b"], "left_anti"), "pairs")
-        added = materialize(verify(fresh, sets.select("uid", "shingles"), threshold), "links")
-        tested, step = tested.unionByName(fresh), step + 1
-        if not added.isEmpty():
-            links, step = links.unionByName(added), 0
-            groups = connected_components(links)
+    links = materialize(verify(pairs, sets.select("uid", "shingles"), threshold), "links")
+    more = materialize(bucket_links(buckets, connected_components(links), sets, threshold), "links")
+    groups = connected_components(links.unionByName(more))
 
     named = reps.join(groups, F.col("uid") == F.col("id"), "left").select(
         "key", "least_id", "uid", F.coalesce("component", "uid").alias("component")

@@ -82,13 +82,20 @@ def test_buckets_are_finished_by_signatures(spark):
     words = [f"w{i}" for i in range(200)]
     texts = {1: " ".join(words[:100]), 2: " ".join(words[100:]), 3: " ".join([*words[100:199], "new"])}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    signed = near_dedup.sign_documents(df, False).selectExpr("doc_id as uid", "signature", "shingles")
-    buckets = spark.createDataFrame([(0, i, 1) for i in texts], "bucket long, uid long, a long")
+    signed = near_dedup.sign_documents(df, False).selectExpr("doc_id as uid", "signature", "shingles").cache()
+    buckets = spark.createDataFrame([(0, 0, i, 1) for i in texts], "bucket long, band int, uid long, a long")
     groups = spark.createDataFrame([], "id long, component long")
-    pairs = near_dedup.likely_pairs(buckets, groups, signed.select("uid", "signature"), 0.8, (0, 3))
-    assert [tuple(r) for r in pairs.collect()] == [(2, 3)]
-    links = near_dedup.verify(pairs, signed.select("uid", "shingles"), 0.8)
-    assert [tuple(r) for r in links.collect()] == [(2, 3)]
+    links = near_dedup.bucket_links(buckets, groups, signed, 0.8)
+    assert [tuple(sorted(r)) for r in links.collect()] == [(2, 3)]
+
+
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "COLUMNS", 4)
+    rows = corpus(seed=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dedup.near_duplicate_classes(df).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes_by_brute_force(rows)
 
 
 @pytest.mark.parametrize("weighted", [False, True])
