@@ -17,7 +17,7 @@ from sitelore.functions.text import clean_text, dedupe_key, match_text, query_te
 from sitelore.operators import chunks as chunking
 from sitelore.operators import crawl, evaluate, knowledge, prompt, quality, rank, retrieve
 from sitelore.operators.embed import embed, hash_embedder
-from sitelore.operators.extract import needs_browser
+from sitelore.operators.extract import extract_pages, needs_browser
 from sitelore.operators.skew import first_per_key, sliced_join
 from sitelore.plans.ask import retrieve_chunks
 from sitelore.plans.discover import discover, site_root
@@ -606,6 +606,68 @@ def render_decision(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("page_ord").alias("page_id"), weak.alias("needs_browser"))
 
 
+# --- pages written from the columns of whole documents -------------------------------
+def _rich_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a page with metadata, a table, questions, an image and a social link."""
+    t = text_table(spark, d, "documents")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    html = F.format_string(
+        '<html><head><title>Document %1$s</title><meta name="description" content="About %1$s from %2$s">'
+        '<link rel="canonical" href="/c/%1$s"><meta property="og:title" content="Open %3$s %1$s">'
+        '<meta name="twitter:card" content="Card %2$s"><script type="application/ld+json">{"n": %1$s, "@type": "Thing"}</script>'
+        '</head><body><nav><p>Menu</p></nav><article><h1>Head %1$s</h1><p>%5$s</p>'
+        '<table><tr><th>Source</th><th>Size</th></tr><tr><td>%2$s</td><td>%4$s</td></tr></table>'
+        '<details><summary>What is %1$s?</summary><p>A text from %2$s.</p></details>'
+        '<h2>How large is %1$s?</h2><p>It has %4$s characters.</p>'
+        '<img src="/i/%1$s.png" alt="A wide view of document %1$s" width="640" height="480">'
+        '<a href="https://www.instagram.com/%2$s">Instagram</a></article></body></html>',
+        F.col("doc_id").cast("string"), "source", "lang", F.col("n_chars").cast("string"), escaped,
+    )
+    page_url = F.concat(source_site(F.col("source")), F.lit("/d/"), F.col("doc_id"))
+    return extract_pages(t.select("doc_id", page_url.alias("page_url"), html.alias("html")))
+
+
+@query
+def rich_metadata(spark: SparkSession, d: str) -> DataFrame:
+    p = _rich_pages(spark, d)
+    return p.select(
+        "doc_id", "title", "description", F.col("metadata.canonical").alias("canonical"),
+        F.col("metadata.open_graph")["title"].alias("og_title"), F.col("metadata.twitter")["card"].alias("twitter_card"),
+        F.array_join("structured_data", "|").alias("structured"),
+    )
+
+
+@query
+def rich_tables(spark: SparkSession, d: str) -> DataFrame:
+    rows = _unrolled(_rich_pages(spark, d).select("doc_id", "tables"), "doc_id", "tables", "t")
+    cells = F.transform("t.rows", lambda r: F.array_join(r, "|"))
+    return rows.select(
+        "doc_id", big(F.col("pos")).alias("pos"), F.array_join("t.headers", "|").alias("headers"),
+        F.array_join(cells, ";").alias("cells"),
+    )
+
+
+@query
+def rich_faqs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _unrolled(_rich_pages(spark, d).select("doc_id", "faqs"), "doc_id", "faqs", "q")
+    return rows.select("doc_id", big(F.col("pos")).alias("pos"), "q.question", "q.answer")
+
+
+@query
+def rich_images(spark: SparkSession, d: str) -> DataFrame:
+    rows = _unrolled(_rich_pages(spark, d).select("doc_id", "images"), "doc_id", "images", "i")
+    return rows.select(
+        "doc_id", big(F.col("pos")).alias("pos"), "i.absolute_url", "i.alt",
+        big(F.col("i.width")).alias("width"), big(F.col("i.height")).alias("height"),
+    )
+
+
+@query
+def rich_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _unrolled(_rich_pages(spark, d).select("doc_id", "paragraphs"), "doc_id", "paragraphs", "p")
+    return rows.select("doc_id", big(F.col("pos")).alias("pos"), F.md5("p").alias("text_md5"))
+
+
 @query
 def discovered_links(spark: SparkSession, d: str) -> DataFrame:
     """Crawl selection over the links found in each site's pages."""
