@@ -342,3 +342,16 @@ RESULT_CSV_FIELDS = [
     "has_numbered_list", "detected_phone", "detected_email", "detected_url",
     "detected_cities", "latency_ms", "manual_score", "manual_notes", "issue_type",
 ]
+
+# Lines of the text contexts of a site
+CONTEXT_SCRAPED_HEADER = "=== WEBSITE CONTENT (Primary Source) ==="
+CONTEXT_SITE_HEADER = "=== WEBSITE INFORMATION ==="
+CONTEXT_PRIMARY_HEADER = "=== PRIMARY SOURCE (Website Content) ==="
+CONTEXT_PRIMARY_NOTE = "[This is the most reliable information - directly from the website]"
+CONTEXT_HOMEPAGE_HEADER = "## HOMEPAGE (Main Information)"
+CONTEXT_BLOG_HEADER = "\n## BLOG/ARTICLES (Recent posts)"
+CONTEXT_SECONDARY_HEADER = (
+    "\n=== SECONDARY SOURCE (Web Search Supplement) ===\n"
+    "[Use this only if primary source doesn't have the answer]\n\n"
+)
+CONTEXT_RULE = "\n---\n"

@@ -257,7 +257,7 @@ def _page_lines(head: Column, sections: int, section_chars: int, content_chars:
         F.coalesce(_section_lines(F.col("sections"), sections, section_chars), none),
         _lines(
             F.when(no_sections & (_text(F.col("content")) != ""), F.substring("content", 1, content_chars)),
-            F.lit("\n---\n"),
+            F.lit(fixed.CONTEXT_RULE),
         ),
     )
 
@@ -284,7 +284,7 @@ def scraped_context(pages: DataFrame, sites: DataFrame, *, max_pages: int) -> Da
         "website_id",
         F.concat_ws(
             "\n",
-            F.lit("=== WEBSITE CONTENT (Primary Source) ==="),
+            F.lit(fixed.CONTEXT_SCRAPED_HEADER),
             F.concat(F.lit("Source: "), "url"),
             F.concat(F.lit("Pages scraped: "), F.col("n_pages").cast("string")),
             F.lit(""),
@@ -318,11 +318,11 @@ def chatbot_context(
     home = first("homepage", F.col("page_ord").desc(), 1)
     home_lines = F.concat(
         _lines(
-            F.lit("## HOMEPAGE (Main Information)"), _line("Title: ", F.col("title")),
+            F.lit(fixed.CONTEXT_HOMEPAGE_HEADER), _line("Title: ", F.col("title")),
             _line("Description: ", F.col("description")),
         ),
         F.coalesce(_section_lines(F.col("sections"), None, 800), none),
-        _lines(_line("\nMain content: ", F.substring("content", 1, 1500)), F.lit("\n---\n")),
+        _lines(_line("\nMain content: ", F.substring("content", 1, 1500)), F.lit(fixed.CONTEXT_RULE)),
     )
     key_head = _lines(_line("## ", F.col("title")), _line("Description: ", F.col("description")))
     blog_lines = _lines(_line("- ", F.col("title")), _line("  ", F.substring("description", 1, 200)))
@@ -340,9 +340,9 @@ def chatbot_context(
             "website_id",
             F.array_join(
                 F.concat(
-                    F.array(F.lit("\n## BLOG/ARTICLES (Recent posts)")),
+                    F.array(F.lit(fixed.CONTEXT_BLOG_HEADER)),
                     F.flatten(F.transform("bs", lambda x: x["b"])),
-                    F.array(F.lit("\n---\n")),
+                    F.array(F.lit(fixed.CONTEXT_RULE)),
                 ),
                 "\n",
             ).alias("text"),
@@ -357,10 +357,7 @@ def chatbot_context(
         parts["search"] = _joined(kept, "website_id", "n", block).select(
             "website_id",
             F.concat(
-                F.lit(
-                    "\n=== SECONDARY SOURCE (Web Search Supplement) ===\n"
-                    "[Use this only if primary source doesn't have the answer]\n\n"
-                ),
+                F.lit(fixed.CONTEXT_SECONDARY_HEADER),
                 "text",
             ).alias("text"),
         )
@@ -372,13 +369,13 @@ def chatbot_context(
         "website_id",
         F.concat_ws(
             "\n",
-            F.lit("=== WEBSITE INFORMATION ==="),
+            F.lit(fixed.CONTEXT_SITE_HEADER),
             F.concat(F.lit("Name: "), F.coalesce("name", F.lit("Unknown"))),
             F.concat(F.lit("URL: "), _text(F.col("url"))),
             F.concat(F.lit("Pages analyzed: "), F.coalesce("n_pages", F.lit(0)).cast("string")),
             F.lit(""),
-            F.lit("=== PRIMARY SOURCE (Website Content) ==="),
-            F.lit("[This is the most reliable information - directly from the website]"),
+            F.lit(fixed.CONTEXT_PRIMARY_HEADER),
+            F.lit(fixed.CONTEXT_PRIMARY_NOTE),
             F.lit(""),
             *parts,
         ).alias("context"),
