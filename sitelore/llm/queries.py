@@ -53,7 +53,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op7_warc_boundary_chain")
+@query(
+    "op7_warc_boundary_chain",
+    """
+    WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, folder, "pages"))
 
@@ -106,7 +116,21 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return routing.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, top=5)
 
 
-@query("op10_lattice_hashing")
+@query(
+    "op10_lattice_hashing",
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+    fit AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+              WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
+    counts AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM least LEFT JOIN counts USING (vec_id)
+    """,
+)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, folder, "embeddings"), threshold=0.93)
 
@@ -116,7 +140,21 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op1_dart_minhash")
+@query(
+    "op1_dart_minhash",
+    r"""
+    WITH RECURSIVE t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+    w AS (SELECT doc_id, CASE WHEN regexp_matches(t, '[\p{L}\p{N}_]') THEN regexp_extract_all(t, '[\p{L}\p{N}_]+')
+          ELSE regexp_extract_all(t, '[^\s]+') END AS ws FROM t),
+    s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, greatest(1, len(ws) - 4)), lambda i: array_to_string(ws[i + 1 : i + 5], ' '))) AS shingle
+          FROM w WHERE len(ws) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM both_ JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 10 * k >= 8 * (na.n + nb.n - k)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+    SELECT a AS doc_id, min(b) AS class_id, a = min(b) AS kept FROM reach GROUP BY 1
+    """,
+)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, folder, "documents"), threshold=0.8).select(
         "doc_id", "class_id", "kept"
