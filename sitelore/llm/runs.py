@@ -10,10 +10,12 @@ import pyarrow.compute as pc
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most `rows`, so that few of them exist as Python objects."""
+    """The same rows in batches of at most `rows`, so that few of them exist as Python objects.
+    Memory of a batch goes back to the system when its rows are done."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:

@@ -153,7 +153,7 @@ def write_token_files(
     end = np.array([end_id], dtype=kind).tobytes()
 
     def encode(batches):
-        run = encoder(tokenizer, size).encode_many
+        run = encoder(tokenizer, size, cache=450_000).encode_many
         for batch in small_batches(batches, SLICE_TEXTS):
             doc_ids = batch.column(0).to_pylist()
             encoded = [ids + end for ids in run(batch.column(1).to_pylist())]

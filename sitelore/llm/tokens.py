@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 450_000  # bounds the memory of a worker; no effect on results
+CACHE_WORDS = 200_000  # bounds the memory of a worker; no effect on results
 SLICE_TEXTS = 256  # texts whose new words are encoded together
 JOINED_WORDS = 4000
 
@@ -24,13 +24,14 @@ _LOADED: dict[tuple[str, int], object] = {}
 class TextEncoder:
     """Ids of texts as little-endian bytes of `size` (2 or 4) each."""
 
-    def __init__(self, path: str, size: int = 4):
+    def __init__(self, path: str, size: int = 4, cache: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # the strings of special tokens inside a text are ordinary text
         self.tokenizer.encode_special_tokens = True
+        self.cache = cache
         self.size, self.code = size, {2: "H", 4: "I"}[size]
         self.spaces_matter = self._whole("a b") != self._whole("a\nb")
         self.plain: dict[str, bytes] = {}  # words at the start of a line
@@ -96,7 +97,7 @@ class TextEncoder:
                 out.append(self._whole(text))
         # frequent words come early, so the first ones stay
         for known, new in ((self.plain, new_starts), (self.spaced, new_others)):
-            for w in new[: max(0, len(known) - CACHE_WORDS)]:
+            for w in new[: max(0, len(known) - self.cache)]:
                 del known[w]
         return out
 
@@ -108,10 +109,10 @@ class TextEncoder:
         return out
 
 
-def encoder(path: str, size: int = 4) -> TextEncoder:
+def encoder(path: str, size: int = 4, cache: int = CACHE_WORDS) -> TextEncoder:
     """The encoder of a tokenizer file, loaded once per worker."""
     if (path, size) not in _LOADED:
-        _LOADED[path, size] = TextEncoder(path, size)
+        _LOADED[path, size] = TextEncoder(path, size, cache)
     return _LOADED[path, size]
 
 

@@ -24,7 +24,7 @@ from sitelore.session import materialize
 
 WORD = re.compile(r"[^\W\d_]+")
 PARTS = (4, 5, 6)  # lengths of word beginnings
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -220,7 +220,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     def add(batches):
         if not held:
             held.append(Scorer(model))
-        for batch in small_batches(batches, 1024):
+        for batch in small_batches(batches, 512):
             at = batch.schema.get_field_index("text")
             scores = [held[0].score(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
