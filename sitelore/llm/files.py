@@ -37,11 +37,6 @@ def read_range(folder: str, name: str, start: int = 0, length: int | None = None
         return source.read() if length is None else source.read(length)
 
 
-def file_size(folder: str, name: str) -> int:
-    store, path = pafs.FileSystem.from_uri(folder)
-    return store.get_file_info(f"{path}/{name}").size
-
-
 def crc32_of(text) -> F.col:
     """Unsigned crc32 of a string column's UTF-8 bytes."""
     return F.crc32(F.encode(text, "UTF-8"))
