@@ -17,7 +17,7 @@ from sitelore.functions import urls
 from sitelore.functions.binding import built_once, let
 from sitelore.functions.html import NODE, dom
 from sitelore.functions.numbers import round_exact
-from sitelore.functions.text import SPACE_CLASS, clean_text, contains_any, strip
+from sitelore.functions.text import clean_text, contains_any, strip
 from sitelore.schemas import FAQS, HEADINGS, IMAGES, LINKS, LISTS, SECTIONS, TABLES
 
 STRINGS = "array<string>"
