@@ -42,6 +42,19 @@ def crc32_of(text) -> F.col:
     return F.crc32(F.encode(text, "UTF-8"))
 
 
+TEXTS_PER_BATCH = 1000
+
+
+def whole_texts(df: DataFrame) -> DataFrame:
+    """`df`, with Arrow batches of few rows in its session: whole texts and pages go to Python,
+    and the default of 10,000 rows a batch takes much memory on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXTS_PER_BATCH:
+        conf.set(name, str(TEXTS_PER_BATCH))
+    return df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of partitions that shuffles of this session are meant to have."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

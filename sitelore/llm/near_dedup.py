@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from sitelore.llm.components import connected_components
 from sitelore.llm.darts import mix, signature
-from sitelore.llm.files import parallelism
+from sitelore.llm.files import parallelism, whole_texts
 from sitelore.llm.runs import runs, small_batches
 from sitelore.session import materialize
 
@@ -103,7 +103,7 @@ def sign_documents(docs: DataFrame, weighted: bool) -> DataFrame:
                 ["uid", "doc_id", "text_hash", "key", "bands", "signature", "shingles"],
             )
 
-    rows = docs.select(
+    rows = whole_texts(docs).select(
         F.monotonically_increasing_id().alias("uid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"),

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelore.llm.files import whole_texts
 from sitelore.llm.runs import small_batches
 from sitelore.llm.tokens import SLICE_TEXTS, encoder
 from sitelore.session import materialize
@@ -73,7 +74,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) ->
                 ["doc_id", "copy", "piece", "start", "length", "ids_crc32"],
             )
 
-    rows = docs.select(
+    rows = whole_texts(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("copy"),
         F.col("text").cast("string").alias("text"),

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitelore.llm.files import new_folder, read_range, write_file
+from sitelore.llm.files import new_folder, read_range, whole_texts, write_file
 from sitelore.llm.runs import small_batches
 from sitelore.llm.tokens import SLICE_TEXTS, encoder, id_bytes
 from sitelore.session import materialize
@@ -138,7 +138,7 @@ def write_token_files(
     repeated id, only makes more files. Rows with equal ids stay separate documents in
     the order of their texts. Null texts are empty. An empty table writes no file.
     """
-    rows = docs.select(
+    rows = whole_texts(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelore.llm.files import whole_texts
 from sitelore.llm.runs import small_batches
 from sitelore.session import materialize
 
@@ -118,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
         return Model({}, -50.0)
     prior = min(0.9, n_toxic / n)
     draw = F.xxhash64("doc_id", F.lit(fit.seed))
-    texts = docs.where(~held_out(F.col("doc_id"))).select(
+    texts = whole_texts(docs).where(~held_out(F.col("doc_id"))).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     ids = texts.select("doc_id").where("doc_id is not null")
@@ -229,7 +230,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     from pyspark.sql.types import DoubleType, StructType
 
-    rows = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
+    rows = whole_texts(docs).drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
     schema = StructType([*rows.schema.fields]).add("score", DoubleType())
     return rows.mapInArrow(add, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

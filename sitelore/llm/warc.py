@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelore.llm.files import new_folder, read_range, write_file
+from sitelore.llm.files import new_folder, read_range, whole_texts, write_file
 from sitelore.session import materialize
 
 # fixed values of the formats
@@ -81,7 +81,7 @@ def write_archives(
     A file is closed when it passes `file_bytes`; an empty table writes no file.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(
+    rows = whole_texts(pages).select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         html.alias("html"),
