@@ -5,10 +5,9 @@
 3. Documents that agree in a whole band of the signature share a bucket. Each member is
    compared exactly with the bucket's first document, so a bucket of n makes n - 1 pairs.
 4. In buckets that still hold several components, every member outside the first document's
-   component is compared with all others inside tasks, in blocks of bounded size: by
-   signature first, exactly where that leaves a chance. A pair is looked at in the first
-   band it shares only, and not at all once its components have met, so what leaves a task
-   is a link per component, never the pairs.
+   component is compared exactly with all others inside tasks, in blocks of bounded size.
+   A pair is looked at in the first band it shares only, and not at all once its components
+   have met, so what leaves a task is a link per component, never the pairs.
 5. The links' connected components are the classes.
 """
 
@@ -33,7 +32,6 @@ BANDS, ROWS = 32, 4
 SALTED = 256  # members compared with one document in one run
 BLOCK = 512  # members outside the first document's component in one block
 COLUMNS = 1024  # members that they are compared with in one block
-MARGIN = 0.12  # an estimate lower than the threshold by more than this (3.4 deviations) is no candidate
 
 WORD = re.compile(r"\w+")
 _POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype="uint64"))
@@ -214,6 +212,10 @@ def _links_of_block(found: pa.Table, threshold: float) -> list[tuple[int, int]]:
     earlier = band_keys(names)[:, :band]
     sets = [np.frombuffer(s, "uint32") for s in found["shingles"].to_pylist()]
     sizes = np.array([len(s) for s in sets])
+    # all shingles of the block in order, with the rows that hold them
+    held = np.concatenate(sets)
+    order = np.argsort(held, kind="stable")
+    held, holders = held[order], np.repeat(np.arange(len(sets), dtype="int32"), sizes)[order]
     above: dict[int, int] = {}
 
     def root(p: int) -> int:
@@ -230,11 +232,16 @@ def _links_of_block(found: pa.Table, threshold: float) -> list[tuple[int, int]]:
             (part[others] != part[i])
             & (np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i]))
         ]
-        rows = rows[(names[rows] == names[i]).mean(axis=1) >= threshold - MARGIN]
         rows = rows[~(earlier[rows] == earlier[i]).any(axis=1)]
-        for j in rows:
+        if not len(rows):
+            continue
+        starts = np.searchsorted(held, sets[i], "left")
+        counts = np.searchsorted(held, sets[i], "right") - starts
+        at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = np.bincount(holders[at], minlength=len(sets))[rows]
+        for j in rows[both / (sizes[rows] + sizes[i] - both) >= threshold]:
             p, q = root(int(part[i])), root(int(part[j]))
-            if p != q and _jaccard(sets[i], sets[j]) >= threshold:
+            if p != q:
                 above[max(p, q)] = min(p, q)
                 links.append((int(uid[i]), int(uid[j])))
     return links

@@ -89,6 +89,23 @@ def test_buckets_are_finished_by_signatures(spark):
     assert [tuple(sorted(r)) for r in links.collect()] == [(2, 3)]
 
 
+def test_low_estimates_do_not_lose_links_of_a_bucket(spark):
+    """Two documents at exactly 0.8 whose signatures agree in less than 0.68 of their coordinates."""
+    rng = random.Random(104)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(139)]
+    other = words[:-15] + ["".join(rng.choices("abcdefgh", k=5)) for _ in range(15)]
+    texts = {1: "a b c d e f g", 2: " ".join(words), 3: " ".join(other)}
+    assert jaccard(texts[2], texts[3]) == 0.8
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = near_dedup.sign_documents(df, False).selectExpr("doc_id as uid", "signature", "shingles").cache()
+    a, b = (np.frombuffer(r.signature, "uint32") for r in signed.where("uid > 1").collect())
+    assert (a == b).mean() < 0.68
+    buckets = spark.createDataFrame([(0, 0, i, 1) for i in texts], "bucket long, band int, uid long, a long")
+    groups = spark.createDataFrame([], "id long, component long")
+    links = near_dedup.bucket_links(buckets, groups, signed, 0.8)
+    assert [tuple(sorted(r)) for r in links.collect()] == [(2, 3)]
+
+
 def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     monkeypatch.setattr(near_dedup, "COLUMNS", 4)
