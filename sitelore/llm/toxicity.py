@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
 
     Only rows outside the held-out third are used. A document is positive if any of its
     labels is 1. Positives and unlabelled documents are seeded samples of at most
-    `fit.positives` and `fit.unlabelled` rows (equal texts once). The prior is the share of
+    `fit.positives` and `fit.unlabelled` rows (equal texts once), drawn by doc_id and text. The prior is the share of
     toxic documents among the labelled ones. Without a positive document every score is 0.
     """
     open_labels = (
@@ -118,16 +118,17 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     if not n_toxic:
         return Model({}, -50.0)
     prior = min(0.9, n_toxic / n)
-    draw = F.xxhash64("doc_id", F.lit(fit.seed))
+    draw = F.xxhash64("doc_id", "text_hash", F.lit(fit.seed))
     texts = whole_texts(docs).where(~held_out(F.col("doc_id"))).select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
-    ids = texts.select("doc_id").where("doc_id is not null")
+    ids = texts.select("doc_id", "text_hash").where("doc_id is not null").distinct()
     positives = ids.join(open_labels.where("toxic = 1"), "doc_id", "left_semi")
     positives = positives.orderBy(draw).limit(fit.positives).withColumn("positive", F.lit(True))
     unlabelled = ids.orderBy(draw).limit(fit.unlabelled).withColumn("positive", F.lit(False))
-    drawn = positives.unionByName(unlabelled)  # at most `fit.positives + fit.unlabelled` ids
-    sample = texts.join(F.broadcast(drawn), "doc_id").dropDuplicates(["positive", "text"])
+    drawn = positives.unionByName(unlabelled)  # at most `fit.positives + fit.unlabelled` keys
+    sample = texts.join(F.broadcast(drawn), ["doc_id", "text_hash"]).dropDuplicates(["positive", "text"])
 
     def extract(batches):
         for batch in small_batches(batches, 128):

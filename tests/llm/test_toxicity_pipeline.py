@@ -55,6 +55,16 @@ def test_labels_of_the_held_out_third_are_not_used(spark):
     assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
 
 
+def test_the_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
+    docs = spark.createDataFrame([(7, f"text {'ab'[i % 2] * (i + 1)}", "en", "s1", 1) for i in range(60)], DOCS)
+    docs = docs.unionByName(docs.limit(10))
+    seen = []
+    trained = toxicity.nn_pu
+    monkeypatch.setattr(toxicity, "nn_pu", lambda *a: seen.append(a[2]) or trained(*a))
+    toxicity.train(docs, spark.createDataFrame([(7, 1, 1)], LABELS), toxicity.Fit(positives=10, unlabelled=20, steps=2))
+    assert (seen[0].sum(), (~seen[0]).sum()) == (10, 20)
+
+
 def test_no_labels_and_no_documents(spark):
     docs, labels = frames(spark)
     none = toxicity.toxicity_scores(docs, labels.limit(0)).collect()
