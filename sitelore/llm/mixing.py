@@ -245,10 +245,11 @@ def repeat_documents(docs: DataFrame, sources: Column, **options) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
         F.col("text_hash").alias("_hash"), F.to_json("sources").alias("_pattern"),
     ).agg(F.sum("repeats").alias("_takes"), F.count(F.lit(1)).alias("_rows"))
-    rows = (
-        docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
-        .withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-        .withColumn("_pattern", F.to_json(_source_set(sources)))
+    # a row travels as one struct, whatever its columns are called
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("_hash"),
+        F.to_json(_source_set(sources)).alias("_pattern"), F.struct("*").alias("_row"),
     )
     chosen = rows.join(marks.where("_takes > 0"), keys)
     same = Window.partitionBy(*keys).orderBy(F.lit(0))
@@ -258,4 +259,4 @@ def repeat_documents(docs: DataFrame, sources: Column, **options) -> DataFrame:
         "_mine", F.floor(F.col("_takes") / F.col("_rows")) + (F.col("_at") < F.col("_takes") % F.col("_rows")).cast("int")
     ).drop("_at")
     counted = single.unionByName(several).where("_mine > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mine").cast("long")))).select(*docs.columns)
+    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mine").cast("long")))).select("_row.*")

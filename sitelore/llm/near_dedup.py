@@ -308,8 +308,11 @@ def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
         F.col("text_hash").alias("_hash"), "_kept", "_wordless",
     )
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
-    rows = rows.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    # a row travels as one struct, whatever its columns are called
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("_id"),
+        F.xxhash64(F.col("text").cast("string")).alias("_hash"), F.struct("*").alias("_row"),
+    )
     kept = rows.join(marks, ["_id", "_hash"]).where("_kept")
     once = kept.where("not _wordless").dropDuplicates(["_id", "_hash"])  # combined before the shuffle
-    return once.unionByName(kept.where("_wordless")).select(*docs.columns)
+    return once.unionByName(kept.where("_wordless")).select("_row.*")

@@ -247,4 +247,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Dat
 def keep_clean(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
     """Rows of `docs`, all columns, without those predicted toxic."""
     names = docs.columns
-    return scored(docs, train(docs, labels, fit)).where("predicted = 0").select(*names)
+    # numbered on the way, so that no column is taken for a score
+    held = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]
+    kept = scored(docs.toDF(*held), train(docs, labels, fit)).where("predicted = 0")
+    return kept.select(*(F.col(h).alias(c) for h, c in zip(held, names)))

@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from sitelore.llm import near_dedup, toxicity
+from sitelore.llm import mixing, near_dedup, toxicity
 from sitelore.session import materialize
 
 BAD = ["grobble", "grobbling", "snarf", "vexo"]
@@ -65,6 +67,19 @@ def test_the_sample_is_bounded_when_an_id_repeats(spark, monkeypatch):
     assert (seen[0].sum(), (~seen[0]).sum()) == (10, 20)
 
 
+def test_stages_keep_columns_named_like_their_helpers(spark):
+    names = ["_id", "_hash", "_row", "_kept", "_wordless", "_pattern", "_takes", "_rows", "_mine", "_at", "_copy", "score", "predicted", "c0"]
+    docs = spark.createDataFrame([(i, f"some text of number {i}", "s1") for i in range(8)] + [(0, "some text of number 0", "s1"), (9, None, "s1")], "doc_id long, text string, source string")
+    docs = docs.select("*", *(F.concat(F.lit(f"{n} "), F.coalesce(F.col("doc_id"), F.lit(-1))).alias(n) for n in names))
+    rows = Counter(docs.collect())
+    clean = toxicity.keep_clean(docs, spark.createDataFrame([(0, 1, 0)], LABELS))
+    assert clean.columns == docs.columns and Counter(clean.collect()) == rows
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and Counter(kept.collect()) == Counter(set(rows))
+    mixed = mixing.repeat_documents(docs, F.array("source"))
+    assert mixed.columns == docs.columns and 0 < mixed.count() and set(mixed.collect()) <= set(rows)
+
+
 def test_no_labels_and_no_documents(spark):
     docs, labels = frames(spark)
     none = toxicity.toxicity_scores(docs, labels.limit(0)).collect()
