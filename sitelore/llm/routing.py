@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,9 +177,10 @@ def search(
     """`FOUND` rows: the `top` nearest rows found for each row where `is_query` holds.
 
     `vectors`: vec_id, embedding. Nearness is the cosine in double precision; ties go to
-    the smaller vec_id. Rows that are null, zero or hold null or non-finite components, rows
-    without a vec_id and rows of another length than the most frequent one take no part.
-    A row is no candidate of a query with its vec_id. An empty table gives no rows.
+    the smaller vec_id. Rows that are null, zero or hold null or non-finite components and
+    rows without a vec_id take no part. Vectors of each length have a router of their own and
+    meet only each other; ranks are per query_id and length. A row is no candidate of a query
+    with its vec_id. An empty table gives no rows.
 
     A part that holds many rows is read in slices, and its queries come in blocks: a task
     holds at most `slice_rows` rows and `block_queries` queries on average.
@@ -189,57 +191,64 @@ def search(
         F.col("embedding").cast("array<double>").alias("embedding"),
     ).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     lengths = rows.groupBy(F.size("embedding").alias("dims")).count()
-    common = lengths.orderBy(F.desc("count"), "dims").first()
-    if common is None:
+    routers: dict[int, Router] = {}
+    for length in lengths.collect():  # one row per length of vectors
+        drawn = (
+            rows.where(F.size("embedding") == length["dims"])
+            .orderBy(F.xxhash64("vec_id", F.lit(fit.seed)), "vec_id").limit(fit.sample)
+            .select("embedding").toArrow()  # bounded by `fit.sample`
+        )
+        routers[length["dims"]] = learn(unit(matrix(drawn["embedding"])), length["count"], top, fit)
+    if not routers:
         return empty_like(spark, FOUND)
-    rows = rows.where(F.size("embedding") == common["dims"])
-    drawn = (
-        rows.orderBy(F.xxhash64("vec_id", F.lit(fit.seed)), "vec_id").limit(fit.sample)
-        .select("embedding").toArrow()  # bounded by `fit.sample`
-    )
-    router = learn(unit(matrix(drawn["embedding"])), common["count"], top, fit)
 
     def route(batches):
         for batch in batches:
-            if batch.num_rows:
-                ranked = router.ranked(unit(matrix(pa.chunked_array([batch.column(2)]))))
+            sizes = pc.list_value_length(batch.column(2))
+            for dims in pc.unique(sizes).to_pylist():
+                same = batch.filter(pc.equal(sizes, dims))
+                router = routers[dims]
+                ranked = router.ranked(unit(matrix(pa.chunked_array([same.column(2)]))))
                 parts = pa.array(ranked[:, : router.visits].astype("int32").tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, parts], ["vec_id", "_query", "embedding", "parts"])
+                length = pa.array([dims] * same.num_rows, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*same.columns, length, parts], ["vec_id", "_query", "embedding", "dims", "parts"]
+                )
 
     routed = materialize(
-        rows.mapInArrow(route, "vec_id long, _query boolean, embedding array<double>, parts array<int>"), "routed"
+        rows.mapInArrow(route, "vec_id long, _query boolean, embedding array<double>, dims int, parts array<int>"),
+        "routed",
     )
-    homes = routed.select("vec_id", "embedding", F.col("parts")[0].alias("part"))
-    asked = routed.where("_query").select("vec_id", "embedding", F.explode("parts").alias("part"))
-    sizes = homes.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
-    blocks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("blocks"))
-    grid = sizes.join(blocks, "part")  # one row per part
+    homes = routed.select("vec_id", "embedding", "dims", F.col("parts")[0].alias("part"))
+    asked = routed.where("_query").select("vec_id", "embedding", "dims", F.explode("parts").alias("part"))
+    sizes = homes.groupBy("dims", "part").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
+    blocks = asked.groupBy("dims", "part").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("blocks"))
+    grid = sizes.join(blocks, ["dims", "part"])  # one row per part
 
     def dealt(df, kind, own, others):
         mine = F.pmod(F.xxhash64("vec_id", F.lit(kind)), F.col(own)).cast("int")
-        return df.join(grid, "part").select(
-            "part", mine.alias(own[:-1]), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(others[:-1]),
+        return df.join(grid, ["dims", "part"]).select(
+            "dims", "part", mine.alias(own[:-1]), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(others[:-1]),
             F.lit(kind).alias("kind"), "vec_id", "embedding",
         )
 
-    key = ["part", "slice", "block"]
+    key = ["dims", "part", "slice", "block"]
     both = dealt(homes, 0, "slices", "blocks").select(*key, "kind", "vec_id", "embedding").unionByName(
         dealt(asked, 1, "blocks", "slices").select(*key, "kind", "vec_id", "embedding")
     )
     met = both.repartition(parallelism(spark), *key).sortWithinPartitions(*key, "kind", "vec_id")
 
     def rank(batches):
-        for _, found in runs(batches, key):
+        for (dims, *_), found in runs(batches, key):
             kind, ids, x = found["kind"].to_numpy(), found["vec_id"].to_numpy(), matrix(found["embedding"])
             cut = int(np.searchsorted(kind, 1))
             if 0 < cut < len(ids):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in best_of(ids[:cut], x[:cut], ids[cut:], x[cut:], top)],
-                    ["query_id", "vec_id", "score"],
-                )
+                best = [pa.array(c) for c in best_of(ids[:cut], x[:cut], ids[cut:], x[cut:], top)]
+                length = pa.array([dims] * len(best[0]), pa.int32())
+                yield pa.RecordBatch.from_arrays([length, *best], ["dims", "query_id", "vec_id", "score"])
 
-    near = met.mapInArrow(rank, "query_id long, vec_id long, score double")
-    ranked = top_per_key(near, ["query_id"], [F.desc("score"), F.asc("vec_id")], top)
+    near = met.mapInArrow(rank, "dims int, query_id long, vec_id long, score double")
+    ranked = top_per_key(near, ["dims", "query_id"], [F.desc("score"), F.asc("vec_id")], top)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -107,6 +107,18 @@ def test_few_rows_and_none(spark):
     assert routing.search(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_every_length_is_indexed_and_asked(spark):
+    rng = np.random.default_rng(9)
+    data = [(i, rng.normal(size=4 if i % 3 else 6).tolist(), 1, 0.0, 0) for i in range(90)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, score double, part int")
+    got = routing.search(df, F.col("vec_id") < 30, 3, slice_rows=20, block_queries=8).collect()
+    wanted = set()
+    for q, x, *_ in data[:30]:
+        near = sorted((-cosine(x, y), i) for i, y, *_ in data if i != q and len(y) == len(x))[:3]
+        wanted |= {(q, rank, i) for rank, (_, i) in enumerate(near, 1)}
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(wanted)
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1000, 16))
