@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelore.llm import chat, lattice, mixing, near_dedup, packing, routing, sharding, token_files, toxicity, warc
+from sitelore.llm import chat, lattice, mixing, near_dedup, packing, routing, sharding, token_files, toxicity, warc, whitening
 
 REGISTRY, ORACLES = {}, {}
 
@@ -159,3 +159,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicate_classes(table(spark, folder, "documents"), threshold=0.8).select(
         "doc_id", "class_id", "kept"
     )
+
+
+@query("op11_incremental_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"), components=16)
