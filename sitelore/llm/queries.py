@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelore.llm import chat, lattice, mixing, near_dedup, packing, routing, sharding, token_files, toxicity, warc, whitening
+from sitelore.llm import chat, lattice, license_scan, mixing, near_dedup, packing, routing, sharding, token_files, toxicity, warc, whitening
 
 REGISTRY, ORACLES = {}, {}
 
@@ -164,3 +164,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_incremental_whitening")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"), components=16)
+
+
+@query("op12_fuzzy_notices")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, folder, "documents")).drop("spans")
