@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelore.llm import chat, lattice, license_scan, mixing, near_dedup, packing, routing, sharding, token_files, toxicity, warc, whitening
+from sitelore.llm import chat, lattice, license_scan, mixing, near_dedup, packing, repair, routing, sharding, token_files, toxicity, warc, whitening
 
 REGISTRY, ORACLES = {}, {}
 
@@ -169,3 +169,81 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_fuzzy_notices")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.license_digest(table(spark, folder, "documents")).drop("spans")
+
+
+def _tied(state: str, keep: str, turn: str, role: str) -> str:
+    """SQL: the cheapest, then ASCII-least ending from `state` in front of a turn, before inserts."""
+    own = f"{{c: {state}.c + 4, a: 'D' || {state}.a, r: {state}.r}}"
+    kept = f", CASE WHEN {keep} THEN {{c: {turn}.c + stays, a: 'K' || {turn}.a, r: line || {turn}.r}} END"
+    given = f", {{c: {turn}.c + stays + 3, a: 'R' || {turn}.a, r: '{role}:' || text || chr(10) || {turn}.r}}"
+    return f"CASE WHEN gone THEN {own} ELSE list_min([{own}{kept}{given}]) END"
+
+
+def _inserted(state: str, after: str, role: str) -> str:
+    return f"list_min([{state}, {{c: {after}.c + 3, a: 'I' || {after}.a, r: '{role}:' || chr(10) || {after}.r}}])"
+
+
+@query(
+    "op13_survivor_coalescence",
+    rf"""
+    WITH RECURSIVE bits AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+            lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+    ), raw AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations
+    ), drawn AS (
+        SELECT raw.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+               lambda a, b: xor(t[CAST((xor(a, b) & 255) + 1 AS BIGINT)], a >> 8)), 4294967295) % 20 AS c FROM raw, bits
+    ), hurt AS (
+        SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+               CASE WHEN c = 1 THEN '' WHEN c = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+               unnest(range(CASE WHEN c = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM drawn WHERE c <> 0
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt
+    ), marked AS (
+        SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS ini,
+               regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS last,
+               row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+               lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prior,
+               role || ':' || text || chr(10) AS line
+        FROM placed
+    ), faults AS (
+        SELECT *, last = '' AS blank, last <> '' AND seen AS dup, last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') AS cut,
+               last = '' OR seen AS gone, CASE WHEN last <> '' AND NOT seen AND last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS stays
+        FROM marked
+    ), counts AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+               sum(blank::INT) AS blank, sum(dup::INT) AS duplicate, sum(cut::INT) AS truncated,
+               sum((prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au'))::INT) AS illegal
+        FROM faults GROUP BY conv_id
+    ), walk AS (
+        SELECT conv_id, n AS i, {{c: 0::BIGINT, a: '', r: ''}} AS o, {{c: 6::BIGINT, a: 'II', r: 'user:' || chr(10) || 'assistant:' || chr(10)}} AS s,
+               {{c: 3::BIGINT, a: 'I', r: 'assistant:' || chr(10)}} AS u, {{c: 0::BIGINT, a: '', r: ''}} AS e FROM counts
+        UNION ALL
+        SELECT conv_id, i - 1, {_inserted('po', 'nu', 'user')}, {_inserted('ps', 'nu', 'user')}, nu, ne FROM (
+            SELECT conv_id, i, po, ps, {_inserted('pu', 'pe', 'assistant')} AS nu, {_inserted('pe', 'pu', 'user')} AS ne FROM (
+                SELECT w.conv_id, w.i,
+                       CASE WHEN gone THEN {{c: o.c + 4, a: 'D' || o.a, r: o.r}} ELSE list_min([{{c: o.c + 4, a: 'D' || o.a, r: o.r}},
+                           CASE WHEN ini = 's' THEN {{c: s.c + stays, a: 'K' || s.a, r: line || s.r}}
+                                WHEN ini = 'u' THEN {{c: u.c + stays, a: 'K' || u.a, r: line || u.r}} END,
+                           {{c: u.c + stays + 3, a: 'R' || u.a, r: 'user:' || text || chr(10) || u.r}}]) END AS po,
+                       {_tied('s', "ini = 'u'", 'u', 'user')} AS ps,
+                       {_tied('u', "ini = 'a'", 'e', 'assistant')} AS pu,
+                       {_tied('e', "ini = 'u'", 'u', 'user')} AS pe
+                FROM walk w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i
+            )
+        )
+    )
+    SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(o.c, 0)::BIGINT AS cost,
+           coalesce(o.a, '') AS audit, sha256(CASE WHEN coalesce(o.r, '') = '' THEN '' ELSE o.r[:-2] END) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) d
+    LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+    LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM d.conv_id AND w.i = 0
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    said = table(spark, folder, "conversations")
+    return repair.repair_report(repair.damaged(said), said)
