@@ -43,15 +43,19 @@ def crc32_of(text) -> F.col:
 
 
 TEXTS_PER_BATCH = 1000
+BYTES_PER_BATCH = 4 << 20
 
 
 def whole_texts(df: DataFrame) -> DataFrame:
-    """`df`, with Arrow batches of few rows in its session: whole texts and pages go to Python,
-    and the default of 10,000 rows a batch takes much memory on both sides."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """`df`, with short Arrow batches in its session, in rows and in bytes: whole texts and pages
+    go to Python, and a batch takes its memory several times over (buffers of both sides, Python's
+    strings, results). The defaults are 10,000 rows and 64 MB; smaller settings are left alone."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= TEXTS_PER_BATCH:
-        conf.set(name, str(TEXTS_PER_BATCH))
+    for name, most in (("maxRecordsPerBatch", TEXTS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = str(conf.get(name)).lower()
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
     return df
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,20 @@ import pyarrow.compute as pc
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that few of them exist as Python objects.
-    Memory of a batch goes back to the system when its rows are done."""
+    Memory of a batch goes back to the system when its rows are done, that of a task at its end."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         pa.default_memory_pool().release_unused()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on and are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -44,6 +54,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
             held.append(table.slice(a, b - a))
     if held:
         yield now, pa.concat_tables(held)
+    held = []
+    give_back()
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
