@@ -32,6 +32,7 @@ BANDS, ROWS = 32, 4
 SALTED = 256  # members compared with one document in one run
 BLOCK = 512  # members outside the first document's component in one block
 COLUMNS = 1024  # members that they are compared with in one block
+BLOCK_BYTES, COLUMN_BYTES = 4 << 20, 8 << 20  # of shingles, bounds beside those in members; also of a run
 
 WORD = re.compile(r"\w+")
 _POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype="uint64"))
@@ -116,13 +117,19 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _parts(rows: int, size: int):
+    """Aggregate: parts that hold about `rows` rows and `size` bytes each."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("size") / size), F.lit(1)).cast("int")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of `pairs` (a, b) whose exact Jaccard similarity reaches `threshold`.
 
-    `sets`: uid, shingles. The pairs of one `a` are cut into runs of about `SALTED`, each
-    with its own copy of a's set, so a document with any number of partners spreads out.
+    `pairs` has `size`, the bytes of b's shingles; `sets`: uid, shingles. The pairs of one `a`
+    are cut into runs of about `SALTED` and `COLUMN_BYTES`, each with its own copy of a's set,
+    so a document with any number of partners spreads out.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
+    counts = pairs.groupBy("a").agg(_parts(SALTED, COLUMN_BYTES).alias("salts"))
     members = pairs.join(counts, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b"
     )
@@ -153,30 +160,30 @@ def _unresolved(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     hold several components; of buckets with the same members the one of the lowest band.
     `minor`: outside the component of the bucket's first document `a`."""
     part = F.coalesce("component", "uid").alias("part")
-    named = buckets.join(groups, F.col("uid") == F.col("id"), "left").select("bucket", "band", "uid", "a", part)
+    named = buckets.join(groups, F.col("uid") == F.col("id"), "left").select("bucket", "band", "uid", "a", "size", part)
     state = named.groupBy("bucket", "band").agg(
-        F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"),
+        F.count(F.lit(1)).alias("n"), _parts(COLUMNS, COLUMN_BYTES).alias("columns"),
+        F.min("part").alias("low"), F.max("part").alias("high"),
         F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("members"),
         F.max(F.when(F.col("uid") == F.col("a"), F.col("part"))).alias("major"),
     )
     some = (
-        state.where("low <> high and n > 2").groupBy("n", "members", "major")
+        state.where("low <> high and n > 2").groupBy("n", "columns", "members", "major")
         .agg(F.min(F.struct("band", "bucket")).alias("b"))
-        .select(F.col("b.bucket").alias("bucket"), "n", "major")
+        .select(F.col("b.bucket").alias("bucket"), "columns", "major")
     )
     rows = named.join(some, "bucket").withColumn("minor", F.col("part") != F.col("major"))
-    sizes = rows.where("minor").groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.where("minor").groupBy("bucket").agg(_parts(BLOCK, BLOCK_BYTES).alias("blocks"))
     return rows.join(sizes, "bucket").select(
-        "bucket", "band", "a", "uid", "part", "minor", "blocks",
-        F.ceil(F.col("n") / COLUMNS).cast("int").alias("columns"),
+        "bucket", "band", "a", "uid", "part", "minor", "blocks", "columns"
     )
 
 
 def bucket_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b: links between components of `groups` that buckets (bucket, band, uid, a) hold.
+    """a, b: links between components of `groups` that buckets (bucket, band, uid, a, size) hold.
 
     `sets`: uid, signature, shingles. A block meets up to about `BLOCK` minor members with
-    `COLUMNS` others; its links join each pair of components that it can join once.
+    `COLUMNS` others, fewer of long texts (`BLOCK_BYTES`, `COLUMN_BYTES`); its links join each pair of components that it can join once.
     """
     open_ = _unresolved(buckets, groups)
     block = F.pmod(F.xxhash64("uid", F.lit(2)), F.col("blocks")).cast("int")
@@ -257,7 +264,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bo
 
     Equal word sequences are one class whatever their case and punctuation. Texts without
     words (null, empty, white space) are alike to nothing: each row is a class of its own.
-    Null doc_ids take part and name a class only when it has no other; repeated rows are
+    Texts of any length are compared whole; blocks are bounded by their bytes. Null doc_ids take part and name a class only when it has no other; repeated rows are
     copies of each other. An empty table gives no rows.
     """
     rows = materialize(sign_documents(docs, weighted), "signed")
@@ -269,13 +276,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bo
         "representatives",
     )
     own = rows.join(reps.select("uid"), "uid", "left_semi")
-    banded = own.select("uid", F.posexplode("bands").alias("band", "bucket"))
+    banded = own.select("uid", F.octet_length("shingles").alias("size"), F.posexplode("bands").alias("band", "bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(banded.join(leaders, "bucket").select("bucket", "band", "uid", "a"), "buckets")
+    buckets = materialize(banded.join(leaders, "bucket").select("bucket", "band", "uid", "a", "size"), "buckets")
     busy = buckets.select("uid").distinct()
     sets = materialize(own.join(busy, "uid", "left_semi").select("uid", "shingles", "signature"), "sets")
 
-    pairs = buckets.where("uid <> a").select("a", F.col("uid").alias("b")).distinct()
+    pairs = buckets.where("uid <> a").select("a", F.col("uid").alias("b"), "size").distinct()
     links = materialize(verify(pairs, sets.select("uid", "shingles"), threshold), "links")
     more = materialize(bucket_links(buckets, connected_components(links), sets, threshold), "links")
     groups = connected_components(links.unionByName(more))

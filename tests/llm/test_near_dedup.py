@@ -77,13 +77,13 @@ def test_kept_rows(spark):
     assert weighted.where("doc_id = 2").first().class_id == 1
 
 
-def test_buckets_are_finished_by_signatures(spark):
+def test_buckets_are_finished_beyond_their_first_document(spark):
     """A bucket whose first document is unlike two alike ones: the leader alone finds nothing."""
     words = [f"w{i}" for i in range(200)]
     texts = {1: " ".join(words[:100]), 2: " ".join(words[100:]), 3: " ".join([*words[100:199], "new"])}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     signed = near_dedup.sign_documents(df, False).selectExpr("doc_id as uid", "signature", "shingles").cache()
-    buckets = spark.createDataFrame([(0, 0, i, 1) for i in texts], "bucket long, band int, uid long, a long")
+    buckets = spark.createDataFrame([(0, 0, i, 1, 400) for i in texts], "bucket long, band int, uid long, a long, size int")
     groups = spark.createDataFrame([], "id long, component long")
     links = near_dedup.bucket_links(buckets, groups, signed, 0.8)
     assert [tuple(sorted(r)) for r in links.collect()] == [(2, 3)]
@@ -100,15 +100,16 @@ def test_low_estimates_do_not_lose_links_of_a_bucket(spark):
     signed = near_dedup.sign_documents(df, False).selectExpr("doc_id as uid", "signature", "shingles").cache()
     a, b = (np.frombuffer(r.signature, "uint32") for r in signed.where("uid > 1").collect())
     assert (a == b).mean() < 0.68
-    buckets = spark.createDataFrame([(0, 0, i, 1) for i in texts], "bucket long, band int, uid long, a long")
+    buckets = spark.createDataFrame([(0, 0, i, 1, 400) for i in texts], "bucket long, band int, uid long, a long, size int")
     groups = spark.createDataFrame([], "id long, component long")
     links = near_dedup.bucket_links(buckets, groups, signed, 0.8)
     assert [tuple(sorted(r)) for r in links.collect()] == [(2, 3)]
 
 
-def test_large_buckets_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    monkeypatch.setattr(near_dedup, "COLUMNS", 4)
+@pytest.mark.parametrize("bounds", [{"BLOCK": 3, "COLUMNS": 4}, {"BLOCK_BYTES": 1500, "COLUMN_BYTES": 2500}])
+def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, bounds):
+    for name, most in bounds.items():
+        monkeypatch.setattr(near_dedup, name, most)
     rows = corpus(seed=8)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = near_dedup.near_duplicate_classes(df).collect()
