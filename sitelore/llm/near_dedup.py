@@ -32,7 +32,7 @@ BANDS, ROWS = 32, 4
 SALTED = 256  # members compared with one document in one run
 BLOCK = 512  # members outside the first document's component in one block
 COLUMNS = 1024  # members that they are compared with in one block
-BLOCK_BYTES, COLUMN_BYTES = 4 << 20, 8 << 20  # of shingles, bounds beside those in members; also of a run
+BLOCK_BYTES, COLUMN_BYTES = 12 << 20, 16 << 20  # of shingles, bounds beside those in members; also of a run
 
 WORD = re.compile(r"\w+")
 _POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype="uint64"))
