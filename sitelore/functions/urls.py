@@ -235,7 +235,8 @@ def _is_wiki(path: Column) -> Column:
 
 
 def is_wiki_namespace(path: Column) -> Column:
-    title = F.lower(unquote_path(F.array_join(F.slice(_raw_segments(path), 2, 1 << 20), "/")))
+    segments = _raw_segments(path)
+    title = F.lower(unquote_path(F.array_join(F.slice(segments, F.lit(2), F.size(segments)), "/")))
     return _is_wiki(path) & title.rlike("^(" + "|".join(fixed.WIKI_NAMESPACES) + "):")
 
 
@@ -358,7 +359,7 @@ def _without_dots(path: Column) -> Column:
     """Resolve `.` and `..` segments of an absolute path."""
     parts = F.split(path, "/")
     stacked = F.aggregate(
-        F.slice(parts, 2, 1 << 20),
+        F.slice(parts, F.lit(2), F.size(parts)),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(
             s == "..",

@@ -6,6 +6,8 @@ text where the caller names a limit that bounds them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,8 +226,25 @@ def build_knowledge(
 
 
 # --- contexts ---------------------------------------------------------------
-def _section_lines(sections: Column, limit: int | None, chars: int) -> Column:
-    """Heading and shortened content lines of the first sections."""
+@dataclass(frozen=True)
+class TextSizes:
+    """How much of each page goes into a text context. None, the default everywhere: all of it."""
+
+    sections: int | None = None  # of a page
+    section_chars: int | None = None
+    content_chars: int | None = None  # of a page without sections
+    home_section_chars: int | None = None
+    home_content_chars: int | None = None
+    blog_chars: int | None = None  # of a blog page's description
+    search_chars: int | None = None  # of a search result
+
+
+def _start(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _section_lines(sections: Column, limit: int | None, chars: int | None) -> Column:
+    """Heading and content lines of sections, or of the first ones."""
     taken = sections if limit is None else F.slice(sections, 1, limit)
     return F.flatten(
         F.transform(
@@ -233,7 +252,7 @@ def _section_lines(sections: Column, limit: int | None, chars: int) -> Column:
             lambda s: F.array_compact(
                 F.array(
                     F.when(_text(s["heading"]) != "", F.concat(F.lit("\n### "), s["heading"])),
-                    F.when(_text(s["content"]) != "", F.substring(s["content"], 1, chars)),
+                    F.when(_text(s["content"]) != "", _start(s["content"], chars)),
                 )
             ),
         )
@@ -248,15 +267,15 @@ def _line(prefix: str, c: Column) -> Column:
     return F.when(_text(c) != "", F.concat(F.lit(prefix), c))
 
 
-def _page_lines(head: Column, sections: int, section_chars: int, content_chars: int) -> Column:
+def _page_lines(head: Column, sizes: TextSizes) -> Column:
     """Shared page block: head lines, sections, or the content when there are none."""
     no_sections = F.coalesce(F.size("sections"), F.lit(0)) <= 0
     none = F.array().cast("array<string>")
     return F.concat(
         head,
-        F.coalesce(_section_lines(F.col("sections"), sections, section_chars), none),
+        F.coalesce(_section_lines(F.col("sections"), sizes.sections, sizes.section_chars), none),
         _lines(
-            F.when(no_sections & (_text(F.col("content")) != ""), F.substring("content", 1, content_chars)),
+            F.when(no_sections & (_text(F.col("content")) != ""), _start(F.col("content"), sizes.content_chars)),
             F.lit(fixed.CONTEXT_RULE),
         ),
     )
@@ -268,7 +287,7 @@ def _joined(rows: DataFrame, key: str, order: str, block: Column) -> DataFrame:
     return packed.select(key, F.array_join(F.transform("bs", lambda x: x["b"]), "\n").alias("text"))
 
 
-def scraped_context(pages: DataFrame, sites: DataFrame, *, max_pages: int) -> DataFrame:
+def scraped_context(pages: DataFrame, sites: DataFrame, sizes: TextSizes, *, max_pages: int) -> DataFrame:
     """website_id, context: the first `max_pages` scraped pages of a site as text."""
     first = top_per_key(
         with_page_defaults(pages), ["website_id"], [F.col("page_ord")], max_pages, rank="n"
@@ -277,7 +296,7 @@ def scraped_context(pages: DataFrame, sites: DataFrame, *, max_pages: int) -> Da
         _line("## ", F.col("title")), _line("URL: ", F.col("page_url")),
         _line("Description: ", F.col("description")),
     )
-    block = F.array_join(_page_lines(head, 5, 500, 800), "\n")
+    block = F.array_join(_page_lines(head, sizes), "\n")
     counted = first.groupBy("website_id").agg(F.count(F.lit(1)).alias("n_pages"))
     joined = _joined(first, "website_id", "n", block).join(counted, "website_id").join(sites, "website_id")
     return joined.select(
@@ -304,7 +323,7 @@ def page_bucket(page_type: Column, url: Column) -> Column:
 
 
 def chatbot_context(
-    pages: DataFrame, sites: DataFrame, searches: DataFrame | None = None, *,
+    pages: DataFrame, sites: DataFrame, sizes: TextSizes, searches: DataFrame | None = None, *,
     key_pages: int, blog_pages: int, max_searches: int = 0,
 ) -> DataFrame:
     """website_id, context: homepage in full, then the first key pages, blog pages and search
@@ -321,16 +340,16 @@ def chatbot_context(
             F.lit(fixed.CONTEXT_HOMEPAGE_HEADER), _line("Title: ", F.col("title")),
             _line("Description: ", F.col("description")),
         ),
-        F.coalesce(_section_lines(F.col("sections"), None, 800), none),
-        _lines(_line("\nMain content: ", F.substring("content", 1, 1500)), F.lit(fixed.CONTEXT_RULE)),
+        F.coalesce(_section_lines(F.col("sections"), None, sizes.home_section_chars), none),
+        _lines(_line("\nMain content: ", _start(F.col("content"), sizes.home_content_chars)), F.lit(fixed.CONTEXT_RULE)),
     )
     key_head = _lines(_line("## ", F.col("title")), _line("Description: ", F.col("description")))
-    blog_lines = _lines(_line("- ", F.col("title")), _line("  ", F.substring("description", 1, 200)))
+    blog_lines = _lines(_line("- ", F.col("title")), _line("  ", _start(F.col("description"), sizes.blog_chars)))
     parts = {
         "home": _joined(home, "website_id", "n", F.array_join(home_lines, "\n")),
         "key": _joined(
             first("key", F.col("page_ord"), key_pages), "website_id", "n",
-            F.array_join(_page_lines(key_head, 4, 400, 600), "\n"),
+            F.array_join(_page_lines(key_head, sizes), "\n"),
         ),
         # pages without title and description leave no line
         "blog": first("blog", F.col("page_ord"), blog_pages)
@@ -352,7 +371,7 @@ def chatbot_context(
         kept = top_per_key(searches, ["website_id"], [F.col("index")], max_searches, rank="n")
         block = F.concat(
             F.lit("Search result "), F.col("index").cast("string"), F.lit(":\n"),
-            F.substring("result", 1, 500), F.lit("\n"),
+            _start(F.col("result"), sizes.search_chars), F.lit("\n"),
         )
         parts["search"] = _joined(kept, "website_id", "n", block).select(
             "website_id",

@@ -1,22 +1,32 @@
-"""Chunk store: partitioned parquet with upsert, delete and filtered reads.
-
-Rows are partitioned by a hash bucket of the site, not by the site itself, so the
-number of folders stays fixed for any number of sites; inside a bucket rows are
-sorted by site, which lets parquet statistics skip other sites. A bucket that a
-very large site dominates is still written and read as many files.
+"""Chunk store: parquet batches with upsert, delete and filtered reads.
+
+A change is a new batch: its rows, and the sites whose earlier chunks it drops. Nothing that
+is stored is rewritten by it. A version file lists the batches that count; it appears under
+its number in one step after all data is written, so readers see a change whole or not at all, and of
+two writers at once one fails. A read takes of each chunk id the latest batch's row and leaves out
+what a later batch has dropped. When the later batches hold enough rows, or are many,
+the live rows are written as one new batch.
+
+Inside a batch rows are partitioned by a hash bucket of the site, not by the site itself, so
+the number of folders stays fixed for any number of sites, and sorted by site, which lets
+parquet statistics skip other sites. A very large site is many files of its bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelore.operators.retrieve import where_filter
 from sitelore.operators.skew import top_per_key
-from sitelore.session import materialize, scratch
 
 BUCKETS = 256
 ROWS_PER_FILE = 500_000
+COMPACT_SHARE = 0.5  # of the first batch's rows in later ones: then all become one batch
+COMPACT_BATCHES = 16
 
 
 def _bucket() -> Column:
@@ -55,113 +65,171 @@ class ChunkStore:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
-        self.path = path
-
-    def _files(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
+        self.path = path.rstrip("/")
+
+    # --- versions ---
+    def _fs(self):
+        root = self._file(self.path)
+        return root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _file(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def version(self) -> tuple[int, list[dict]]:
+        """Number of the current version and its batches (folder, rows, drops), oldest first."""
+        fs, folder = self._fs(), self._file(f"{self.path}/_versions")
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith(".")]
+        if not numbers:
+            return 0, []
+        text = self.spark.read.text(f"{self.path}/_versions/{max(numbers):012d}.json", wholetext=True).first()[0]
+        return max(numbers), json.loads(text)
+
+    def _switch(self, after: int, batches: list[dict]) -> None:
+        """Make `batches` the version that follows `after`; fails if another writer was first."""
+        fs, name = self._fs(), f"{self.path}/_versions/{after + 1:012d}.json"
+        draft = self._file(f"{self.path}/_versions/.{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(bytearray(json.dumps(batches).encode()))
+        out.close()
+        if fs.exists(self._file(name)) or not fs.rename(draft, self._file(name)):
+            fs.delete(draft, False)
+            raise RuntimeError(f"the store at {self.path} was changed by another writer")
+
+    # --- reading ---
     def exists(self) -> bool:
-        """Is there at least one stored bucket?"""
-        path, fs = self._files()
-        if not fs.exists(path):
-            return False
-        return any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(path))
+        """Is there any stored batch?"""
+        return bool(self.version()[1])
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def _overwrite_buckets(self, rows: DataFrame) -> None:
-        """Replace exactly the buckets that occur in `rows`.
-
-        The rows are written to the shared folder first: reading and replacing the same
-        files in one job could not be repeated after a failure.
-        """
-        staged = materialize(rows, "store")
-        # sized writing: a bucket gets as many writers as its rows need
-        sizes = staged.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
-        writers = F.greatest(F.lit(1), F.ceil(F.col("_n") / ROWS_PER_FILE)).cast("int")
-        placed = staged.join(sizes, "bucket").withColumn(
-            "_writer", F.pmod(F.xxhash64("chunk_id"), writers)
-        )
-        (
-            placed.repartition("bucket", "_writer")
-            .sortWithinPartitions("bucket", "website_id", "chunk_id")
-            .drop("_writer", "_n")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(self.path)
-        )
-
-    def _current(self, buckets: DataFrame) -> DataFrame | None:
-        """Stored rows of the given buckets (at most BUCKETS numbers on the driver)."""
-        if not self.exists():
-            return None
-        touched = [r.bucket for r in buckets.select("bucket").distinct().collect()]
-        return self.read().where(F.col("bucket").isin(touched))
-
-    def upsert(self, chunks: DataFrame, replace_sites: bool = False) -> dict[str, int]:
-        """See `_upsert`; its intermediate tables are gone when this returns."""
-        with scratch(self.spark):
-            return self._upsert(chunks, replace_sites)
-
-    def _upsert(self, chunks: DataFrame, replace_sites: bool) -> dict[str, int]:
+        return self._live(self.version()[1])
+
+    def _live(self, batches: list[dict], where: Column | None = None) -> DataFrame:
+        """Rows of the batches that no later batch has replaced or dropped."""
+        if not batches:
+            raise ValueError(f"nothing is stored at {self.path}")
+
+        def stored(n: int) -> DataFrame:
+            rows = self.spark.read.parquet(f"{self.path}/{batches[n]['folder']}/rows").withColumn("_batch", F.lit(n))
+            return rows if where is None else rows.where(where)
+
+        full = [n for n, b in enumerate(batches) if b["rows"]]
+        if not full:
+            return stored(0).drop("_batch").limit(0)
+        rows = stored(full[0])
+        for n in full[1:]:
+            rows = rows.unionByName(stored(n), allowMissingColumns=True)
+        if full[1:]:
+            later = stored(full[1]).select("chunk_id", "_batch")
+            for n in full[2:]:
+                later = later.unionByName(stored(n).select("chunk_id", "_batch"))
+            newest = later.groupBy("chunk_id").agg(F.max("_batch").alias("_newest"))
+            rows = rows.join(newest, "chunk_id", "left").where("_newest is null or _newest = _batch").drop("_newest")
+        drops = [n for n, b in enumerate(batches) if b["drops"] and n > full[0]]
+        if drops:
+            gone = None
+            for n in drops:
+                part = self.spark.read.parquet(f"{self.path}/{batches[n]['folder']}/drops").withColumn("_by", F.lit(n))
+                gone = part if gone is None else gone.unionByName(part)
+            gone = gone.groupBy("website_id").agg(F.max("_by").alias("_by"))
+            rows = rows.join(gone, "website_id", "left").where("_by is null or _by <= _batch").drop("_by")
+        return rows.drop("_batch")
+
+    # --- writing ---
+    def _write(self, rows: DataFrame, folder: str, metrics: dict[str, Column]) -> dict[str, int]:
+        """Write the rows of a batch; returns what was observed on the way."""
+        seen = Observation()
+        placed = rows.withColumn("bucket", _bucket()).repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(self._writers())))
+        placed = placed.sortWithinPartitions("bucket", "website_id", "chunk_id")
+        counted = {"rows": F.count(F.lit(1)), **metrics}
+        placed = placed.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in counted.items()])
+        placed.write.option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("bucket").parquet(f"{self.path}/{folder}/rows")
+        return {name: int(seen.get[name]) for name in counted}
+
+    def _writers(self) -> int:
+        """Tasks that may share a bucket, so that one very large site is not one task."""
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+
+    def upsert(
+        self, chunks: DataFrame, replace_sites: bool = False, metrics: dict[str, Column] | None = None
+    ) -> dict[str, int]:
         """Insert chunks, replacing stored ones with the same id; later rows win inside a batch.
 
-        With `replace_sites` every stored chunk of the incoming sites goes, in the same write.
-        Plain files have no transactions: a reader during the write may see part of it.
+        With `replace_sites` every stored chunk of the incoming sites goes, in the same version.
+        Returns `upserted`, `deleted` and the `metrics` (aggregates over the rows written). The rows
+        are read once; the counts come from the write itself.
         """
         order = [F.col("chunk_index").desc()] if "chunk_index" in chunks.columns else [F.col("text")]
         w = Window.partitionBy("chunk_id").orderBy(*order)
-        incoming = materialize(
-            check_chunks(chunks)
-            .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-            .withColumn("bucket", _bucket()),
-            "incoming",
-        )
-        done = {"upserted": incoming.count(), "deleted": 0}
-        if not done["upserted"]:
-            return done
-        current = self._current(incoming)
-        rows = incoming
-        if current is not None:
-            key = "website_id" if replace_sites else "chunk_id"
-            replaced = incoming.select(key).distinct()
-            if replace_sites:
-                done["deleted"] = current.join(replaced, key, "left_semi").count()
-            rows = current.join(replaced, key, "left_anti").unionByName(incoming)
-        self._overwrite_buckets(rows)
-        return done
+        incoming = check_chunks(chunks).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+        number, batches = self.version()
+        folder = f"batch-{number + 1:012d}-{uuid.uuid4().hex}"
+        done = self._write(incoming, folder, metrics or {})
+        result = {"upserted": done["rows"], "deleted": 0, **{m: done[m] for m in metrics or {}}}
+        if not done["rows"]:
+            self._delete(folder)
+            return result
+        drops = bool(batches) and replace_sites
+        if drops:
+            sites = self.spark.read.parquet(f"{self.path}/{folder}/rows").select("website_id").distinct()
+            result["deleted"] = self._drop(sites, folder, batches)
+        self._switch(number, batches + [{"folder": folder, "rows": done["rows"], "drops": drops}])
+        self._compact_if_due()
+        return result
+
+    def _drop(self, sites: DataFrame, folder: str, batches: list[dict]) -> int:
+        """Write the sites that a batch drops; returns how many live chunks they had."""
+        sites.write.parquet(f"{self.path}/{folder}/drops")
+        dropped = self.spark.read.parquet(f"{self.path}/{folder}/drops")
+        return self._live(batches).join(dropped, "website_id", "left_semi").count()
 
     def delete_sites(self, sites: DataFrame) -> int:
         """Drop all chunks of the given website_ids; returns how many there were."""
-        if not self.exists():
+        number, batches = self.version()
+        if not batches:
             return 0
-        gone = sites.select("website_id").where("website_id != ''").distinct()
-        marked = gone.withColumn("bucket", _bucket())
-        current = self._current(marked)
-        deleted = current.join(gone, "website_id", "left_semi").count()
+        folder = f"batch-{number + 1:012d}-{uuid.uuid4().hex}"
+        deleted = self._drop(sites.select("website_id").where("website_id != ''").distinct(), folder, batches)
         if not deleted:
+            self._delete(folder)
             return 0
-        kept = current.join(gone, "website_id", "left_anti")
-        emptied = marked.select("bucket").distinct().join(kept.select("bucket").distinct(), "bucket", "left_anti")
-        empty_buckets = [r.bucket for r in emptied.collect()]
-        self._overwrite_buckets(kept)
-        for bucket in empty_buckets:  # a bucket without rows is not part of an overwrite
-            self._clear_bucket(bucket)
+        self._switch(number, batches + [{"folder": folder, "rows": 0, "drops": True}])
+        self._compact_if_due()
         return deleted
 
-    def _clear_bucket(self, bucket: int) -> None:
-        path, fs = self._files()
-        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"bucket={int(bucket)}"), True)
-
+    def _compact_if_due(self) -> None:
+        _, batches = self.version()
+        later = sum(b["rows"] for b in batches[1:])
+        if len(batches) > COMPACT_BATCHES or (len(batches) > 1 and later > COMPACT_SHARE * max(1, batches[0]["rows"])):
+            self.compact()
+
+    def compact(self) -> None:
+        """Write the live rows as one batch. Readers of earlier versions keep their files until `vacuum`."""
+        number, batches = self.version()
+        folder = f"batch-{number + 1:012d}-{uuid.uuid4().hex}"
+        done = self._write(self._live(batches), folder, {})
+        self._switch(number, [{"folder": folder, "rows": done["rows"], "drops": False}])
+
+    def vacuum(self) -> None:
+        """Delete the batches that the current version does not list: only when nobody reads them."""
+        _, batches = self.version()
+        listed, fs = {b["folder"] for b in batches}, self._fs()
+        for status in fs.listStatus(self._file(self.path)) if batches else []:
+            name = status.getPath().getName()
+            if name.startswith("batch-") and name not in listed:
+                self._delete(name)
+
+    def _delete(self, folder: str) -> None:
+        self._fs().delete(self._file(f"{self.path}/{folder}"), True)
+
+    # --- sites ---
     def site(self, website_id: str, filters: dict | None = None) -> DataFrame:
-        """Chunks of one site; bucket, site and filters all reach the scan."""
+        """Chunks of one site; bucket, site and filters all reach the scan of a single batch."""
         bucket = self.spark.range(1).select(
             F.pmod(F.xxhash64(F.lit(website_id)), F.lit(BUCKETS)).cast("int")
         ).first()[0]
-        return where_filter(self.read().where(F.col("bucket") == bucket), website_id, filters)
+        mine = (F.col("bucket") == bucket) & (F.col("website_id") == website_id)
+        return where_filter(self._live(self.version()[1], mine), website_id, filters)
 
     def site_chunks(
         self, website_id: str, limit: int | None = None, chunk_types: list[str] | None = None

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelore import fixed
 from sitelore.functions import urls
 from sitelore.operators import chunks as chunking
 from sitelore.operators import crawl, rank
@@ -48,7 +51,8 @@ def searchable_chunks(pages: DataFrame, embedder: Embedder, indexed: bool = Fals
 def index_pages(pages: DataFrame, store: ChunkStore, embedder: Embedder, reindex: bool = True) -> dict:
     """Build, embed and store the chunks of all sites in `pages`; returns a summary.
 
-    With `reindex`, stored chunks of these sites are dropped first. Failures are
+    With `reindex`, stored chunks of these sites are dropped in the same version. The chunks are
+    written once and counted as they are written. Failures of Spark and of storage are
     reported in the summary and logged, not raised: indexing must not fail the crawl job.
     The intermediate tables are gone when it returns.
     """
@@ -60,15 +64,15 @@ def _index_pages(pages: DataFrame, store: ChunkStore, embedder: Embedder, reinde
     summary = {"chunks_built": 0, "chunks_indexed": 0, "chunks_deleted": 0, "by_type": {}, "errors": []}
     try:
         # chunking reads the pages several times: extract them once
-        extracted = materialize(pages, "pages")
-        rows = materialize(searchable_chunks(extracted, embedder, indexed=True), "indexing")
-        by_type = {r.chunk_type: r.n for r in rows.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("n")).collect()}
-        summary["by_type"] = dict(sorted(by_type.items()))
-        summary["chunks_built"] = sum(by_type.values())
-        if summary["chunks_built"]:
-            done = store.upsert(rows, replace_sites=reindex)
-            summary["chunks_deleted"], summary["chunks_indexed"] = done["deleted"], done["upserted"]
-    except Exception as exc:  # reported to the caller
+        rows = searchable_chunks(materialize(pages, "pages"), embedder, indexed=True)
+        types = {f"of_{t}": F.count_if(F.col("chunk_type") == t) for t in fixed.CHUNK_TYPES}
+        done = store.upsert(rows, replace_sites=reindex, metrics=types)
+        by_type = {t: done[f"of_{t}"] for t in sorted(fixed.CHUNK_TYPES) if done[f"of_{t}"]}
+        summary |= {
+            "by_type": by_type, "chunks_built": done["upserted"], "chunks_indexed": done["upserted"],
+            "chunks_deleted": done["deleted"],
+        }
+    except (PySparkException, Py4JJavaError, OSError) as exc:  # reported to the caller
         logging.getLogger(__name__).exception("indexing failed")
         summary["errors"].append(str(exc))
     return summary

@@ -6,6 +6,7 @@ of the whole text, so results stay small without cutting anything.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,21 +14,33 @@ from pyspark.sql import functions as F
 
 from sitelore import fixed
 from sitelore.functions import scoring, urls
+from sitelore.functions.sql import register_chunk_functions
 from sitelore.functions.text import clean_text, dedupe_key, match_text, query_terms, word_count
 from sitelore.operators import chunks as chunking
 from sitelore.operators import crawl, evaluate, knowledge, prompt, quality, rank, retrieve
 from sitelore.operators.embed import embed, hash_embedder
 from sitelore.operators.extract import extract_pages, needs_browser
-from sitelore.operators.skew import first_per_key, sliced_join
+from sitelore.operators.skew import first_per_key, running_index, sliced_join
+from sitelore.operators.store import ChunkStore
 from sitelore.plans.ask import retrieve_chunks
 from sitelore.plans.discover import discover, site_root
-from sitelore.plans.ingest import page_table, searchable_chunks
-from sitelore.session import materialize
+from sitelore.plans.ingest import index_pages, page_table, searchable_chunks
+from sitelore.session import checkpoint_root, materialize
+from sitelore.sources import site_files
+from sitelore.sources.sitemaps import walk_sitemaps
 from sitelore.sources.tables import documents_as_pages, source_site, table, text_table
+from sitelore.streaming.event_time import stream_table, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 CHUNK_ORDER = ["page_ord", "type_ord", "item", "piece"]
+# what the queries put into a prompt; the operators cut nothing of themselves
+SIZES = prompt.Sizes(
+    chunks=fixed.MAX_CONTEXT_CHUNKS, chunk_chars=fixed.MAX_CONTEXT_CHARS, sources=fixed.MAX_SOURCES, messages=fixed.HISTORY_MESSAGES
+)
+SITE_SIZES = knowledge.TextSizes(
+    sections=4, section_chars=400, content_chars=600, home_section_chars=800, home_content_chars=1500, blog_chars=200, search_chars=500
+)
 SOURCES = 20  # document sources in the tables: conversations are spread over them
 
 
@@ -131,6 +144,49 @@ def _robots(spark: SparkSession, d: str) -> DataFrame:
     return crawl.parse_robots(first.select("base_url", text.alias("robots_text")))
 
 
+def _sitemaps(spark: SparkSession, d: str) -> DataFrame:
+    """url, xml: sitemap files of every site, derived from all its pages. `/map.xml` lists branches,
+    a branch lists leaves and `/map.xml` again, a leaf lists 50 page numbers; `/sitemap.xml`
+    lists the last leaf's pages once more."""
+    p = table(spark, d, "pages").select(
+        site_root(F.col("url")).alias("base"), "page_id", "url", F.expr("page_id div 50").alias("leaf")
+    )
+    p = p.withColumn("branch", F.expr("leaf div 50"))
+    xmlns = "http://www.sitemaps.org/schemas/sitemap/0.9"
+
+    def text(kind: str, entry: str, locations: Column, more: Column | None = None) -> Column:
+        parts = F.transform(locations, lambda u: F.concat(F.lit(f"<{entry}><loc>"), u, F.lit(f"</loc></{entry}>")))
+        return F.concat(
+            F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<{kind} xmlns="{xmlns}">'), F.array_join(parts, "\n"),
+            F.lit("") if more is None else more, F.lit(f"</{kind}>"),
+        )
+
+    def ordered(rows: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
+        pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
+        return rows.groupBy(*keys).agg(F.transform(pairs, lambda x: x["v"]).alias("locs"))
+
+    escaped = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    leaves = materialize(ordered(p, ["base", "branch", "leaf"], "page_id", escaped), "leaves")
+    named = lambda kind, n: F.concat(F.col("base"), F.lit(f"/map-{kind}"), F.col(n).cast("string"), F.lit(".xml"))
+    branches = ordered(leaves, ["base", "branch"], "leaf", named("leaf", "leaf"))
+    top = ordered(branches, ["base"], "branch", named("branch", "branch"))
+    last = leaves.groupBy("base").agg(F.max_by("locs", "leaf").alias("locs"))
+    back = F.concat(F.lit("<sitemap><loc>"), F.col("base"), F.lit("/map.xml</loc></sitemap>"))
+    urlset = text("urlset", "url", F.col("locs")).alias("xml")
+    files = leaves.select(named("leaf", "leaf").alias("url"), urlset)
+    files = files.unionByName(branches.select(named("branch", "branch").alias("url"), text("sitemapindex", "sitemap", F.col("locs"), back).alias("xml")))
+    files = files.unionByName(top.select(F.concat("base", F.lit("/map.xml")).alias("url"), text("sitemapindex", "sitemap", F.col("locs")).alias("xml")))
+    return files.unionByName(last.select(F.concat("base", F.lit("/sitemap.xml")).alias("url"), urlset))
+
+
+@query
+def sitemap_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Every page URL that the sitemaps of a site list, in the order in which a walk finds them."""
+    found = walk_sitemaps(_robots(spark, d).select("base_url", "sitemaps"), _sitemaps(spark, d))
+    ranked = running_index(found.withColumn("_all", F.lit(0)), "base_url", "_all", ["place"], "rank")
+    return ranked.select("base_url", big(F.col("rank")).alias("rank"), "url")
+
+
 @query
 def robots_rules(spark: SparkSession, d: str) -> DataFrame:
     return _robots(spark, d).select(
@@ -193,6 +249,55 @@ def chunk_records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def chunks_by_sql(spark: SparkSession, d: str) -> DataFrame:
+    """`chunk_records` written in SQL over a table function for pages."""
+    register_chunk_functions(spark)
+    name = f"pages_{uuid.uuid4().hex}"
+    _document_pages(spark, d).select(
+        "website_id", "page_ord", F.col("page_url").alias("source_url"), clean_text(F.col("title")).alias("page_title"),
+        F.get("paragraphs", F.lit(0)).alias("body"),
+    ).createOrReplaceTempView(name)
+    pieces = spark.sql(
+        f"""SELECT p.website_id, p.page_ord, p.source_url, p.page_title, c.type_ord, c.chunk_type, c.piece, c.text
+        FROM {name} p, LATERAL page_pieces(p.page_title, p.body) c"""
+    ).withColumn("key", dedupe_key(F.col("text")))
+    pieces = materialize(pieces.where("key <> ''").withColumn("text_key", F.md5("key")), "sql-pieces")
+    order = [F.col(c) for c in ("page_ord", "type_ord", "piece")]
+    winners = first_per_key(pieces.select("website_id", "page_ord", "type_ord", "piece", "text_key"), ["website_id", "text_key"], order)
+    at = ["website_id", "page_ord", "type_ord", "piece"]
+    numbered = running_index(winners.drop("text_key"), "website_id", "page_ord", ["type_ord", "piece"], "chunk_index")
+    digest = F.substring(F.md5(F.concat_ws("|", "website_id", "source_url", "chunk_type", "key")), 1, 16)
+    return pieces.join(numbered, at).select(
+        F.concat_ws("_", "website_id", digest).alias("chunk_id"), "website_id", "source_url", "page_title", "chunk_type",
+        big(F.col("chunk_index")).alias("chunk_index"), F.md5("text").alias("text_md5"),
+    )
+
+
+@query
+def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents through the store: half of them inserted, two thirds upserted with
+    another heading, two sites deleted, and all that is left read."""
+    kept = ["chunk_id", "website_id", "source_url", "chunk_type", "text", "page_ord"]
+    c = materialize(chunking.build_chunks(_document_pages(spark, d)).select(*kept, F.lit("first").alias("state")), "chunks")
+    store = ChunkStore(spark, f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}")
+    store.upsert(c.where("page_ord % 2 = 0"))
+    store.upsert(c.where("page_ord % 3 <> 0").withColumn("state", F.lit("second")))
+    store.delete_sites(c.select("website_id").distinct().orderBy("website_id").limit(2))
+    return store.read().select("chunk_id", "website_id", "state", F.md5("text").alias("text_md5"))
+
+
+@query
+def index_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all pages written to a store, counted by type as they are written."""
+    store = ChunkStore(spark, f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}")
+    done = index_pages(page_table(text_table(spark, d, "pages")), store, hash_embedder(8))
+    if done["errors"]:
+        raise RuntimeError("; ".join(done["errors"]))
+    rows = [("all", done["chunks_indexed"]), *done["by_type"].items()]
+    return spark.createDataFrame(rows, "chunk_type string, chunks bigint")
+
+
 @query
 def chunk_summary(spark: SparkSession, d: str) -> DataFrame:
     s = chunking.chunk_summary(chunking.build_chunks(_document_pages(spark, d)))
@@ -264,6 +369,37 @@ def rerank_turns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _listed_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a source as candidates for one question to it; ids repeat over different
+    texts, and copies of a text carry different ids."""
+    rows = text_table(spark, d, "documents").select(
+        "source", "doc_id", F.concat_ws("-", "lang", (F.col("n_chars") % 50).cast("string")).alias("chunk_id"),
+        F.concat(F.lit("Where can I find the price and contact email of "), F.col("source")).alias("query"), "text",
+        F.lit("Document").alias("page_title"), source_site(F.col("source")).alias("source_url"),
+        F.lit("paragraph_group").alias("chunk_type"),
+        (F.col("n_chars") % 1000 / 1000.0).alias("score"), F.lit(None).cast("double").alias("distance"),
+    )
+    return materialize(rank.score_rows(rank.query_side(rank.add_features(rows))), "listed")
+
+
+@query
+def rerank_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Ranking of candidates of which each keeps its id and its text from later ones."""
+    kept = rank.rerank_listed(_listed_pairs(spark, d), "source", "doc_id")
+    return kept.select("source", big(F.col("rank")).alias("rank"), "doc_id", "rerank_score")
+
+
+@query
+def rerank_debug_record(spark: SparkSession, d: str) -> DataFrame:
+    """What a reranking saw and returned, one record per question."""
+    pairs = _listed_pairs(spark, d)
+    found = rank.rerank_debug(pairs, rank.rerank_listed(pairs, "source", "doc_id"), top_k=5, query="source")
+    top = F.transform("top_scores", lambda t: F.concat_ws(":", t["chunk_id"], t["rerank_score"].cast("decimal(12,6)").cast("string")))
+    return found.select(
+        "source", "query_intent", "input_count", "deduped_count", "final_count", F.array_join(top, " ").alias("top")
+    )
+
+
 # --- embeddings and retrieval -----------------------------------------------
 @query
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -379,7 +515,7 @@ def _retrieved_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
-    c = prompt.rag_context(_retrieved_by_source(spark, d))
+    c = prompt.rag_context(_retrieved_by_source(spark, d), SIZES)
     return c.select(
         F.col("qid").alias("source"), big(F.length("context")).alias("chars"), F.md5("context").alias("context_md5")
     )
@@ -387,7 +523,7 @@ def rag_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def format_sources(spark: SparkSession, d: str) -> DataFrame:
-    s = prompt.format_sources(_retrieved_by_source(spark, d))
+    s = prompt.format_sources(_retrieved_by_source(spark, d), SIZES)
     return s.select(
         F.col("qid").alias("source"), big(F.col("source_rank")).alias("source_rank"), "source_url",
         "page_title", "chunk_type", "score", "distance", "text_preview",
@@ -396,7 +532,7 @@ def format_sources(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def source_validation(spark: SparkSession, d: str) -> DataFrame:
-    s = prompt.format_sources(_retrieved_by_source(spark, d))
+    s = prompt.format_sources(_retrieved_by_source(spark, d), SIZES)
     p = quality.source_problems(s, position="source_rank")
     return p.select(
         F.col("qid").alias("source"), big(F.col("position")).alias("position"),
@@ -433,7 +569,7 @@ def _histories(spark: SparkSession, d: str) -> DataFrame:
 @query
 def history_window(spark: SparkSession, d: str) -> DataFrame:
     h = _histories(spark, d).where("role = 'user'")
-    kept = prompt.prior_messages(F.col("history"), F.col("text"))
+    kept = prompt.prior_messages(F.col("history"), F.col("text"), SIZES)
     shown = F.transform("kept", lambda m: F.concat_ws(":", m["role"], m["content"]))
     return h.withColumn("kept", kept).select(
         "conv_id", "turn", big(F.size("kept")).alias("messages"),
@@ -627,6 +763,56 @@ def _rich_pages(spark: SparkSession, d: str) -> DataFrame:
     return extract_pages(t.select("doc_id", page_url.alias("page_url"), html.alias("html")))
 
 
+def _illustrated_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a page with several images, a ragged table, a question, links and
+    embedded JSON that holds more JSON."""
+    t = text_table(spark, d, "documents")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    room = "<p>Shown in room %4$s today</p></section>"
+    html = F.format_string(
+        '<html><head><title>Atlas %1$s</title><script type="application/ld+json">{"@type": "Organization", "sameAs": '
+        '["https://www.facebook.com/%2$s", "https://blog.example/%1$s"], "more": "{\\"u\\": \\"https://youtu.be/%1$s\\"}"}</script></head>'
+        "<body><article><h1>Atlas %1$s</h1><p>%5$s</p>"
+        '<section><div><img src="data:image/gif;base64,AA" data-src="/l/%1$s.jpg" alt="Short"></div>' + room +
+        '<section><div><img src="/l/%1$s.jpg" alt="A view over the old harbour of document %1$s" title="Harbour"></div>' + room +
+        '<section><figure><picture><source srcset="/p/%1$s.webp 1x, /p/%1$s-big.webp 2x"><img src="data:image/gif;base64,AA" width="800" height="600">'
+        "</picture><figcaption>Plate %1$s of %2$s</figcaption></figure></section>"
+        '<section><div><img src="/logo-%1$s.png" alt="Logo of %2$s"></div>' + room +
+        '<section><div><img src="/pixel-%1$s.png" width="1" height="1" alt="a dot that counts visits"></div>' + room +
+        '<section><div><img srcset="/s/%1$s.png 320w, /s/%1$s-2.png 640w" alt="Size guide for %2$s" style="width: 640px; height: 480.5px"></div>' + room +
+        "<table><tr><th>Source</th><th> </th><th>Size</th></tr><tr><td>%2$s</td><td></td><td>%4$s</td></tr><tr><td> </td></tr><tr><td>only %1$s</td></tr></table>"
+        "<details><summary>Where is %1$s?</summary><p>In the atlas of %2$s.</p></details>"
+        '<a href="https://www.instagram.com/%2$s">Insta</a> <a href="https://e.example/%1$s">Twitter</a> <a href="/plain">Plain</a>'
+        "</article></body></html>",
+        F.col("doc_id").cast("string"), "source", "lang", F.col("n_chars").cast("string"), escaped,
+    )
+    page_url = F.concat(source_site(F.col("source")), F.lit("/a/"), F.col("doc_id"))
+    return extract_pages(t.select("doc_id", page_url.alias("page_url"), html.alias("html"), source_site(F.col("source")).alias("website_url")))
+
+
+@query
+def rich_image_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Images of pages that hold lazy, repeated, framed, sized and useless ones."""
+    rows = _unrolled(_illustrated_pages(spark, d).select("doc_id", "images"), "doc_id", "images", "i")
+    return rows.select(
+        "doc_id", big(F.col("pos")).alias("pos"), "i.src", "i.absolute_url", "i.alt", "i.title", "i.figcaption", "i.nearby_text",
+        big(F.col("i.width")).alias("width"), big(F.col("i.height")).alias("height"), "i.image_type",
+    )
+
+
+@query
+def builder_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the question, table, image, social and structured-data builders."""
+    pages = materialize(_illustrated_pages(spark, d).withColumn("page_ord", F.col("doc_id")), "illustrated")
+    pages = pages.withColumns({"website_id": urls.website_id(F.col("website_url")), "normalized_website_url": F.col("website_url")})
+    c = chunking.build_chunks(pages).where(F.col("chunk_type").isin("faq", "table", "image_context", "social_link", "structured_data"))
+    return c.select(
+        F.col("page_ord").alias("doc_id"), "chunk_id", "source_url", "chunk_type", big(F.col("item")).alias("item"), "text",
+        F.col("metadata.heading").alias("heading"), F.coalesce("metadata.image_url", F.lit("")).alias("image_url"),
+        F.coalesce("metadata.social_platform", F.lit("")).alias("platform"), F.coalesce("metadata.source_kind", F.lit("")).alias("source_kind"),
+    )
+
+
 @query
 def rich_metadata(spark: SparkSession, d: str) -> DataFrame:
     p = _rich_pages(spark, d)
@@ -699,11 +885,14 @@ def anchor_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def discovered_allowed(spark: SparkSession, d: str) -> DataFrame:
-    """Links of all pages of a site and the page URLs that its sitemap would list, to one
-    selection that its robots file allows."""
-    p = materialize(page_table(text_table(spark, d, "pages")).select("website_url", "page_ord", "page_url", "anchors"), "pages")
-    listed = p.select(F.col("website_url").alias("base_url"), F.col("page_url").alias("url"))
-    return discover(_anchor_rows(p), listed, _robots(spark, d), max_pages=9)
+    """Links of all pages of a site and the URLs that its sitemaps list, to one selection that
+    its robots file allows."""
+    p = materialize(page_table(text_table(spark, d, "pages")).select("website_url", "page_ord", "anchors"), "pages")
+    robots = materialize(_robots(spark, d), "robots")
+    sites = p.select(F.col("website_url").alias("base_url")).distinct().withColumn("_root", site_root(F.col("base_url")))
+    seeds = sites.join(robots.select(F.col("base_url").alias("_root"), "sitemaps"), "_root", "left").drop("_root")
+    listed = walk_sitemaps(seeds, _sitemaps(spark, d)).select("base_url", "url")
+    return discover(_anchor_rows(p), listed, robots, max_pages=9)
 
 
 @query
@@ -723,7 +912,7 @@ def site_contexts(spark: SparkSession, d: str) -> DataFrame:
     pages = materialize(page_table(text_table(spark, d, "pages")), "pages")
     sites = pages.select("website_id", F.col("website_url").alias("url"), F.col("website_url").alias("name")).distinct()
     # the size of a prompt: one homepage, five key pages, three blog pages
-    c = knowledge.chatbot_context(pages, sites, key_pages=5, blog_pages=3)
+    c = knowledge.chatbot_context(pages, sites, SITE_SIZES, key_pages=5, blog_pages=3)
     return c.select("website_id", big(F.length("context")).alias("chars"), F.md5("context").alias("context_md5"))
 
 
@@ -740,6 +929,36 @@ def knowledge_documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def knowledge_files(spark: SparkSession, d: str) -> DataFrame:
+    """One document per site, written, found again by the URL of every page's site and read by line."""
+    pages = materialize(page_table(text_table(spark, d, "pages")), "pages")
+    sites = pages.select("website_id", F.col("website_url").alias("url"), F.lit("").alias("name")).distinct()
+    folder = f"{checkpoint_root(spark)}/sites-{uuid.uuid4().hex}"
+    written = materialize(site_files.write_site_files(sites, pages, folder), "written")
+    asked = sites.select("website_id", "url")
+    found, stored = site_files.cached_pages(spark, asked, folder)
+    named = found.join(written.select(F.col("name").alias("cached_name"), "pages"), "cached_name")
+    return stored.drop("website_id").join(named.withColumnRenamed("cached_name", "name"), "name").select(
+        "website_id", "name", big(F.col("pages")).alias("pages"), F.col("page_ord").alias("page_id"), "page_url", "title",
+        F.md5("content").alias("content_md5"),
+    )
+
+
+@query
+def event_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Events per hour and type from a stream in which every tenth event comes twice."""
+    schema = table(spark, d, "events").schema
+    twice = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = stream_table(spark, d, "events.parquet", schema).withColumn("copy", F.explode(twice)).drop("copy")
+    metrics = [
+        F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(20,6)")).alias("total"),
+        F.count_if(F.trim("props") != "").alias("with_props"),
+    ]
+    found = windowed_counts(rows.withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], ["event_type"], "ts", metrics, delay="400 days")
+    return found.select(F.col("starts").cast("timestamp_ntz").alias("starts"), "event_type", "events", F.col("total").cast("double").alias("total"), "with_props")
+
+
 # --- flagship ---------------------------------------------------------------
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents -> chunks -> vectors -> hybrid retrieval -> cited results, for every question."""

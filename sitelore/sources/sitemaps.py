@@ -1,87 +1,102 @@
-"""Sitemap files: parsing and the bounded walk through sitemap indexes."""
+"""Sitemap files: parsing and the walk through sitemap indexes as a frontier of rows."""
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelore import fixed
 from sitelore.functions import urls
+from sitelore.operators.skew import first_per_key, top_per_key
+from sitelore.session import materialize
 
-SITEMAP = "urls array<string>, sitemaps array<string>"
+_ENTRIES = "array<struct<loc:array<string>>>"
+_FILE = f"url {_ENTRIES}, sitemap {_ENTRIES}, _broken string"
+_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreNamespace": "true"}
 
 
-def _locations(xml: str | None) -> tuple[list[str], list[str]]:
-    """Page and nested sitemap locations; text that is not XML has none."""
-    out: dict[str, list[str]] = {"url": [], "sitemap": []}
-    try:
-        root = ET.fromstring((xml or "").strip())
-    except ET.ParseError:
-        return out["url"], out["sitemap"]
-    for entry in root:
-        kind = entry.tag.rsplit("}", 1)[-1].lower()
-        if kind in out:
-            locs = [n.text.strip() for n in entry if n.tag.rsplit("}", 1)[-1].lower() == "loc" and n.text]
-            if locs and locs[0]:
-                out[kind].append(locs[0])
-    return out["url"], out["sitemap"]
+def _locations(entries: Column) -> Column:
+    """First location with a text of each entry, in file order; entries without one are left out."""
+    texts = F.transform(
+        entries,
+        lambda e: F.trim(F.get(F.filter(F.coalesce(e["loc"], F.array()), lambda x: F.length(x) > 0), F.lit(0))),
+    )
+    return F.coalesce(F.filter(texts, lambda t: F.length(t) > 0), F.array().cast("array<string>"))
 
 
-def _parse_batch(files: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_locations(x) for x in files], columns=["urls", "sitemaps"])
+def parse_sitemap(xml: Column) -> Column:
+    """struct<urls, sitemaps> of a sitemap or sitemap index text, whatever its namespace; a text
+    that is not XML, an empty one and a null have neither."""
+    read = F.from_xml(F.trim(xml), _FILE, _OPTIONS)
+    whole = F.when(read["_broken"].isNull(), read)
+    return F.struct(_locations(whole["url"]).alias("urls"), _locations(whole["sitemap"]).alias("sitemaps"))
 
 
-def parse_sitemap(xml: Column) -> Column:
-    """struct<urls, sitemaps> of a sitemap or sitemap index text."""
-    return F.pandas_udf(_parse_batch, SITEMAP)(xml)
+def parsed_files(files: DataFrame) -> DataFrame:
+    """url (normalised, unique), urls, sitemaps of fetched files (url, xml)."""
+    rows = files.select(urls.crawl_url(F.col("url")).alias("url"), F.col("xml").cast("string").alias("xml"))
+    once = rows.where("url <> ''").groupBy("url").agg(F.min(F.coalesce("xml", F.lit(""))).alias("xml"))
+    found = once.select("url", parse_sitemap(F.col("xml")).alias("_f"))
+    return found.select("url", "_f.urls", "_f.sitemaps")
 
 
 def walk_sitemaps(
-    sites: DataFrame, files: DataFrame,
-    max_files: int = fixed.MAX_SITEMAP_FILES, max_urls: int = fixed.MAX_SITEMAP_URLS,
+    sites: DataFrame, files: DataFrame, max_files: int | None = None, max_urls: int | None = None
 ) -> DataFrame:
-    """base_url, urls: page URLs found by visiting up to `max_files` sitemaps per site.
+    """base_url, url, place: page URLs that a site's sitemaps list, each once; sorting a site's
+    rows by `place` gives the order in which a first-in-first-out walk finds them.
+
+    `sites`: base_url, sitemaps (from its robots file), to which the common paths are added.
+    `files`: url, xml of the fetched sitemaps; a file that is not among them lists nothing. Nothing is
+    cut unless `max_files` (visited per site, missing and broken ones included) or `max_urls`
+    is given.
 
-    `sites`: base_url, sitemaps (from its robots file). `files`: url, xml of the fetched
-    sitemaps. First in, first out; each round visits the next unvisited sitemap of every
-    site with one equi-join, so the number of rounds is `max_files` for any number of sites.
+    The frontier is a table of (site, file, path of positions that led there). One round visits a
+    whole level for all sites: a join with the files, the nested files that the site has
+    not visited, of those met twice the one with the least path. Files are visited once per site,
+    so indexes that list each other end; rounds are the depth of nesting.
     """
-    parsed = files.select(
-        urls.crawl_url(F.col("url")).alias("_at"), parse_sitemap(F.col("xml")).alias("_found")
-    ).dropDuplicates(["_at"])
-    none = F.array().cast("array<string>")
-    base = F.col("base_url")
+    parsed = materialize(parsed_files(files), "sitemaps")
+    base, none = F.col("base_url"), F.array().cast("array<string>")
     origin = F.concat(urls.scheme_of(base), F.lit("://"), urls.netloc_of(base))
     common = F.array(*[F.concat(origin, F.lit(p)) for p in fixed.COMMON_SITEMAP_PATHS])
-    state = sites.select(
-        "base_url",
-        F.array_distinct(
-            F.transform(F.concat(F.coalesce("sitemaps", none), common), urls.crawl_url)
-        ).alias("_queue"),
-        none.alias("_seen"),
-        none.alias("urls"),
-    )
-    for _ in range(max_files):
-        open_ = F.size("urls") < max_urls
-        state = state.withColumn("_at", F.when(open_, F.get("_queue", F.lit(0))))
-        state = state.join(parsed, "_at", "left")
-        pages = F.transform(F.coalesce(F.col("_found.urls"), none), urls.crawl_url)
-        nested = F.transform(F.coalesce(F.col("_found.sitemaps"), none), urls.crawl_url)
-        state = state.withColumns(
-            {"_seen": F.array_compact(F.array_append("_seen", F.col("_at"))), "_pages": pages, "_nested": nested}
+    seeds = sites.select("base_url", F.posexplode(F.concat(F.coalesce("sitemaps", none), common)).alias("_i", "_u"))
+    key = ["base_url", "url"]
+
+    def met(rows: DataFrame) -> DataFrame:
+        """First meeting of each file of a site."""
+        return rows.where("url <> ''").groupBy(*key).agg(F.min("path").alias("path"))
+
+    level = met(seeds.select("base_url", urls.crawl_url(F.col("_u")).alias("url"), F.array(F.col("_i").cast("long")).alias("path")))
+    visited: DataFrame | None = None
+    while True:
+        fresh = level if visited is None else level.join(visited.select(*key), key, "left_anti")
+        if max_files is not None:  # the walk's first files of a level are all that can count
+            fresh = top_per_key(fresh, ["base_url"], [F.col("path")], max_files, "_n").drop("_n")
+        fresh = materialize(fresh, "frontier")
+        if fresh.isEmpty():
+            break
+        visited = fresh if visited is None else visited.unionByName(fresh)
+        nested = fresh.join(parsed.select("url", "sitemaps"), "url").select(
+            "base_url", "path", F.posexplode("sitemaps").alias("_i", "_u")
         )
-        state = state.select(
-            "base_url",
-            F.filter(
-                F.array_distinct(F.concat("_queue", "_nested")),
-                lambda u: (u != "") & ~F.array_contains("_seen", u),
-            ).alias("_queue"),
-            "_seen",
-            F.slice(
-                F.filter(F.array_distinct(F.concat("urls", "_pages")), lambda u: u != ""), 1, max_urls
-            ).alias("urls"),
+        level = met(
+            nested.select(
+                "base_url", urls.crawl_url(F.col("_u")).alias("url"), F.array_append("path", F.col("_i").cast("long")).alias("path")
+            )
         )
-    return state.select("base_url", "urls")
+    if visited is None:
+        visited = level
+    order = F.struct(F.size("path").alias("level"), F.col("path").alias("path"))
+    if max_files is not None:
+        visited = top_per_key(visited, ["base_url"], [order], max_files, "_n").drop("_n")
+    listed = visited.join(parsed.select("url", "urls"), "url").select(
+        "base_url", order.alias("file"), F.posexplode("urls").alias("_i", "_u")
+    )
+    rows = listed.select(
+        "base_url", urls.crawl_url(F.col("_u")).alias("url"), F.struct("file.level", "file.path", F.col("_i").alias("at")).alias("place")
+    ).where("url <> ''")
+    found = first_per_key(rows, key, [F.col("place")])
+    if max_urls is not None:
+        found = top_per_key(found, ["base_url"], [F.col("place")], max_urls, "_n").drop("_n")
+    return found.select("base_url", "url", "place")

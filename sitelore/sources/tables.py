@@ -21,15 +21,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give every core a share of a table whose files split into too few tasks.
+    """Give every core a share of a table that is too small to split into as many scan tasks.
 
-    Hash partitioning on the row's key keeps retries deterministic. A table that
-    already splits into enough tasks (any large one) is not shuffled.
+    Judged by the size of the table's files, as Spark judges what to broadcast: from one full scan
+    split per core on, rows stay where they are read. Hash partitioning on the row's key keeps
+    retries deterministic.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df if size >= cores * split else df.repartition(cores, *keys)
 
 
 def text_table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Crawl selection, quality, prompts, evaluation, knowledge, store, files, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from sitelore.operators.embed import batch_embedder, embed, hash_embedder
 from sitelore.operators.store import ChunkStore, flatten_metadata
 from sitelore.plans.ask import answer_questions, batch_chat, retrieve_chunks
 from sitelore.plans.ingest import index_pages, page_table
+from sitelore.plans.queries import SITE_SIZES, SIZES
 from sitelore.sources import files
-from sitelore.sources.sitemaps import walk_sitemaps
+from sitelore.sources.sitemaps import parse_sitemap, walk_sitemaps
 from sitelore.streaming.micro_batches import index_arriving_pages, index_batch, log_batch
 
 
@@ -63,9 +65,72 @@ def test_robots_and_sitemaps(spark):
         ("https://e.com/sitemap.xml", "not xml"), ("https://e.com/sitemap_index.xml", "<urlset><url><loc>https://e.com/p</loc></url><url><loc>https://e.com/r</loc></url></urlset>"),
     ]
     fetched = spark.createDataFrame(xml, "url string, xml string")
-    assert walk_sitemaps(robots, fetched).collect()[0].urls == ["https://e.com/p", "https://e.com/r", "https://e.com/q"]
-    assert walk_sitemaps(robots, fetched, max_files=3).collect()[0].urls == ["https://e.com/p", "https://e.com/r"]
-    assert walk_sitemaps(robots, fetched, max_urls=1).collect()[0].urls == ["https://e.com/p"]
+
+    def walked(**limits):
+        return [r.url for r in walk_sitemaps(robots, fetched, **limits).orderBy("place").collect()]
+
+    assert walked() == ["https://e.com/p", "https://e.com/r", "https://e.com/q"]
+    assert walked(max_files=3) == ["https://e.com/p", "https://e.com/r"]
+    assert walked(max_urls=1) == ["https://e.com/p"]
+
+
+def test_sitemap_texts(spark):
+    texts = {
+        "plain": ("<urlset><url><loc>https://e.com/a</loc></url><url><loc/></url><url><x/></url></urlset>", ["https://e.com/a"], []),
+        "namespaces": ('<?xml version="1.0"?>\n<s:urlset xmlns:s="http://w/0.9"><s:url><s:loc>\n https://e.com/a?x=1&amp;y=2 \n</s:loc><s:lastmod>1</s:lastmod></s:url></s:urlset>', ["https://e.com/a?x=1&y=2"], []),
+        "second": ("<urlset><url><loc> </loc><loc>https://e.com/b</loc></url></urlset>", None, []),
+        "index": ("<sitemapindex><sitemap><loc>https://e.com/1.xml</loc></sitemap><sitemap><loc>https://e.com/2.xml</loc></sitemap></sitemapindex>", [], ["https://e.com/1.xml", "https://e.com/2.xml"]),
+        "both": ("<m><url><loc>u</loc></url><sitemap><loc>s</loc></sitemap><url><loc>v</loc></url></m>", ["u", "v"], ["s"]),
+        "cut": ("<urlset><url><loc>https://e.com/a</loc></url>", [], []),
+        "text": ("not xml", [], []), "empty": ("", [], []), "null": (None, [], []),
+        "html": ("<html><body><p>Not found<br></body></html>", [], []),
+        "other": ("<feed><entry><loc>u</loc></entry></feed>", [], []),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "name string, xml string")
+    got = {r.name: (r.f.urls, r.f.sitemaps) for r in df.select("name", parse_sitemap(F.col("xml")).alias("f")).collect()}
+    for name, (_, pages, nested) in texts.items():
+        assert got[name][1] == nested and (pages is None or got[name][0] == pages), name
+
+
+def walk_by_hand(seeds, files, max_files, max_urls):
+    """First in, first out over dictionaries of (urls, sitemaps)."""
+    queue, seen, found = list(seeds), [], []
+    while queue and len(seen) < max_files and len(found) < max_urls:
+        at = queue.pop(0)
+        if at in seen:
+            continue
+        seen.append(at)
+        pages, nested = files.get(at, ([], []))
+        queue += [n for n in nested if n not in seen]
+        for p in pages:
+            if p not in found and len(found) < max_urls:
+                found.append(p)
+    return found
+
+
+def test_sitemap_walk_equals_a_queue(spark):
+    rng = random.Random(4)
+    names = [f"https://e.com/m{i}.xml" for i in range(40)] + ["https://e.com/sitemap.xml", "https://e.com/sitemap-index.xml"]
+    files = {}
+    for n in names[:-2:1] + names[-1:]:
+        files[n] = (
+            [f"https://e.com/p{rng.randrange(60)}" for _ in range(rng.randrange(5))],
+            [rng.choice(names + ["https://e.com/gone.xml"]) for _ in range(rng.randrange(4))],  # cycles, repeats, missing ones
+        )
+    xml = [
+        (n, "<x>" + "".join(f"<url><loc>{u}</loc></url>" for u in pages) + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in nested) + "</x>")
+        for n, (pages, nested) in files.items()
+    ]
+    sites = spark.createDataFrame([("https://e.com", names[:3] + names[:1]), ("https://n.org", [names[7]])], "base_url string, sitemaps array<string>")
+    fetched = spark.createDataFrame(xml, "url string, xml string")
+    common = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml"]
+    for max_files, max_urls in ((None, None), (6, None), (None, 7), (9, 10)):
+        rows = walk_sitemaps(sites, fetched, max_files, max_urls).orderBy("base_url", "place").collect()
+        for site, first in (("https://e.com", names[:3] + names[:1]), ("https://n.org", [names[7]])):
+            want = walk_by_hand(first + [site + c for c in common], files, max_files or 999, max_urls or 999)
+            assert [r.url for r in rows if r.base_url == site] == want
+    assert walk_sitemaps(sites.limit(0), fetched).count() == 0
+    assert walk_sitemaps(sites, fetched.limit(0)).count() == 0
 
 
 RETRIEVED = "qid string, rank int, chunk_id string, text string, source_url string, page_title string, chunk_type string, score double, distance double"
@@ -90,7 +155,7 @@ def test_coverage_and_warnings(spark):
 
 
 def test_context_keeps_numbering_gap(spark):
-    text = {r.qid: r.context for r in prompt.rag_context(retrieved(spark)).collect()}
+    text = {r.qid: r.context for r in prompt.rag_context(retrieved(spark), SIZES).collect()}
     blocks = text["a"].split("\n\n")
     assert [b.split("\n")[0] for b in blocks] == ["[Source 1]", "[Source 3]"]
     assert "Type: section, score=0.9\nURL: https://e.com\nContent:\nxxx" in blocks[0]
@@ -98,18 +163,18 @@ def test_context_keeps_numbering_gap(spark):
 
 
 def test_sources_are_unique_and_shortened(spark):
-    got = prompt.format_sources(retrieved(spark)).orderBy("qid", "source_rank").collect()
+    got = prompt.format_sources(retrieved(spark), SIZES).orderBy("qid", "source_rank").collect()
     assert [(r.qid, r.source_rank) for r in got] == [("a", 1), ("b", 1)]
     assert got[0].text_preview == "x" * 240 + "..."
-    problems = quality.source_problems(prompt.format_sources(retrieved(spark)), position="source_rank").collect()
+    problems = quality.source_problems(prompt.format_sources(retrieved(spark), SIZES), position="source_rank").collect()
     assert {p.message for p in problems} == {"Source 1 is missing source_url.", "Source 1 is missing page_title."}
 
 
 def test_history_rules(spark):
     history = [("system", "s"), ("user", "a"), ("assistant", " "), *[("assistant", f"m{i}") for i in range(7)], ("user", "the  question")]
     df = spark.createDataFrame([(history, " the question ")], "h array<struct<role:string,content:string>>, q string")
-    row = df.select(prompt.prior_messages(F.col("h"), F.col("q")).alias("p"), prompt.latest_question(F.lit(" "), F.col("h")).alias("l"),
-                    prompt.rag_messages(F.lit(""), F.col("h"), F.col("q")).alias("m")).collect()[0]
+    row = df.select(prompt.prior_messages(F.col("h"), F.col("q"), SIZES).alias("p"), prompt.latest_question(F.lit(" "), F.col("h")).alias("l"),
+                    prompt.rag_messages(F.lit(""), F.col("h"), F.col("q"), SIZES).alias("m")).collect()[0]
     assert [m.content for m in row.p] == [f"m{i}" for i in range(1, 7)] and row.l == "the  question"
     assert row.m[0].role == "system" and prompt.NO_CONTEXT in row.m[0].content and row.m[-1].content == "the question" and len(row.m) == 8
 
@@ -159,11 +224,11 @@ def test_site_context_buckets(spark):
     pages = spark.createDataFrame(rows, "page_ord bigint, page_url string, page_type string, title string, description string, content string").withColumn("website_id", F.lit("s"))
     sites = spark.createDataFrame([("s", "https://e.com", "Shop")], "website_id string, url string, name string")
     found = spark.createDataFrame([("s", 1, "found it")], "website_id string, index int, result string")
-    text = knowledge.chatbot_context(pages, sites, found, key_pages=5, blog_pages=3, max_searches=5).collect()[0].context
+    text = knowledge.chatbot_context(pages, sites, SITE_SIZES, found, key_pages=5, blog_pages=3, max_searches=5).collect()[0].context
     assert "Title: Home" in text and "Old" not in text and "Main content: Main text" in text
     assert [f"## A{i}" in text for i in range(2, 9)] == [True] * 5 + [False] * 2 and "c" * 600 in text and "c" * 601 not in text
     assert "- Post\n  " + "d" * 200 + "\n" in text and "Search result 1:\nfound it" in text
-    assert "Pages scraped: 10" in knowledge.scraped_context(pages, sites, max_pages=10).collect()[0].context
+    assert "Pages scraped: 10" in knowledge.scraped_context(pages, sites, SITE_SIZES, max_pages=10).collect()[0].context
     docs = knowledge.build_knowledge(sites, pages, found, max_pages=4).collect()[0]
     assert [p.title for p in docs.pages] == ["Old", "Home", "A2", "A3"] and docs.metadata.has_web_search_supplement
 
@@ -193,7 +258,7 @@ def test_store_upsert_delete_and_ask(spark, tmp_path):
         "qid string, website_id string, query string, system_prompt string",
     )
     got = retrieve_chunks(asked, store.read(), hash_embedder(8), ["chunk_index"])
-    answers = {r.qid: r for r in answer_questions(asked, got, batch_chat(lambda ms: f"{len(ms)} messages")).collect()}
+    answers = {r.qid: r for r in answer_questions(asked, got, batch_chat(lambda ms: f"{len(ms)} messages"), SIZES).collect()}
     assert answers["1"].mode == "rag" and answers["1"].answer == "2 messages" and answers["1"].sources[0].page_title == "Contact"
     assert "03001234567" in answers["1"].messages[0].content and answers["1"].warnings == []
     assert answers["2"].answer == fixed.INSUFFICIENT_ANSWER and answers["2"].warnings == [fixed.MSG_NO_CHUNKS]
