@@ -29,7 +29,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df if size >= cores * split else df.repartition(cores, *keys)
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitelore.operators.skew import first_per_key
 from sitelore.session import checkpoint_root
@@ -48,7 +49,8 @@ def windowed_counts(
 
     counting = totals.writeStream.foreachBatch(keep).outputMode("update")
     counting.option("checkpointLocation", f"{root}/totals-state").trigger(availableNow=True).start().awaitTermination()
-    found = spark.read.schema(totals.schema.add("batch", "bigint")).parquet(f"{root}/totals")
+    schema = StructType([*totals.schema.fields, StructField("batch", LongType())])
+    found = spark.read.schema(schema).parquet(f"{root}/totals")
     return first_per_key(found, ["starts", *keys], [F.col("batch").desc()]).drop("batch")
 
 
