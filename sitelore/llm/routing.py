@@ -2,9 +2,10 @@
 
 On a bounded sample: build the neighbour graph, cut it into balanced parts so that few
 neighbours are separated, and train a small classifier from a vector to the parts of its
-neighbours. Every row is indexed in its most probable part. A query visits the most
-probable parts, as many as a held-out share of the sample needs for the wanted recall,
-and all rows there are ranked by exact cosine.
+neighbours. Every row is indexed in its most probable parts (`homes` of them). A query visits the
+most probable parts until their probabilities add up to a share, the least with which a held-out
+part of the sample finds the wanted share of its neighbours, and all rows there are ranked by
+exact cosine. The number of parts is the root of the sample's size at every size of table.
 """
 
 from __future__ import annotations
@@ -31,31 +32,41 @@ class Fit:
     """How the index is learned; all bounds are on the sample, never on what is indexed."""
 
     sample: int = 8192
-    part_rows: int = 2000  # rows that a part should have in the sample's proportion
-    most_parts: int = 64
+    least_sample: int = 40  # below it there is no held-out share to learn from: one part
     neighbours: int = 10
+    homes: int = 2
     hidden: int = 96
-    epochs: int = 25
+    steps: int = 400
     held_out: int = 512
-    recall: float = 0.97
+    recall: float = 0.93
     seed: int = 5
 
 
 @dataclass
 class Router:
-    """Classifier from unit vectors to parts, and the number of parts a query visits."""
+    """Classifier from unit vectors to parts, and the probability that a query's visits add up to."""
 
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    visits: int = 1
+    share: float = 0.0
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    @property
+    def parts(self) -> int:
+        return self.w2.shape[1]
 
-    def ranked(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.logits(x), axis=1, kind="stable")
+    def ranked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts from the most probable to the least, and the probability of those before each."""
+        z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        order = np.argsort(-z, axis=1, kind="stable")
+        p = np.exp(np.take_along_axis(z, order, axis=1) - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return order, np.cumsum(p, axis=1) - p
+
+    def visits(self, before: np.ndarray) -> np.ndarray:
+        """How many of its ranked parts each query visits."""
+        return np.maximum(1, (before <= self.share).sum(axis=1))
 
 
 def nearest_rows(x: np.ndarray, of: np.ndarray, k: int, same: bool) -> np.ndarray:
@@ -121,7 +132,7 @@ def train_router(x: np.ndarray, wanted: np.ndarray, fit: Fit) -> Router:
     ]
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     step = 0
-    for _ in range(fit.epochs):
+    while step < fit.steps:
         order = rng.permutation(n)
         for i in range(0, n, 128):
             rows = order[i : i + 128]
@@ -141,28 +152,28 @@ def train_router(x: np.ndarray, wanted: np.ndarray, fit: Fit) -> Router:
     return Router(*weights)
 
 
-def learn(sample: np.ndarray, rows: int, top: int, fit: Fit) -> Router:
-    """Router from unit vectors of the sample, for an index of `rows` rows."""
+def learn(sample: np.ndarray, top: int, fit: Fit) -> Router:
+    """Router from unit vectors of the sample."""
     rng = np.random.default_rng(fit.seed)
     order = rng.permutation(len(sample))
     held = min(fit.held_out, len(sample) // 5)
     test, x = sample[order[:held]], sample[order[held:]]
-    parts = int(np.clip(round(rows / fit.part_rows), 1, min(fit.most_parts, max(1, len(x) // 32))))
-    k = min(fit.neighbours, len(x) - 1)
-    if parts < 2 or k < 1 or not held:
+    if len(sample) < fit.least_sample:
         dims = sample.shape[1]
         return Router(np.zeros((dims, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1))
-    graph = nearest_rows(x, x, k, same=True)
+    parts = max(2, round(np.sqrt(len(x))))
+    graph = nearest_rows(x, x, min(fit.neighbours, len(x) - 1), same=True)
     part = balanced_parts(x, graph, parts)
     wanted = np.eye(parts)[part] + np.eye(parts)[part[graph]].sum(axis=1)
     router = train_router(x, wanted / wanted.sum(axis=1, keepdims=True), fit)
-    # visits: parts of the true neighbours, where the index will have them
-    home = router.ranked(x)[:, 0]
-    truth = home[nearest_rows(x, test, min(top, len(x)), same=False)]
-    place = np.argsort(router.ranked(test), axis=1)
-    depth = np.take_along_axis(place, truth, axis=1)
-    shares = [(depth < v).mean() for v in range(1, parts + 1)]
-    router.visits = 1 + int(np.argmax(np.array(shares) >= fit.recall))
+    # the share: what lies before the first home of a true neighbour, where the index will have it
+    homes = router.ranked(x)[0][:, : fit.homes]
+    truth = homes[nearest_rows(x, test, min(top, len(x)), same=False)]
+    ranked, before = router.ranked(test)
+    place = np.argsort(ranked, axis=1)
+    depth = np.take_along_axis(place, truth.reshape(len(test), -1), axis=1).reshape(truth.shape).min(axis=2)
+    needed = np.sort(np.take_along_axis(before, depth, axis=1).ravel())
+    router.share = float(needed[min(len(needed) - 1, int(np.ceil(fit.recall * len(needed))) - 1)])
     return router
 
 
@@ -180,7 +191,9 @@ def search(
     the smaller vec_id. Rows that are null, zero or hold null or non-finite components and
     rows without a vec_id take no part. Vectors of each length have a router of their own and
     meet only each other; ranks are per query_id and length. A row is no candidate of a query
-    with its vec_id. An empty table gives no rows.
+    with its vec_id, and a vec_id that occurs in several rows is one neighbour, by its best row; of
+    a query_id that does, too, the best pairs count. Other columns are not read. An empty table
+    gives no rows.
 
     A part that holds many rows is read in slices, and its queries come in blocks: a task
     holds at most `slice_rows` rows and `block_queries` queries on average.
@@ -190,15 +203,7 @@ def search(
         F.col("vec_id").cast("long").alias("vec_id"), "_query",
         F.col("embedding").cast("array<double>").alias("embedding"),
     ).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    lengths = rows.groupBy(F.size("embedding").alias("dims")).count()
-    routers: dict[int, Router] = {}
-    for length in lengths.collect():  # one row per length of vectors
-        drawn = (
-            rows.where(F.size("embedding") == length["dims"])
-            .orderBy(F.xxhash64("vec_id", F.lit(fit.seed)), "vec_id").limit(fit.sample)
-            .select("embedding").toArrow()  # bounded by `fit.sample`
-        )
-        routers[length["dims"]] = learn(unit(matrix(drawn["embedding"])), length["count"], top, fit)
+    routers = routers_of(rows, top, fit)
     if not routers:
         return empty_like(spark, FOUND)
 
@@ -208,19 +213,26 @@ def search(
             for dims in pc.unique(sizes).to_pylist():
                 same = batch.filter(pc.equal(sizes, dims))
                 router = routers[dims]
-                ranked = router.ranked(unit(matrix(pa.chunked_array([same.column(2)]))))
-                parts = pa.array(ranked[:, : router.visits].astype("int32").tolist(), pa.list_(pa.int32()))
+                ranked, before = router.ranked(unit(matrix(pa.chunked_array([same.column(2)]))))
+                asks = same.column(1).to_numpy(zero_copy_only=False)
+                visits = np.where(asks, np.maximum(router.visits(before), fit.homes), fit.homes)
+                parts = pa.array([r[:v].tolist() for r, v in zip(ranked.astype("int32"), visits)], pa.list_(pa.int32()))
+                seen = pa.array(router.visits(before).astype("int32"))
                 length = pa.array([dims] * same.num_rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*same.columns, length, parts], ["vec_id", "_query", "embedding", "dims", "parts"]
+                    [*same.columns, length, parts, seen], ["vec_id", "_query", "embedding", "dims", "parts", "visits"]
                 )
 
     routed = materialize(
-        rows.mapInArrow(route, "vec_id long, _query boolean, embedding array<double>, dims int, parts array<int>"),
+        rows.mapInArrow(
+            route, "vec_id long, _query boolean, embedding array<double>, dims int, parts array<int>, visits int"
+        ),
         "routed",
     )
-    homes = routed.select("vec_id", "embedding", "dims", F.col("parts")[0].alias("part"))
-    asked = routed.where("_query").select("vec_id", "embedding", "dims", F.explode("parts").alias("part"))
+    homes = routed.select("vec_id", "embedding", "dims", F.explode(F.slice("parts", 1, fit.homes)).alias("part"))
+    asked = routed.where("_query").select(
+        "vec_id", "embedding", "dims", F.explode(F.slice("parts", F.lit(1), F.col("visits"))).alias("part")
+    )
     sizes = homes.groupBy("dims", "part").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("slices"))
     blocks = asked.groupBy("dims", "part").agg(F.ceil(F.count(F.lit(1)) / block_queries).cast("int").alias("blocks"))
     grid = sizes.join(blocks, ["dims", "part"])  # one row per part
@@ -247,13 +259,28 @@ def search(
                 length = pa.array([dims] * len(best[0]), pa.int32())
                 yield pa.RecordBatch.from_arrays([length, *best], ["dims", "query_id", "vec_id", "score"])
 
-    near = met.mapInArrow(rank, "dims int, query_id long, vec_id long, score double")
+    found = met.mapInArrow(rank, "dims int, query_id long, vec_id long, score double")
+    # a row lives in several parts, and ids may repeat
+    near = found.groupBy("dims", "query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = top_per_key(near, ["dims", "query_id"], [F.desc("score"), F.asc("vec_id")], top)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def routers_of(rows: DataFrame, top: int, fit: Fit) -> dict[int, Router]:
+    """Router of each length of vectors (vec_id, embedding), from a sample of at most `fit.sample` rows."""
+    routers: dict[int, Router] = {}
+    for (dims,) in rows.select(F.size("embedding").alias("dims")).distinct().collect():  # one row per length
+        drawn = (
+            rows.where(F.size("embedding") == dims)
+            .orderBy(F.xxhash64("vec_id", F.lit(fit.seed)), "vec_id").limit(fit.sample)
+            .select("embedding").toArrow()  # bounded by `fit.sample`
+        )
+        routers[dims] = learn(unit(matrix(drawn["embedding"])), top, fit)
+    return routers
+
+
 def best_of(ids, x, query_ids, queries, top):
-    """The `top` best of rows `x` for each query: query ids, row ids, cosines.
+    """The `top` best of rows `x` for each query, an id once: query ids, row ids, cosines.
 
     A first pass by matrix product keeps all rows within rounding of the best ones; their
     cosines are then computed one by one in the same order of operations everywhere, so
@@ -261,16 +288,21 @@ def best_of(ids, x, query_ids, queries, top):
     """
     ux, uq = unit(x), unit(queries)
     norms, query_norms = np.sqrt((x * x).sum(axis=1)), np.sqrt((queries * queries).sum(axis=1))
+    often = int(np.unique(ids, return_counts=True)[1].max())  # rows of the most repeated id
     out_q, out_v, out_s = [], [], []
     for i in range(0, len(queries), 256):
         s = uq[i : i + 256] @ ux.T
         s[query_ids[i : i + 256][:, None] == ids[None, :]] = -np.inf
-        k = min(top, len(ids))
+        k = min(top * often, len(ids))
         least = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
         rows, cols = np.nonzero((s >= least[:, None] - 1e-9) & (s > -np.inf))
         exact = (queries[i + rows] * x[cols]).sum(axis=1) / (query_norms[i + rows] * norms[cols])
         order = np.lexsort((ids[cols], -exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
+        if often > 1:
+            first = np.unique(np.stack([rows, ids[cols]]), axis=1, return_index=True)[1]
+            first.sort()
+            rows, cols, exact = rows[first], cols[first], exact[first]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         keep = place < top
         out_q.append(query_ids[i + rows[keep]])

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sitelore.llm import lattice, routing
@@ -81,7 +82,7 @@ def test_neighbours_against_brute_force(spark):
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
     queries = {i for i, *_ in data if i % 10 == 0}
     truth = nearest_by_brute_force(data, queries, 5)
-    fit = routing.Fit(sample=600, part_rows=150, held_out=100)
+    fit = routing.Fit(sample=600, held_out=100)
     found = {}
     for r in routing.search(df, F.col("vec_id") % 10 == 0, 5, fit, slice_rows=100, block_queries=40).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -128,3 +129,36 @@ def test_parts_are_balanced():
     sizes = np.bincount(part, minlength=7)
     assert sizes.max() <= np.ceil(1000 / 7 * 1.05) + 1 and sizes.min() > 0
     assert (part[graph] == part[:, None]).mean() > 1.5 / 7  # far fewer neighbours are cut than by chance
+
+
+@pytest.mark.parametrize("n, parts", [(500, 20), (2000, 40)])
+def test_small_tables_go_through_their_parts(spark, n, parts):
+    """Vectors without clusters, as many as the small tables hold: parts, recall and exact scores."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32)).astype("float32").astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    router = routing.routers_of(df, 5, routing.Fit())[32]
+    order, before = router.ranked(x / np.linalg.norm(x, axis=1)[:, None])
+    assert router.parts == parts and np.bincount(order[:, 0], minlength=parts).max() < n / 4
+    assert router.visits(before).mean() < 0.75 * parts
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    hits, got = 0, {}
+    for r in routing.search(df, F.col("vec_id") % 50 == 0, 5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, n, 50):
+        s = u @ u[q]
+        s[q] = -2
+        mine = sorted(got[q])
+        assert [r for r, *_ in mine] == [1, 2, 3, 4, 5] and len({v for _, v, _ in mine}) == 5
+        assert all(abs(s[v] - c) < 1e-12 for _, v, c in mine)
+        hits += len(set(np.argsort(-s)[:5]) & {v for _, v, _ in mine})
+    assert hits >= 0.9 * 5 * len(range(0, n, 50))
+
+
+def test_repeated_ids_are_one_neighbour(spark):
+    data = [(0, [1.0, 0.1]), (0, [1.0, 0.2]), (1, [1.0, 0.15]), (2, [0.0, 1.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = routing.search(df, F.col("vec_id") == 0, 3).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 3), (3, 2)]
+    got = routing.search(df, F.col("vec_id") == 1, 3).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 0), (2, 3), (3, 2)]
