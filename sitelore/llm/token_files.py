@@ -14,6 +14,7 @@ to the file), and for each level its chunks (uint8), bitmap and directory (uint3
 
 from __future__ import annotations
 
+import bisect
 import json
 import struct
 import zlib
@@ -31,6 +32,7 @@ from sitelore.session import materialize
 MAGIC = b"DACTOK01"
 BITS = 8
 BLOCK = 512
+SAMPLED = 50  # keys looked at per shard to place its lower end
 NO_DOC = -(2**63)  # stands for a null doc_id in a file
 
 MANIFEST = "shard long, part long, file string, documents long, tokens long"
@@ -122,6 +124,18 @@ class TokenFile:
         return value
 
 
+def _bounds(rows: DataFrame, count: int, shards: int) -> list[tuple[bool, int, int]]:
+    """Lower ends of all shards but the first: every SAMPLED-th of a sample of keys, drawn by hash
+    and read once. They decide which file a document is in, nothing else."""
+    if shards < 2:
+        return []
+    every = max(1, count // (SAMPLED * shards))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "hash", F.lit(4)), F.lit(every)) == 0)
+    keys = drawn.select(F.col("doc_id").isNotNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), "hash")
+    found = [tuple(r) for r in keys.orderBy("a", "b", "hash").collect()]
+    return sorted({found[len(found) * i // shards] for i in range(1, shards)}) if found else []
+
+
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -132,22 +146,20 @@ def write_token_files(
 ) -> DataFrame:
     """Write the ids of all documents in ascending `doc_id` order; one `MANIFEST` row per file.
 
-    Documents are dealt to shards by ranges of `doc_id` (nulls first) of about equal row
-    counts, as many as `shard_bytes` of text need. A task streams its sorted shard and
-    starts a new file at `file_tokens`, so a range that holds more than its share, or one
-    repeated id, only makes more files. Rows with equal ids stay separate documents in
-    the order of their texts. Null texts are empty. An empty table writes no file.
+    Documents are dealt to shards by ranges of (`doc_id`, hash of the text), nulls first, of
+    about equal row counts, as many as `shard_bytes` of text need: one id that most rows
+    repeat is many shards, too. A task streams its sorted shard and starts a new file at
+    `file_tokens`. Rows with equal ids stay separate documents, in the order of their texts'
+    hashes. Null texts are empty; texts of any length are encoded whole. Other columns of `docs`
+    are not read, whatever their names. An empty table writes no file.
     """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = whole_texts(docs).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text")
     )
-    volume = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    volume, count = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
     shards = max(1, -(-volume // shard_bytes))
-    # one bound per shard, the same amount that a file listing has
-    cuts = [i / shards for i in range(1, shards)]
-    bounds = sorted(set(docs.stat.approxQuantile("doc_id", cuts, 0.1 / shards))) if cuts else []
-    bounds = np.asarray(bounds, dtype="float64")
+    bounds = _bounds(rows, count, shards)
     size = id_bytes(tokenizer, end_id)  # small vocabularies travel in two bytes an id
     kind = f"<u{size}"
     end = np.array([end_id], dtype=kind).tobytes()
@@ -155,16 +167,16 @@ def write_token_files(
     def encode(batches):
         run = encoder(tokenizer, size, cache=450_000).encode_many
         for batch in small_batches(batches, SLICE_TEXTS):
-            doc_ids = batch.column(0).to_pylist()
-            encoded = [ids + end for ids in run(batch.column(1).to_pylist())]
+            doc_ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            encoded = [ids + end for ids in run(batch.column(2).to_pylist())]
             ends = np.cumsum([0, *map(len, encoded)]).astype("<i4")
             column = pa.Array.from_buffers(
                 pa.binary(), len(encoded), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(encoded))]
             )
-            keys = np.array([-np.inf if d is None else d for d in doc_ids], dtype="float64")
-            shard = np.searchsorted(bounds, keys, side="right").astype("int64")
+            keys = [(d is not None, d or 0, h) for d, h in zip(doc_ids, hashes)]  # nulls first
+            shard = [bisect.bisect_right(bounds, k) for k in keys]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard), pa.array(doc_ids, pa.int64()), column], ["shard", "doc_id", "ids"]
+                [pa.array(shard, pa.int32()), batch.column(0), batch.column(1), column], ["shard", "doc_id", "hash", "ids"]
             )
 
     def write(batches):
@@ -176,7 +188,7 @@ def write_token_files(
 
         made, now, part, names, arrays, held = [], None, 0, [], [], 0
         for batch in batches:
-            for shard, doc, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for shard, doc, ids in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
                 if names and (shard != now or held >= file_tokens):
                     made.append(flush(now, part, names, arrays))
                     part, names, arrays, held = part + 1, [], [], 0
@@ -193,8 +205,9 @@ def write_token_files(
             [pa.array(c, t) for c, t in zip(cols, types)], ["shard", "part", "file", "documents", "tokens"]
         )
 
-    encoded = rows.mapInArrow(encode, "shard long, doc_id long, ids binary")
-    ordered = encoded.repartition(int(shards), "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    encoded = rows.mapInArrow(encode, "shard int, doc_id long, hash long, ids binary")
+    # a partition is a shard: numbers are not hashed, so no two share one
+    ordered = encoded.repartitionById(int(shards), F.col("shard")).sortWithinPartitions("shard", "doc_id", "hash", "ids")
     return materialize(ordered.mapInArrow(write, MANIFEST), "token-files")
 
 
