@@ -23,7 +23,9 @@ from sitelore.operators.extract import extract_pages, needs_browser
 from sitelore.operators.skew import first_per_key, running_index, sliced_join
 from sitelore.operators.store import ChunkStore
 from sitelore.plans.ask import retrieve_chunks
+from sitelore.plans.crawl_job import crawl_job
 from sitelore.plans.discover import discover, site_root
+from sitelore.plans.evaluate_batch import evaluate_bank
 from sitelore.plans.ingest import index_pages, page_table, searchable_chunks
 from sitelore.session import checkpoint_root, materialize
 from sitelore.sources import site_files
@@ -629,6 +631,25 @@ def answer_flags(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def evaluation_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every question of the conversations answered from its site by a fixed chat function, and reviewed."""
+    of = F.split_part("qid", F.lit("-"), F.lit(1)).cast("bigint")
+    form = F.element_at(F.array(F.lit("clickable_link"), F.lit("grouped_locations"), F.lit("short_summary")), (of % 3 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    bank = _questions(spark, d).where(clean_text(F.col("query")) != "").select(
+        F.col("qid").alias("id"), "website_id", F.col("query").alias("question"), F.lit("general").alias("category"),
+        none.alias("intent"), none.alias("expected_behavior"), form.alias("answer_format"), F.lit(True).alias("requires_source"),
+        (of % 2 == 0).alias("hallucination_sensitive"), F.array().cast("array<string>").alias("expected_entities"),
+    )
+    chat = lambda ms: F.concat(F.lit("You asked: "), F.element_at(ms, -1)["content"], F.lit(" Write to help@shop.example."))
+    records = evaluate_bank(materialize(bank, "bank"), _features(spark, d), hash_embedder(8), chat, SIZES, CHUNK_ORDER)
+    return records.select(
+        "question_id", "mode", big(F.col("source_count")).alias("source_count"), F.md5("answer").alias("answer_md5"),
+        F.array_join("flags", "; ").alias("flags"), "detected_email",
+    )
+
+
 @query
 def document_detections(spark: SparkSession, d: str) -> DataFrame:
     """The answer detectors over whole documents, which hold contacts and lists."""
@@ -895,6 +916,17 @@ def discovered_allowed(spark: SparkSession, d: str) -> DataFrame:
     return discover(_anchor_rows(p), listed, robots, max_pages=9)
 
 
+@query
+def crawl_to_index(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the pages that links, sitemaps and robots files lead to, selected and indexed in one job."""
+    robots = materialize(_robots(spark, d), "robots")
+    store = ChunkStore(spark, f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}")
+    done = crawl_job(text_table(spark, d, "pages"), robots, _sitemaps(spark, d), store, hash_embedder(8), max_pages=9)
+    if done["errors"]:
+        raise RuntimeError("; ".join(done["errors"]))
+    return store.read().groupBy("website_id", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source_url").alias("pages"))
+
+
 @query
 def page_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Web pages to indexed chunks, all builders."""
