@@ -1,3 +1,4 @@
+from collections import Counter
 import itertools
 import random
 import zlib
@@ -118,3 +119,25 @@ def test_shards_have_near_equal_bytes(spark):
         last["h"] = r.hilbert
     assert sharding.hilbert_shards(docs.limit(0), 8).count() == 0
     assert sharding.shard_ranges(sharding.hilbert_shards(docs, 8)).count() == 8
+
+
+def test_shards_equal_plain_lists(spark):
+    """Size, checksum, shard and slot recomputed in Python along the curve's order."""
+    rng = random.Random(12)
+    texts = [None, "", "ü" * 40, *("x" * rng.randrange(400) for _ in range(300))]
+    rows = [(rng.choice([None, *range(250)]), rng.choice([None, "a", "b", "c"]), rng.choice(["en", "de", None]), rng.choice(texts), 1) for _ in range(500)]
+    rows += rows[:5]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string, slot int").repartition(4)
+    got = sharding.hilbert_shards(docs, shards=7).collect()
+    plain = lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2] or "", len((r[3] or "").encode()) + 16, zlib.crc32((r[3] or "").encode()))
+    assert Counter((r.doc_id is not None, r.doc_id or 0, r.source or "", r.lang or "", r.size, r.text_crc32) for r in got) == Counter(map(plain, rows))
+    order = sorted(got, key=lambda r: (r.hilbert, r.text_crc32, r.doc_id is not None, r.doc_id or 0))
+    total, before, slots = sum(r.size for r in got), 0, Counter()
+    want = []
+    for r in order:
+        shard = (2 * before + r.size) * 7 // (2 * total)
+        want.append((r.hilbert, r.text_crc32, r.doc_id, r.size, shard, slots[shard]))
+        before, slots[shard] = before + r.size, slots[shard] + 1
+    # rows that tie in the whole order may swap their places
+    key = lambda w: tuple((x is not None, x or 0) for x in w)
+    assert sorted(((r.hilbert, r.text_crc32, r.doc_id, r.size, r.shard, r.slot) for r in got), key=key) == sorted(want, key=key)

@@ -107,3 +107,35 @@ def test_token_files_round_trip(spark):
     first = made.orderBy("shard", "part").first()
     assert token_files.TokenFile(read_range(folder, first.file)).tokens == first.tokens
     assert token_files.token_digest(documents(spark, []), path).count() == 0
+
+
+def fewest_bins(lengths, most):
+    """Exhaustive: pieces one by one into every open bin or a new one."""
+    best = len(lengths)
+
+    def place(i, left):
+        nonlocal best
+        if len(left) >= best:
+            return
+        if i == len(lengths):
+            best = len(left)
+            return
+        for j in range(len(left)):
+            if left[j] >= lengths[i]:
+                place(i + 1, left[:j] + [left[j] - lengths[i]] + left[j + 1 :])
+        place(i + 1, [*left, most - lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_is_near_the_fewest_sequences():
+    rng = np.random.default_rng(9)
+    exact = 0
+    for _ in range(120):
+        lengths = rng.integers(1, 21, size=rng.integers(1, 9))
+        least = fewest_bins(sorted(lengths.tolist(), reverse=True), 20)
+        bins, _ = packing.best_fit(lengths, packing.Capacity(20, 100, 10**6))
+        assert least <= len(set(bins)) <= (11 * least + 6) // 9
+        exact += len(set(bins)) == least
+    assert exact >= 115
