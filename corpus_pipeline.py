@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences: score, deduplicate, mix, pack."""
+"""From raw documents to packed training sequences: score, deduplicate, mix, pack.
+
+Every stage takes whole texts of any length, null and empty ones too, null and repeated ids, extra columns
+of any name (kept until packing, which returns pieces) and an empty table (no rows). What each stage does
+with ties and repeated rows stands in the docstring of its operator.
+"""
 
 from __future__ import annotations
 

@@ -38,7 +38,7 @@ def perspectives(
     Order in a dialogue: turn, then role, then text, nulls first; repeated rows are turns
     of their own. A null role or text is empty; a null conv_id is a dialogue like any other.
     A dialogue of context turns alone has no perspective and gives no row, nor does an
-    empty table.
+    empty table. Texts of any length stay whole: a part is bounded in turns. Other columns are not read.
     """
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),

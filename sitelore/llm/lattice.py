@@ -134,7 +134,8 @@ def near_duplicates(
     they stand as one vector with a count. Vectors that are null, empty, zero or hold null or
     non-finite components, and those without a label, link with nothing. Vectors of
     different lengths never link. `vec_id` must be unique and not null for a meaningful
-    result; repeated ids count as one node of the components. An empty table gives no rows.
+    result; repeated ids count as one node of the components. Other columns are not read, whatever
+    their names. An empty table gives no rows.
 
     A cell of many vectors is cut into blocks by hash, and each pair of blocks is a task's
     bounded work.
@@ -144,6 +145,9 @@ def near_duplicates(
         F.col("embedding").cast("array<double>").alias("embedding"),
         F.col("label").cast("string").alias("label"),
     )
+    # single precision travels as such; it is compared in double
+    single = rows.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if single else "array<double>"
     fit = F.col("label").isNotNull() & usable(F.col("embedding"))
     classes = materialize(
         narrow.where(fit).groupBy("label", "embedding").agg(
@@ -163,23 +167,21 @@ def near_duplicates(
                     for p in range(1 + probes):
                         yield pa.RecordBatch.from_arrays(
                             [
-                                part["label"].combine_chunks(), pa.array(np.full(len(part), dims, "int32")),
+                                part["place"].combine_chunks(), pa.array(np.full(len(part), dims, "int32")),
                                 pa.array(np.full(len(part), t, "int32")), pa.array(named[:, t, p]),
                                 pa.array(np.full(len(part), p == 0)), part["rep"].combine_chunks(),
-                                part["copies"].combine_chunks(), part["embedding"].combine_chunks(),
                             ],
-                            ["label", "dims", "tab", "cell", "own", "rep", "copies", "embedding"],
+                            [*key, "own", "rep"],
                         )
 
-    key = ["label", "dims", "tab", "cell"]
-    schema = "label string, dims int, tab int, cell long, own boolean, rep long, copies long, embedding array<double>"
-    placed = classes.mapInArrow(place, schema)
-    # cells without an owner or with a single vector compare nothing
-    keys_only = classes.mapInArrow(
-        lambda batches: (b.select([*key, "own"]) for b in place(batches)),
-        "label string, dims int, tab int, cell long, own boolean",
+    # only numbers travel to the cells; a vector follows where it has somebody to meet
+    key = ["place", "dims", "tab", "cell"]
+    named = classes.select(F.xxhash64("label").alias("place"), "rep", "embedding")
+    placed = materialize(
+        named.mapInArrow(place, "place long, dims int, tab int, cell long, own boolean, rep long"), "cells"
     )
-    busy = keys_only.groupBy(*key).agg(
+    # cells without an owner or with a single vector compare nothing
+    busy = placed.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("own").cast("int")).alias("_own")
     )
     busy = busy.where("_own > 0 and _n > 1").select(
@@ -194,17 +196,21 @@ def near_duplicates(
         .withColumn("high", F.greatest("_mine", "_other"))
         .drop("_other", "_blocks")
     )
+    vectors = classes.select("rep", "copies", "label", F.col("embedding").cast(kind).alias("embedding"))
     group = [*key, "low", "high"]
-    sorted_ = dealt.repartition(parallelism(rows.sparkSession), *group).sortWithinPartitions(*group)
+    met = dealt.join(vectors, "rep").repartition(parallelism(rows.sparkSession), *group)
+    sorted_ = met.sortWithinPartitions(*group)
 
     def link(batches):
-        for (label, dims, tab, cell, low, high), found in runs(batches, group):
+        for (_, _, tab, cell, low, high), found in runs(batches, group):
             own = found["own"].to_numpy()
             side = found["_mine"].to_numpy()
             x = unit(matrix(found["embedding"]))
             rep, copies = found["rep"].to_numpy(), found["copies"].to_numpy()
             close = x @ x.T >= threshold
             close &= own[:, None] | own[None, :]  # one of them lives here
+            label = found["label"].to_numpy()
+            close &= label[:, None] == label[None, :]  # `place` is a hash
             if low != high:
                 close &= side[:, None] != side[None, :]
             np.fill_diagonal(close, False)

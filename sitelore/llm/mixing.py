@@ -13,13 +13,14 @@ from __future__ import annotations
 import heapq
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitelore.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BUCKETS = 1024  # slices of one pattern's documents, each ordered by its own task
+BROADCAST_PATTERNS = 10_000  # plan rows sent to all tasks at most
 
 
 def word_count(text: Column) -> Column:
@@ -152,7 +153,8 @@ def mix_sources(
     fit; documents that are too long for what is left are skipped and the rest is filled
     again, until less than `tolerance` of the pattern's flow is missing or nothing fits.
     Texts without words have size 0, fit nothing and are never taken. Null `doc_id`s and
-    repeated rows are documents like any other. An empty table gives no rows.
+    repeated rows are documents like any other; texts of any length are counted whole; other
+    columns are not read. An empty table gives no rows.
     """
     rows = _rows(docs, sources, seed)
     state, plans = _choose(rows, weights, most, tolerance)
@@ -184,6 +186,13 @@ def _rows(docs: DataFrame, sources: Column, seed: int) -> DataFrame:
     return materialize(rows, "mix-rows")
 
 
+def _counted(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """Rows that the driver holds, one per pattern: broadcast while they are few, so that the documents
+    of a hot source stay where they are; beyond that an ordinary join, which Spark splits by skew."""
+    made = spark.createDataFrame(rows, schema)
+    return F.broadcast(made) if len(rows) <= BROADCAST_PATTERNS else made
+
+
 def _choose(rows: DataFrame, weights, most: int, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """The rows with `extra` (taken in the last, partial pass) and one plan per pattern."""
     spark = rows.sparkSession
@@ -212,13 +221,13 @@ def _choose(rows: DataFrame, weights, most: int, tolerance: float) -> tuple[Data
         "pattern string, sources array<string>, source_sizes array<long>, targets array<double>, passes int, rest long, "
         "pieces array<struct<source string, first long, end long>>"
     )
-    plans = spark.createDataFrame(plan, schema)
+    plans = _counted(spark, plan, schema)
 
     state = rows.withColumn("extra", F.lit(False))
     gaps = {p: rest for p, *_, rest, _ in plan}
     floor = {p: tolerance * (passes * supply[p] + rest) for p, *_, passes, rest, _ in plan}
     while gaps := {p: g for p, g in gaps.items() if g > floor[p] and g > 0}:
-        gap = spark.createDataFrame(list(gaps.items()), "pattern string, gap long")
+        gap = _counted(spark, list(gaps.items()), "pattern string, gap long")
         fits = state.join(gap, "pattern").where("not extra and size > 0 and size <= gap")
         chosen = _prefix(fits, "_before").where("_before + size <= gap").select("uid", F.lit(True).alias("_now"))
         state = state.join(chosen, "uid", "left")

@@ -32,7 +32,8 @@ BANDS, ROWS = 32, 4
 SALTED = 256  # members compared with one document in one run
 BLOCK = 512  # members outside the first document's component in one block
 COLUMNS = 1024  # members that they are compared with in one block
-BLOCK_BYTES, COLUMN_BYTES = 12 << 20, 16 << 20  # of shingles, bounds beside those in members; also of a run
+BLOCK_BYTES = COLUMN_BYTES = 48 << 20  # of shingles, bounds beside those in members; also of a run
+INDEX_BYTES = 8 << 20  # of shingles that are in order at a time while a block is compared
 
 WORD = re.compile(r"\w+")
 _POWERS = np.cumprod(np.full(1 << 12, 0x100000001B3, dtype="uint64"))
@@ -219,10 +220,6 @@ def _links_of_block(found: pa.Table, threshold: float) -> list[tuple[int, int]]:
     earlier = band_keys(names)[:, :band]
     sets = [np.frombuffer(s, "uint32") for s in found["shingles"].to_pylist()]
     sizes = np.array([len(s) for s in sets])
-    # all shingles of the block in order, with the rows that hold them
-    held = np.concatenate(sets)
-    order = np.argsort(held, kind="stable")
-    held, holders = held[order], np.repeat(np.arange(len(sets), dtype="int32"), sizes)[order]
     above: dict[int, int] = {}
 
     def root(p: int) -> int:
@@ -233,24 +230,30 @@ def _links_of_block(found: pa.Table, threshold: float) -> list[tuple[int, int]]:
     others = np.flatnonzero(asks != 1)
     others = others[uid[others] != first]  # its pairs are known
     links = []
-    for i in np.flatnonzero(asks):
-        # the larger set bounds the similarity
-        rows = others[
-            (part[others] != part[i])
-            & (np.minimum(sizes[others], sizes[i]) >= threshold * np.maximum(sizes[others], sizes[i]))
-        ]
-        rows = rows[~(earlier[rows] == earlier[i]).any(axis=1)]
-        if not len(rows):
-            continue
-        starts = np.searchsorted(held, sets[i], "left")
-        counts = np.searchsorted(held, sets[i], "right") - starts
-        at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        both = np.bincount(holders[at], minlength=len(sets))[rows]
-        for j in rows[both / (sizes[rows] + sizes[i] - both) >= threshold]:
-            p, q = root(int(part[i])), root(int(part[j]))
-            if p != q:
-                above[max(p, q)] = min(p, q)
-                links.append((int(uid[i]), int(uid[j])))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes[others]) * 4 // INDEX_BYTES)) + 1
+    for chunk in np.split(others, cuts) if len(others) else []:
+        # all shingles of these rows in order, with the rows that hold them
+        held = np.concatenate([sets[j] for j in chunk])
+        order = np.argsort(held, kind="stable")
+        held, holders = held[order], np.repeat(chunk.astype("int32"), sizes[chunk])[order]
+        for i in np.flatnonzero(asks):
+            # the larger set bounds the similarity
+            rows = chunk[
+                (part[chunk] != part[i])
+                & (np.minimum(sizes[chunk], sizes[i]) >= threshold * np.maximum(sizes[chunk], sizes[i]))
+            ]
+            rows = rows[~(earlier[rows] == earlier[i]).any(axis=1)]
+            if not len(rows):
+                continue
+            starts = np.searchsorted(held, sets[i], "left")
+            counts = np.searchsorted(held, sets[i], "right") - starts
+            at = np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            both = np.bincount(holders[at], minlength=len(sets))[rows]
+            for j in rows[both / (sizes[rows] + sizes[i] - both) >= threshold]:
+                p, q = root(int(part[i])), root(int(part[j]))
+                if p != q:
+                    above[max(p, q)] = min(p, q)
+                    links.append((int(uid[i]), int(uid[j])))
     return links
 
 
@@ -265,7 +268,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bo
     Equal word sequences are one class whatever their case and punctuation. Texts without
     words (null, empty, white space) are alike to nothing: each row is a class of its own.
     Texts of any length are compared whole; blocks are bounded by their bytes. Null doc_ids take part and name a class only when it has no other; repeated rows are
-    copies of each other. An empty table gives no rows.
+    copies of each other. Other columns are not read. An empty table gives no rows.
     """
     rows = materialize(sign_documents(docs, weighted), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))

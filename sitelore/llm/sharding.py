@@ -112,7 +112,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     which the middle of its bytes lies when the whole order is cut into `shards` equal
     lengths: a shard differs from the mean by less than one row. `slot` counts from 0 in
     each shard. Null texts have no bytes, null metadata has cells of its own; rows with
-    equal ids are rows like any other; an empty table gives no rows; a row longer than a
+    equal ids are rows like any other (they tie by id, and only rows equal in cell, checksum and id may
+    swap places); equal texts are not kept in one shard; other columns are not read; an empty table gives no rows; a row longer than a
     shard leaves neighbours empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -237,7 +237,12 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
-    """doc_id, held_out, score, predicted per row of `docs`. An empty table gives no rows."""
+    """doc_id, held_out, score, predicted per row of `docs`.
+
+    Null and empty texts have the bias as their score, whole texts of any length are read, repeated
+    rows are scored each, a null doc_id stays null and is never held out; other columns are not read. An
+    empty table gives no rows.
+    """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return scored(narrow, train(docs, labels, fit)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
@@ -245,7 +250,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Dat
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> DataFrame:
-    """Rows of `docs`, all columns, without those predicted toxic."""
+    """Rows of `docs`, all columns whatever their names, without those predicted toxic.
+
+    Null and empty texts are scored like any other, repeated rows and null ids stay each. An empty
+    table gives no rows.
+    """
     names = docs.columns
     # numbered on the way, so that no column is taken for a score
     held = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]

@@ -106,7 +106,7 @@ def test_low_estimates_do_not_lose_links_of_a_bucket(spark):
     assert [tuple(sorted(r)) for r in links.collect()] == [(2, 3)]
 
 
-@pytest.mark.parametrize("bounds", [{"BLOCK": 3, "COLUMNS": 4}, {"BLOCK_BYTES": 1500, "COLUMN_BYTES": 2500}])
+@pytest.mark.parametrize("bounds", [{"BLOCK": 3, "COLUMNS": 4}, {"BLOCK_BYTES": 1500, "COLUMN_BYTES": 2500}, {"INDEX_BYTES": 900}])
 def test_large_buckets_are_cut_into_blocks(spark, monkeypatch, bounds):
     for name, most in bounds.items():
         monkeypatch.setattr(near_dedup, name, most)
