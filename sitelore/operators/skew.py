@@ -101,3 +101,12 @@ def running_index(
         .withColumn(out, F.col("_start") + F.col("_pos") - 1)
         .drop("_block", "_pos", "_start", "_id")
     )
+
+
+def with_context(df: DataFrame, at: str, reach: int, block: int = ORDINAL_BLOCK) -> DataFrame:
+    """Rows with dense positions `at` in their group, cut into blocks (`_block`) so that a window of up
+    to `reach` rows before a row works inside (group, `_block`): the last rows of a block come once more,
+    as context of the next one, without `_own`. Keep the rows with `_own` after the window."""
+    own = df.withColumn("_block", F.floor(F.col(at) / F.lit(block))).withColumn("_own", F.lit(True))
+    ahead = own.where(F.pmod(F.col(at), F.lit(block)) >= block - reach).withColumn("_block", F.col("_block") + 1)
+    return own.unionByName(ahead.withColumn("_own", F.lit(False)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelore import fixed
@@ -555,17 +555,9 @@ def context_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _histories(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn with the turns up to it: a conversation as it stood then.
-
-    The frame holds the last `HISTORY_MESSAGES` usable turns plus the repeat that is
-    dropped, so no conversation is gathered whole.
-    """
-    c = text_table(spark, d, "conversations").where("role in ('user', 'assistant')")
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-fixed.HISTORY_MESSAGES, 0)
-    message = F.struct("role", F.col("text").alias("content"))
-    return c.where(clean_text(F.col("text")) != "").select(
-        "conv_id", "turn", "role", "text", F.collect_list(message).over(w).alias("history")
-    )
+    """Every turn with the turns up to it: a conversation as it stood then. The history holds the last
+    `HISTORY_MESSAGES` usable turns plus the repeat that is dropped."""
+    return prompt.histories(text_table(spark, d, "conversations"), fixed.HISTORY_MESSAGES)
 
 
 @query

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sitelore.functions import urls
 from sitelore.operators.knowledge import knowledge_tables
-from sitelore.schemas import PAGE, PAGE_COLUMNS, SITE_METADATA
+from sitelore.schemas import PAGE, SITE_METADATA
 from sitelore.sources.files import find_cached
 
 _HEAD, _LEGACY, _MIDDLE, _PAGE, _END = range(5)

@@ -167,3 +167,17 @@ def test_nothing_is_cut_unless_asked(spark):
     assert tuple(sizes.first()) == (12, 6)
     text = spark.range(1).select(prompt.site_system_prompt(F.lit("n"), F.lit("u"), F.repeat(F.lit("y"), 20000), prompt.Sizes()).alias("t")).first().t
     assert text.count("y") > 20000 - 1
+
+
+def test_histories_across_blocks(spark):
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant", "system"]), rng.choice(["", " ", f"m{t}", f"n{t}"])) for c, n in ((1, 50), (2, 3)) for t in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    want = {}
+    for c in (1, 2):
+        used = [(t, r, x) for k, t, r, x in rows if k == c and r != "system" and x.strip()]
+        for i, (t, _, _) in enumerate(used):
+            want[c, t] = [(r, x) for _, r, x in used[max(0, i - 4) : i + 1]]
+    for block in (5, 7, 1 << 16):
+        got = {(r.conv_id, r.turn): [tuple(m) for m in r.history] for r in prompt.histories(turns, 4, block).collect()}
+        assert got == want
