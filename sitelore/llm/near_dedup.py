@@ -30,8 +30,8 @@ from sitelore.session import materialize
 WORDS = 5
 BANDS, ROWS = 32, 4
 SALTED = 256  # members compared with one document in one run
-BLOCK = 512  # members outside the first document's component in one block
-COLUMNS = 1024  # members that they are compared with in one block
+BLOCK = 2048  # members outside the first document's component in one block
+COLUMNS = 4096  # members that they are compared with in one block
 BLOCK_BYTES = COLUMN_BYTES = 48 << 20  # of shingles, bounds beside those in members; also of a run
 INDEX_BYTES = 8 << 20  # of shingles that are in order at a time while a block is compared
 

@@ -9,7 +9,9 @@ it whole. `tests/llm/test_tokens.py` holds the results against the tokenizer its
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from array import array
 
 import numpy as np
@@ -17,10 +19,37 @@ import numpy as np
 CACHE_WORDS = 200_000  # bounds the memory of a worker; no effect on results
 SLICE_TEXTS = 256  # texts whose new words are encoded together
 JOINED_WORDS = 4000
+# letters below it have one lower-case form each, the same everywhere
+PLAIN_LETTERS = "\u0130"
 
 _LOADED: dict[tuple[str, int], object] = {}
 
 
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for
+    themselves, the others for the next free ones from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(others)) for b in range(256)]
+
+
+def _letters_are_pieces(tokenizer) -> tuple[bool, bool]:
+    """Whether a run of letters, with a space before it or none, is one piece to this tokenizer, and
+    whether it is lower-cased first: read from its settings, false where they are not known."""
+    settings = json.loads(tokenizer.to_str())
+    cut, norm = settings["pre_tokenizer"] or {}, settings["normalizer"] or {}
+    steps = cut.get("pretokenizers", [cut])
+    known = steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space")
+    if len(steps) == 1:
+        known = known and steps[0].get("use_regex", True)
+    else:
+        pattern = steps[0].get("pattern", {}).get("Regex", "")
+        known = known and len(steps) == 2 and not steps[1].get("use_regex", True) and "|[\\p{L}]+|" in pattern
+    kinds = [n.get("type") for n in norm.get("normalizers", [norm] if norm else [])]
+    known = known and set(kinds) <= {"NFC", "Replace", "Lowercase"} and settings["model"].get("type") == "BPE"
+    return known and not settings["model"].get("dropout"), "Lowercase" in kinds
+
+
 class TextEncoder:
     """Ids of texts as little-endian bytes of `size` (2 or 4) each."""
 
@@ -39,16 +68,40 @@ class TextEncoder:
         # a separator between words that is one id, and no part of any of them
         self.mark, self.joint = ("\n", "\n") if self.spaces_matter else ("7", " 7 ")
         self.newline = self._whole("\n")
+        self.direct, self.lowers = _letters_are_pieces(self.tokenizer)
+        self.of_byte = _byte_letters()
+        self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.direct = self.direct and not any(t.content.strip().isalpha() for t in added)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return array(self.code, ids).tobytes()
 
+    def _letters(self, word: str, prefix: str) -> bytes | None:
+        """Ids of a word of letters by the model alone; None where that is not known to be the same."""
+        if not word.isalpha():
+            return None
+        if self.lowers:
+            if not word.isascii() and (max(word) >= PLAIN_LETTERS or not unicodedata.is_normalized("NFC", word)):
+                return None
+            word = word.lower()
+        if not word.isascii():
+            of_byte = self.of_byte
+            word = "".join([of_byte[b] for b in word.encode()])
+        if prefix:
+            word = self.of_byte[32] + word
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
     def _learn(self, words: set[str], known: dict[str, bytes], prefix: str) -> list[str]:
         """Add the ids of new words to `known`; words with white space at an end stay out."""
         new = [w for w in words if w not in known and w and w == w.strip()]
         for w in [w for w in new if self.mark in w]:
             known[w] = self._whole(prefix + w)
+        for w in new if self.direct else ():
+            ids = self._letters(w, prefix)
+            if ids is not None:
+                known[w] = ids
         clean = [w for w in new if w not in known]
         kind, size = np.dtype(f"<u{self.size}"), self.size
         (mark,) = np.frombuffer(self._whole(self.mark), kind)

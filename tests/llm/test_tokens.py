@@ -139,3 +139,19 @@ def test_packing_is_near_the_fewest_sequences():
         assert least <= len(set(bins)) <= (11 * least + 6) // 9
         exact += len(set(bins)) == least
     assert exact >= 115
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_words_of_letters_by_the_model_alone(name):
+    known = encoder(tokenizer_path(name))
+    assert known.direct
+    letters = [c for c in map(chr, [*range(0x130)] * 9 + [*range(0x130, 0x11000, 61)]) if c.isalpha()]
+    rng = np.random.default_rng(3)
+    taken = 0
+    for _ in range(3000):
+        word = "".join(rng.choice(letters, size=rng.integers(1, 9)))
+        for prefix in ("", " ") if known.spaces_matter else ("",):
+            ids = known._letters(word, prefix)
+            taken += ids is not None
+            assert ids is None or ids == known._whole(prefix + word)
+    assert taken > 100 and known._letters("a1", "") is None and known._letters("", "") is None
