@@ -913,9 +913,11 @@ def crawl_to_index(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the pages that links, sitemaps and robots files lead to, selected and indexed in one job."""
     robots = materialize(_robots(spark, d), "robots")
     store = ChunkStore(spark, f"{checkpoint_root(spark)}/store-{uuid.uuid4().hex}")
-    done = crawl_job(text_table(spark, d, "pages"), robots, _sitemaps(spark, d), store, hash_embedder(8), max_pages=9)
+    done = crawl_job(text_table(spark, d, "pages"), robots, _sitemaps(spark, d), store, hash_embedder(8), max_pages=60)
     if done["errors"]:
         raise RuntimeError("; ".join(done["errors"]))
+    if not store.exists():  # no page was selected
+        return spark.createDataFrame([], "website_id string, chunk_type string, chunks bigint, pages bigint")
     return store.read().groupBy("website_id", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("source_url").alias("pages"))
 
 
