@@ -91,7 +91,8 @@ def write_site_files(sites: DataFrame, pages: DataFrame, folder: str) -> DataFra
             )
 
         for batch in batches:
-            for name, kind, line in zip(*(batch.column(c).to_pylist() for c in ("cache_name", "kind", "line"))):
+            # one line at a time as a Python string
+            for name, kind, line in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("cache_name", "kind", "line"))):
                 if name != now:
                     if out is not None:
                         yield finish()
