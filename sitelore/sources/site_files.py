@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelore.functions import urls
+from sitelore.functions.slices import ROWS
 from sitelore.operators.knowledge import knowledge_tables
 from sitelore.schemas import PAGE, SITE_METADATA
 from sitelore.sources.files import find_cached
@@ -90,9 +91,9 @@ def write_site_files(sites: DataFrame, pages: DataFrame, folder: str) -> DataFra
                 {"name": pa.array([now]), "pages": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())}
             )
 
-        for batch in batches:
-            # one line at a time as a Python string
-            for name, kind, line in zip(*(map(pa.Scalar.as_py, batch.column(c)) for c in ("cache_name", "kind", "line"))):
+        few = (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+        for batch in few:
+            for name, kind, line in zip(*(batch.column(c).to_pylist() for c in ("cache_name", "kind", "line"))):
                 if name != now:
                     if out is not None:
                         yield finish()
