@@ -135,7 +135,8 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b"
     )
     heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
-    wanted = members.withColumn("kind", F.lit(1)).unionByName(heads.withColumn("kind", F.lit(0)))
+    # written, so that Spark knows its size: while it is small, the sets stay where they are
+    wanted = materialize(members.withColumn("kind", F.lit(1)).unionByName(heads.withColumn("kind", F.lit(0))), "wanted")
     loaded = wanted.join(sets.withColumnRenamed("uid", "b"), "b")
     key = ["a", "salt"]
     met = loaded.repartition(parallelism(pairs.sparkSession), *key).sortWithinPartitions(*key, "kind")
@@ -183,7 +184,7 @@ def _unresolved(buckets: DataFrame, groups: DataFrame) -> DataFrame:
 def bucket_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """a, b: links between components of `groups` that buckets (bucket, band, uid, a, size) hold.
 
-    `sets`: uid, signature, shingles. A block meets up to about `BLOCK` minor members with
+    `sets`: uid, shingles, and the signature or its bands. A block meets up to about `BLOCK` minor members with
     `COLUMNS` others, fewer of long texts (`BLOCK_BYTES`, `COLUMN_BYTES`); its links join each pair of components that it can join once.
     """
     open_ = _unresolved(buckets, groups)
@@ -198,9 +199,15 @@ def bucket_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, thresho
     asked = open_.withColumn("column", column).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     ).withColumn("asks", both)
-    dealt = asking.select(*fields).unionByName(asked.select(*fields)).join(sets, "uid")
+    dealt = materialize(asking.select(*fields).unionByName(asked.select(*fields)), "dealt").join(sets, "uid")
+    if "bands" in sets.columns:  # of which only those before the bucket's are looked at
+        names = F.slice("bands", F.lit(1), F.col("band")).alias("bands")
+    else:
+        names = F.col("signature")
     key = ["bucket", "block", "column"]
-    met = dealt.repartition(parallelism(buckets.sparkSession), *key).sortWithinPartitions(*key)
+    met = dealt.select(*fields, names, "shingles").repartition(
+        parallelism(buckets.sparkSession), *key
+    ).sortWithinPartitions(*key)
 
     def link(batches):
         for _, found in runs(batches, key):
@@ -210,14 +217,18 @@ def bucket_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, thresho
                     {"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())}
                 )
 
-    return met.select(*fields, "signature", "shingles").mapInArrow(link, "a long, b long")
+    return met.mapInArrow(link, "a long, b long")
 
 
 def _links_of_block(found: pa.Table, threshold: float) -> list[tuple[int, int]]:
     uid, part, asks = (found[c].to_numpy() for c in ("uid", "part", "asks"))
     first, band = found["a"][0].as_py(), found["band"][0].as_py()
-    names = np.stack([np.frombuffer(s, "uint32") for s in found["signature"].to_pylist()])
-    earlier = band_keys(names)[:, :band]
+    if "bands" in found.column_names:
+        flat = found["bands"].combine_chunks().flatten()
+        earlier = flat.to_numpy(zero_copy_only=False).reshape(len(uid), band)
+    else:
+        names = np.stack([np.frombuffer(s, "uint32") for s in found["signature"].to_pylist()])
+        earlier = band_keys(names)[:, :band]
     sets = [np.frombuffer(s, "uint32") for s in found["shingles"].to_pylist()]
     sizes = np.array([len(s) for s in sets])
     above: dict[int, int] = {}
@@ -270,20 +281,21 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bo
     Texts of any length are compared whole; blocks are bounded by their bytes. Null doc_ids take part and name a class only when it has no other; repeated rows are
     copies of each other. Other columns are not read. An empty table gives no rows.
     """
-    rows = materialize(sign_documents(docs, weighted), "signed")
+    signed = sign_documents(docs, weighted).withColumn("size", F.octet_length("shingles"))
+    rows = materialize(signed.drop("signature"), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid"))
     reps = materialize(
-        rows.where("key is not null").groupBy("key").agg(first.alias("f")).select(
-            "key", F.col("f.doc_id").alias("least_id"), F.col("f.uid").alias("uid")
-        ),
+        # rows of one key have the same words, so the same size and bands
+        rows.where("key is not null").groupBy("key").agg(
+            first.alias("f"), F.first("size").alias("size"), F.first("bands").alias("bands")
+        ).select("key", F.col("f.doc_id").alias("least_id"), F.col("f.uid").alias("uid"), "size", "bands"),
         "representatives",
     )
-    own = rows.join(reps.select("uid"), "uid", "left_semi")
-    banded = own.select("uid", F.octet_length("shingles").alias("size"), F.posexplode("bands").alias("band", "bucket"))
+    banded = reps.select("uid", "size", F.posexplode("bands").alias("band", "bucket"))
     leaders = banded.groupBy("bucket").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(banded.join(leaders, "bucket").select("bucket", "band", "uid", "a", "size"), "buckets")
-    busy = buckets.select("uid").distinct()
-    sets = materialize(own.join(busy, "uid", "left_semi").select("uid", "shingles", "signature"), "sets")
+    busy = materialize(buckets.select("uid").distinct(), "busy")  # narrow; its size decides how the texts' sets are found
+    sets = materialize(rows.join(busy, "uid", "left_semi").select("uid", "shingles", "bands"), "sets")
 
     pairs = buckets.where("uid <> a").select("a", F.col("uid").alias("b"), "size").distinct()
     links = materialize(verify(pairs, sets.select("uid", "shingles"), threshold), "links")

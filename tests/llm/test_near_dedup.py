@@ -89,6 +89,19 @@ def test_buckets_are_finished_beyond_their_first_document(spark):
     assert [tuple(sorted(r)) for r in links.collect()] == [(2, 3)]
 
 
+def test_blocks_take_bands_instead_of_signatures(spark):
+    """Only the bands before a bucket's own travel with the sets; a pair of an earlier band is left to that band."""
+    words = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join(words[:100]), 2: " ".join(words[100:]), 3: " ".join([*words[100:199], "new"])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    signed = near_dedup.sign_documents(df, False).selectExpr("doc_id as uid", "bands", "shingles").cache()
+    groups = spark.createDataFrame([], "id long, component long")
+    for band, expected in ((0, [(2, 3)]), (31, [])):
+        buckets = spark.createDataFrame([(0, band, i, 1, 400) for i in texts], "bucket long, band int, uid long, a long, size int")
+        links = near_dedup.bucket_links(buckets, groups, signed, 0.8)
+        assert [tuple(sorted(r)) for r in links.collect()] == expected
+
+
 def test_low_estimates_do_not_lose_links_of_a_bucket(spark):
     """Two documents at exactly 0.8 whose signatures agree in less than 0.68 of their coordinates."""
     rng = random.Random(104)
