@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +28,14 @@ def cut(values: pa.Array, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.Ar
         yield values.slice(at)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on and are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_slices(run: Callable[[list], pa.Array], returns: str):
     """Column function of `run`, a function from a list of values to as many results.
 
@@ -38,6 +47,6 @@ def by_slices(run: Callable[[list], pa.Array], returns: str):
         for batch in batches:
             for part in cut(batch):
                 yield run(part.to_pylist())
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return F.arrow_udf(stream, returns)

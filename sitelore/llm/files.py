@@ -8,7 +8,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelore.session import checkpoint_root
+from sitelore.session import checkpoint_root, whole_texts  # noqa: F401
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -42,23 +42,6 @@ def crc32_of(text) -> F.col:
     return F.crc32(F.encode(text, "UTF-8"))
 
 
-TEXTS_PER_BATCH = 1000
-BYTES_PER_BATCH = 4 << 20
-
-
-def whole_texts(df: DataFrame) -> DataFrame:
-    """`df`, with short Arrow batches in its session, in rows and in bytes: whole texts and pages
-    go to Python, and a batch takes its memory several times over (buffers of both sides, Python's
-    strings, results). The defaults are 10,000 rows and 64 MB; smaller settings are left alone."""
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", TEXTS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
-        name = f"spark.sql.execution.arrow.{name}"
-        now = str(conf.get(name)).lower()
-        if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(name, str(most))
-    return df
-
-
 def parallelism(spark: SparkSession) -> int:
     """Number of partitions that shuffles of this session are meant to have."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sitelore.functions.slices import give_back
+
 
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows`, so that few of them exist as Python objects.
@@ -20,14 +21,6 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.R
     give_back()
 
 
-def give_back() -> None:
-    """Return freed memory to the system: workers live on and are reused by later stages."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key values, rows) of each run of equal keys; holds one run at a time.
 

@@ -19,6 +19,7 @@ from sitelore.functions.html import NODE, dom
 from sitelore.functions.numbers import round_exact
 from sitelore.functions.text import clean_text, contains_any, strip
 from sitelore.schemas import FAQS, HEADINGS, IMAGES, LINKS, LISTS, SECTIONS, TABLES
+from sitelore.session import whole_texts
 
 STRINGS = "array<string>"
 
@@ -653,7 +654,7 @@ def extract_pages(pages: DataFrame, html: str = "html", limits: Limits = WHOLE)
     render_time_ms and final_url are carried into the record.
     """
     keep = [c for c in pages.columns if c != html]
-    df = pages.withColumn("_dom", dom(F.col(html)))  # declared non-deterministic: runs once
+    df = whole_texts(pages).withColumn("_dom", dom(F.col(html)))  # declared non-deterministic: runs once
     facts = {"html_empty": F.coalesce(F.col(html), F.lit("")) == "",
              "has_hydration": F.coalesce(contains_any(F.col(html), fixed.HYDRATION_MARKERS), F.lit(False))}
     df = df.select(
