@@ -14,6 +14,9 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from sitelore.llm.components import connected_components
 from sitelore.llm.darts import mix, signature
 from sitelore.llm.files import parallelism, whole_texts
 from sitelore.llm.runs import runs, small_batches
-from sitelore.session import materialize
+from sitelore.session import materialize, scratch_path
 
 WORDS = 5
 BANDS, ROWS = 32, 4
@@ -66,12 +69,12 @@ def shingles(data: bytes, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(names: np.ndarray) -> np.ndarray:
-    """Bucket names, one per band, of signatures in rows."""
+    """Bucket names, one per band, of signatures in rows. A name ends in the band's number."""
     bands = names.astype("uint64").reshape(len(names), BANDS, ROWS)
     key = np.tile(np.arange(BANDS, dtype="uint64"), (len(names), 1))
     for r in range(ROWS):
         key = mix(key * np.uint64(0x100000001B3) + bands[:, :, r] + np.uint64(1))
-    return key.view("int64")
+    return ((key & ~np.uint64(BANDS - 1)) | np.arange(BANDS, dtype="uint64")).view("int64")
 
 
 def sign_documents(docs: DataFrame, weighted: bool) -> DataFrame:
@@ -123,6 +126,35 @@ def _parts(rows: int, size: int):
     return F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("size") / size), F.lit(1)).cast("int")
 
 
+def shared_buckets(reps: DataFrame) -> DataFrame:
+    """bucket, band, uid, a, size of the buckets of two documents or more; `a` is the first.
+
+    `reps`: uid, size, bands. Names and ids travel once, for both sides of the join; what is
+    the same for all rows of a document is added to the few rows that are left.
+    """
+    named = reps.select("uid", F.explode("bands").alias("bucket")).repartition(
+        parallelism(reps.sparkSession), "bucket"
+    )
+    leaders = named.groupBy("bucket").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(named.join(leaders, "bucket").select("bucket", "uid", "a"), "shared")
+    band = F.col("bucket").bitwiseAND(F.lit(BANDS - 1)).cast("int").alias("band")
+    return shared.join(reps.select("uid", "size"), "uid").select("bucket", band, "uid", "a", "size")
+
+
+@contextmanager
+def dealt_by_uid(sets: DataFrame) -> Iterator[DataFrame]:
+    """`sets` as a table in buckets of uid, so that a join by uid moves its other side only.
+    Its name is valid inside the block; its files lie in the shared folder."""
+    spark, count = sets.sparkSession, parallelism(sets.sparkSession)
+    name = f"spark_catalog.default.near_dedup_sets_{uuid.uuid4().hex}"
+    dealt = sets.repartition(count, "uid").write.bucketBy(count, "uid")
+    dealt.option("path", scratch_path(spark, "sets")).format("parquet").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of `pairs` (a, b) whose exact Jaccard similarity reaches `threshold`.
 
@@ -291,15 +323,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, weighted: bo
         ).select("key", F.col("f.doc_id").alias("least_id"), F.col("f.uid").alias("uid"), "size", "bands"),
         "representatives",
     )
-    banded = reps.select("uid", "size", F.posexplode("bands").alias("band", "bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min("uid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(banded.join(leaders, "bucket").select("bucket", "band", "uid", "a", "size"), "buckets")
+    buckets = materialize(shared_buckets(reps), "buckets")
     busy = materialize(buckets.select("uid").distinct(), "busy")  # narrow; its size decides how the texts' sets are found
-    sets = materialize(rows.join(busy, "uid", "left_semi").select("uid", "shingles", "bands"), "sets")
-
     pairs = buckets.where("uid <> a").select("a", F.col("uid").alias("b"), "size").distinct()
-    links = materialize(verify(pairs, sets.select("uid", "shingles"), threshold), "links")
-    more = materialize(bucket_links(buckets, connected_components(links), sets, threshold), "links")
+    with dealt_by_uid(rows.join(busy, "uid", "left_semi").select("uid", "shingles", "bands")) as sets:
+        links = materialize(verify(pairs, sets.select("uid", "shingles"), threshold), "links")
+        more = materialize(bucket_links(buckets, connected_components(links), sets, threshold), "links")
     groups = connected_components(links.unionByName(more))
 
     named = reps.join(groups, F.col("uid") == F.col("id"), "left").select(

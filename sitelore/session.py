@@ -59,11 +59,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     column pruning intact.
     """
     spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; inside `scratch` it is deleted at the end."""
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     if _SCOPES:
         _SCOPES[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 TEXTS_PER_BATCH = 1000
@@ -88,7 +94,7 @@ _SCOPES: list[list[str]] = []
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete, at the end, the tables that `materialize` writes inside: for jobs that end with
+    """Delete, at the end, the tables that `materialize` writes (or `scratch_path` names) inside: for jobs that end with
     a write of their own. What a caller still reads later must be written elsewhere."""
     _SCOPES.append([])
     try:

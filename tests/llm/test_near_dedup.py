@@ -147,6 +147,41 @@ def test_signatures_estimate_weighted_jaccard(weighted):
     assert np.abs(errors).max() < 0.1 and abs(np.mean(errors)) < 0.02
 
 
+def test_names_and_sets_are_exchanged_once(spark, monkeypatch):
+    """Plans without broadcasts: one exchange of bucket names feeds both sides of their join, and sets
+    are found by uid where they lie; what moves is the narrow side, then the sets to their comparison."""
+    plans, write = {}, near_dedup.materialize
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "materialize", seen)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words[:100])), (2, " ".join([*words[:99], "new"])), (3, " ".join(words[200:])), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        got = near_dedup.near_duplicate_classes(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.class_id for r in got} == classes_by_brute_force(rows)
+    named = [p for p in plans.get("shared", plans["buckets"]) if "explode" in p]
+    assert [p.count("- Exchange hashpartitioning(bucket") for p in named] == [1]
+    assert [p.count("- Exchange hashpartitioning(") for p in plans["links"]] == [2, 2]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("near_dedup")]
+
+
+def test_bucket_names_tell_their_band():
+    names = np.random.default_rng(2).integers(0, 2**32, (50, near_dedup.BANDS * near_dedup.ROWS)).astype("uint32")
+    keys = near_dedup.band_keys(names)
+    assert (keys % near_dedup.BANDS == np.arange(near_dedup.BANDS)).all() and len(np.unique(keys)) == keys.size
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7)]
