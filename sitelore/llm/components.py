@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     `edges`: two long columns. Alternates the large-star and small-star steps, which
     rewrite edges towards the least node and never hold a node's neighbours together:
-    each step is one minimum per node and one join back. Ends when the edges are stars.
+    each step is one minimum per node and one join back, in a job of its own. The joins merge:
+    of the many rounds of small tables none passes through the driver. Ends when the edges are stars.
     """
     a, b = edges.columns
     now = materialize(
@@ -26,14 +27,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        small = large.join(_least(large), "u")
-        rewired = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        own = small.select("u", F.col("m").alias("v"))
-        now = materialize(rewired.unionByName(own).distinct(), "edges")
+        turned = F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = now.select(F.inline(F.array(F.struct("u", "v"), turned)))
+        # u > v in every row, so the neighbours above a node are those of the turned rows
+        above = now.select("v", "u").toDF("u", "v").join(_least(both).hint("merge"), "u")
+        large = materialize(above.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        small = large.join(_least(large).hint("merge"), "u")
+        rewired, own = F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))
+        now = materialize(small.select(F.inline(F.array(rewired, own))).where("u <> v").distinct(), "edges")
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == mark:
             break

@@ -206,7 +206,8 @@ def _unresolved(buckets: DataFrame, groups: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("band", "bucket")).alias("b"))
         .select(F.col("b.bucket").alias("bucket"), "columns", "major")
     )
-    rows = named.join(some, "bucket").withColumn("minor", F.col("part") != F.col("major"))
+    # written: it is read four times below, and few rows are left
+    rows = materialize(named.join(some, "bucket").withColumn("minor", F.col("part") != F.col("major")), "unresolved")
     sizes = rows.where("minor").groupBy("bucket").agg(_parts(BLOCK, BLOCK_BYTES).alias("blocks"))
     return rows.join(sizes, "bucket").select(
         "bucket", "band", "a", "uid", "part", "minor", "blocks", "columns"
@@ -359,6 +360,7 @@ def keep_first(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
         F.col("text_hash").alias("_hash"), "_kept", "_wordless",
     )
+    marks = materialize(marks, "marks")  # read twice below
     # a row travels as one struct, whatever its columns are called
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("_id"),

@@ -199,3 +199,27 @@ def test_components(spark):
     assert {r.id: r.component for r in got} == {i: find(i) for a, b in edges if a != b for i in (a, b)}
     assert len(got) == len({r.id for r in got})
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_plans_of_many_rounds_stay_narrow(spark, monkeypatch):
+    """The driver holds the plans, their broadcasts and a thread for each: a round of components has one
+    join and broadcasts nothing, and what is read several times is read from files."""
+    plans, write = {}, near_dedup.materialize
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(near_dedup, "materialize", seen)
+    monkeypatch.setattr(components, "materialize", seen)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.keep_first(df)
+    plans["kept"] = [kept._jdf.queryExecution().executedPlan().toString()]
+    assert {r.doc_id for r in kept.collect() if r.text and near_dedup.words_of(r.text)} == {
+        i for i, least in classes_by_brute_force(rows).items() if i == least and near_dedup.words_of(dict(rows)[i])
+    }
+    assert len(plans["edges"]) > 4
+    assert max(p.count("Join") for p in plans["edges"]) == 1 and not any("Broadcast" in p for p in plans["edges"])
+    reads = {name: max(p.count("FileScan") for p in plans[name]) for name in ("edges", "dealt", "kept")}
+    assert reads["edges"] <= 2 and reads["dealt"] <= 5 and reads["kept"] <= 4, reads
