@@ -21,6 +21,9 @@ SLICE_TEXTS = 256  # texts whose new words are encoded together
 JOINED_WORDS = 4000
 # letters below it have one lower-case form each, the same everywhere
 PLAIN_LETTERS = "\u0130"
+# signs that are a piece of their own after letters, all that follow one another together
+SIGNS = "!#$%&()*+,-./:;=?@[]_{}~"
+SIGN_RUNS = 10_000  # kinds of such runs that are kept
 
 _LOADED: dict[tuple[str, int], object] = {}
 
@@ -69,10 +72,12 @@ class TextEncoder:
         self.mark, self.joint = ("\n", "\n") if self.spaces_matter else ("7", " 7 ")
         self.newline = self._whole("\n")
         self.direct, self.lowers = _letters_are_pieces(self.tokenizer)
+        self.signs: dict[str, bytes] = {}  # runs of signs at the ends of words
         self.of_byte = _byte_letters()
         self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().values()
-        self.direct = self.direct and not any(t.content.strip().isalpha() for t in added)
+        found = [t.content.strip() for t in added]  # in ordinary words, if they hold nothing but letters and signs
+        self.direct = self.direct and not any(t and all(c.isalpha() or c in SIGNS for c in t) for t in found)
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -93,16 +98,41 @@ class TextEncoder:
             word = self.of_byte[32] + word
         return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
 
+    def _ended(self, word: str, prefix: str, known: dict[str, bytes]) -> bytes | None:
+        """Ids of a word of letters and the signs at its end; None where that is not known to be the same."""
+        stem = word.rstrip(SIGNS)
+        if len(stem) == len(word):
+            return self._letters(word, prefix)
+        # not every table of letters knows the later ones
+        if not stem.isalpha() or not stem.isascii() and max(stem) >= PLAIN_LETTERS:
+            return None
+        first = known.get(stem)
+        if first is None:
+            first = self._letters(stem, prefix)
+        if first is None:
+            return None
+        signs = word[len(stem) :]
+        if signs not in self.signs:
+            if len(self.signs) >= SIGN_RUNS:
+                self.signs.clear()
+            self.signs[signs] = self._whole(signs)
+        return first + self.signs[signs]
+
     def _learn(self, words: set[str], known: dict[str, bytes], prefix: str) -> list[str]:
         """Add the ids of new words to `known`; words with white space at an end stay out."""
-        new = [w for w in words if w not in known and w and w == w.strip()]
-        for w in [w for w in new if self.mark in w]:
-            known[w] = self._whole(prefix + w)
-        for w in new if self.direct else ():
-            ids = self._letters(w, prefix)
+        new, clean = [], []
+        ended, direct, mark = self._ended, self.direct, self.mark
+        for w in words.difference(known):
+            if not w or w != w.strip():
+                continue
+            new.append(w)
+            ids = ended(w, prefix, known) if direct else None
             if ids is not None:
                 known[w] = ids
-        clean = [w for w in new if w not in known]
+            elif mark in w:
+                known[w] = self._whole(prefix + w)
+            else:
+                clean.append(w)
         kind, size = np.dtype(f"<u{self.size}"), self.size
         (mark,) = np.frombuffer(self._whole(self.mark), kind)
         for i in range(0, len(clean), JOINED_WORDS):

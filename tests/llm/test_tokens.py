@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from sitelore.llm import packing, token_files
 from sitelore.llm.files import new_folder, read_range
 from sitelore.llm.queries import tokenizer_path
-from sitelore.llm.tokens import encoder
+from sitelore.llm.tokens import PLAIN_LETTERS, SIGNS, TextEncoder, encoder
 
 NAMES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = [
@@ -155,3 +155,36 @@ def test_words_of_letters_by_the_model_alone(name):
             taken += ids is not None
             assert ids is None or ids == known._whole(prefix + word)
     assert taken > 100 and known._letters("a1", "") is None and known._letters("", "") is None
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_signs_after_letters_are_a_piece_of_their_own(name, monkeypatch):
+    known = TextEncoder(tokenizer_path(name))
+    letters = [c for c in map(chr, [*range(ord(PLAIN_LETTERS))] * 9 + [*range(0x130, 0x11000, 61)]) if c.isalpha()]
+    rng = np.random.default_rng(4)
+    pick = lambda chars, most: "".join(rng.choice(list(chars), size=rng.integers(1, most)))
+    for _ in range(3000):
+        word = pick(letters, 7) + pick(SIGNS, 4)
+        for prefix in ("", " ") if known.spaces_matter else ("",):
+            ids = known._ended(word, prefix, {})
+            assert ids is None or ids == known._whole(prefix + word), word
+    texts = [" ".join(pick(letters, 6) + pick(SIGNS + "'\u3002", 3) for _ in range(60)) + "\nend.\n\n." for _ in range(60)]
+    for text, ids in zip(texts, known.encode_many(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == plain_ids(name, text)
+    known, read = TextEncoder(tokenizer_path(name)), []
+    whole = known._whole
+    monkeypatch.setattr(known, "_whole", lambda text: read.append(text) or whole(text))
+    text = " ".join(pick("abcdefgh\u00e9\u00fc", 9) + pick(",.", 2) for _ in range(2000))
+    assert np.frombuffer(known.encode_many([text])[0], "<u4").tolist() == plain_ids(name, text)
+    assert sum(map(len, read)) < 100  # the words themselves went to the model
+
+
+def test_added_tokens_of_letters_and_signs_keep_words_whole(tmp_path):
+    from tokenizers import Tokenizer
+
+    changed = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    changed.add_tokens(["b,"])
+    changed.save(str(tmp_path / "t.json"))
+    known = TextEncoder(str(tmp_path / "t.json"))
+    (ids,) = known.encode_many(["ab, cab, c"])
+    assert np.frombuffer(ids, "<u4").tolist() == changed.encode("ab, cab, c", add_special_tokens=False).ids
