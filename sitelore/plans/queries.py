@@ -40,6 +40,7 @@ CHUNK_ORDER = ["page_ord", "type_ord", "item", "piece"]
 SIZES = prompt.Sizes(
     chunks=fixed.MAX_CONTEXT_CHUNKS, chunk_chars=fixed.MAX_CONTEXT_CHARS, sources=fixed.MAX_SOURCES, messages=fixed.HISTORY_MESSAGES
 )
+# the reference's cuts of a whole-site prompt, for callers that want them; `site_contexts` takes whole texts
 SITE_SIZES = knowledge.TextSizes(
     sections=4, section_chars=400, content_chars=600, home_section_chars=800, home_content_chars=1500, blog_chars=200, search_chars=500
 )
@@ -934,11 +935,11 @@ def page_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def site_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Text context of every site for a whole-site prompt."""
+    """Text context of every site for a whole-site prompt, with the whole text of each page that is in it."""
     pages = materialize(page_table(text_table(spark, d, "pages")), "pages")
     sites = pages.select("website_id", F.col("website_url").alias("url"), F.col("website_url").alias("name")).distinct()
-    # the size of a prompt: one homepage, five key pages, three blog pages
-    c = knowledge.chatbot_context(pages, sites, SITE_SIZES, key_pages=5, blog_pages=3)
+    # the pages of a prompt: one homepage, five key pages, three blog pages
+    c = knowledge.chatbot_context(pages, sites, knowledge.TextSizes(), key_pages=5, blog_pages=3)
     return c.select("website_id", big(F.length("context")).alias("chars"), F.md5("context").alias("context_md5"))
 
 
