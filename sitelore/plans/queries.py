@@ -265,15 +265,20 @@ def chunks_by_sql(spark: SparkSession, d: str) -> DataFrame:
         f"""SELECT p.website_id, p.page_ord, p.source_url, p.page_title, c.type_ord, c.chunk_type, c.piece, c.text
         FROM {name} p, LATERAL page_pieces(p.page_title, p.body) c"""
     ).withColumn("key", dedupe_key(F.col("text")))
-    pieces = materialize(pieces.where("key <> ''").withColumn("text_key", F.md5("key")), "sql-pieces")
-    order = [F.col(c) for c in ("page_ord", "type_ord", "piece")]
-    winners = first_per_key(pieces.select("website_id", "page_ord", "type_ord", "piece", "text_key"), ["website_id", "text_key"], order)
+    digest = F.substring(F.md5(F.concat_ws("|", "website_id", "source_url", "chunk_type", "key")), 1, 16)
+    # texts end here: all that is left to do needs their hashes
+    pieces = materialize(
+        pieces.where("key <> ''").select(
+            "website_id", "page_ord", "source_url", "page_title", "type_ord", "chunk_type", "piece", F.md5("key").alias("text_key"),
+            F.concat_ws("_", "website_id", digest).alias("chunk_id"), F.md5("text").alias("text_md5"),
+        ),
+        "sql-pieces",
+    )
     at = ["website_id", "page_ord", "type_ord", "piece"]
+    winners = first_per_key(pieces.select(*at, "text_key"), ["website_id", "text_key"], [F.col(c) for c in at[1:]])
     numbered = running_index(winners.drop("text_key"), "website_id", "page_ord", ["type_ord", "piece"], "chunk_index")
-    digest = F.substring(F.md5(F.concat_ws("|", "website_id", "source_url", "chunk_type", "key")), 1, 16)
     return pieces.join(numbered, at).select(
-        F.concat_ws("_", "website_id", digest).alias("chunk_id"), "website_id", "source_url", "page_title", "chunk_type",
-        big(F.col("chunk_index")).alias("chunk_index"), F.md5("text").alias("text_md5"),
+        "chunk_id", "website_id", "source_url", "page_title", "chunk_type", big(F.col("chunk_index")).alias("chunk_index"), "text_md5"
     )
 
 
